@@ -148,7 +148,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = id_and_text(docs, id_col, text_col)
     copies = settle(texts, _exact_rows)
     candidates = settle(texts, _half_rows(min_words), later=False, contested=True)
-    asked = texts.join(cut(candidates.select("doc_id", F.col("contested").alias("candidates"))), "doc_id", "left")
+    asked = texts.join(cut(candidates.select("doc_id", F.col("contested").alias("candidates"))).hint("merge"), "doc_id", "left")
     near = settle(asked, _variant_rows(min_words), cross=True).select("doc_id", F.col("later").alias("near"))
-    found = texts.join(copies.select("doc_id", F.col("later").alias("copies")), "doc_id", "left").join(near, "doc_id", "left")
+    # The texts are joined by a shuffle whatever the answers' size, so the two joins share it.
+    found = texts.join(copies.select("doc_id", F.col("later").alias("copies")).hint("merge"), "doc_id", "left").join(near.hint("merge"), "doc_id", "left")
     return map_batches(found, _drop_lines, RESULT)
