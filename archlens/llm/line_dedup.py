@@ -30,9 +30,6 @@ from archlens.llm.common import chunks, cut, id_and_text, map_batches, texts_of
 from archlens.llm.earliest import settle
 from archlens.llm.words import Spans, U, Words, mix
 
-RESULT = "doc_id long, n_lines long, n_removed long, kept_text string"
-
-
 class Lines:
     """The lines with words of some texts: their words from `low` to `high`, their document and number in it."""
 
@@ -117,39 +114,43 @@ def _variant_rows(min_words: int):
     return rows
 
 
-def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        given = batch.column("text").is_valid()
-        for a, b, x in _each(batch):
-            gone = _marked(x, batch.column("copies"), a, b) | _marked(x, batch.column("near"), a, b)
-            drop = np.zeros(x.first_line[-1], bool)
-            drop[x.first_line[x.doc[gone]] + x.number[gone]] = True
-            buf, at = x.words.buf, x.words.first_byte
-            owner = np.searchsorted(x.newline, np.arange(len(buf)))
-            kept = ~drop[owner]
-            out = buf[kept].tobytes()
-            edge = np.concatenate(([0], np.cumsum(kept)))[at].tolist()
-            # the newline between lines goes with the line before it; the last one ends the text
-            texts = [out[i:j].removesuffix(b"\n") for i, j in zip(edge, edge[1:], strict=False)]
-            n_lines = np.diff(x.first_line)
-            n_gone = np.bincount(x.doc[gone], minlength=b - a)
-            ok = given.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.compute.if_else(ok, pa.array(n_lines), 0), pa.array(n_gone), pa.compute.if_else(ok, pa.array(texts, pa.binary()).cast(pa.string()), None)],
-                ["doc_id", "n_lines", "n_removed", "kept_text"],
-            )
+def _drop_lines(text_col: str, names: list[str]):
+    def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = batch.column(text_col).is_valid()
+            for a, b in chunks(texts_of(batch.column(text_col))):
+                x = Lines(texts_of(batch.column(text_col).slice(a, b - a)))
+                gone = _marked(x, batch.column("line_dedup_copies"), a, b) | _marked(x, batch.column("line_dedup_near"), a, b)
+                drop = np.zeros(x.first_line[-1], bool)
+                drop[x.first_line[x.doc[gone]] + x.number[gone]] = True
+                kept = ~np.repeat(drop, np.diff(x.newline, prepend=-1))
+                out = x.words.buf[kept].tobytes()
+                edge = np.concatenate(([0], np.cumsum(kept)))[x.words.first_byte].tolist()
+                # the newline after a line goes with it; the last one only ends the text
+                texts = pa.array([out[i:j].removesuffix(b"\n") for i, j in zip(edge, edge[1:], strict=False)], pa.binary()).cast(pa.string())
+                ok = given.slice(a, b - a)
+                made = {text_col: pa.compute.if_else(ok, texts, None), "n_lines": pa.compute.if_else(ok, pa.array(np.diff(x.first_line)), 0), "n_removed": pa.array(np.bincount(x.doc[gone], minlength=b - a))}
+                yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c).slice(a, b - a) for c in names], names)
+
+    return drop_lines
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
     """Removes lines that equal an earlier line or lie one word edit from it; see the module for the exact rule.
 
-    Returns doc_id, n_lines, n_removed and kept_text (the kept lines, each as it was).
+    Returns `docs` with the kept lines as its text, each as it was, and with n_lines and n_removed (which replace
+    columns of these names).
     """
     texts = id_and_text(docs, id_col, text_col)
     copies = settle(texts, _exact_rows)
     candidates = settle(texts, _half_rows(min_words), later=False, contested=True)
     asked = texts.join(cut(candidates.select("doc_id", F.col("contested").alias("candidates"))).hint("merge"), "doc_id", "left")
-    near = settle(asked, _variant_rows(min_words), cross=True).select("doc_id", F.col("later").alias("near"))
-    # The texts are joined by a shuffle whatever the answers' size, so the two joins share it.
-    found = texts.join(copies.select("doc_id", F.col("later").alias("copies")).hint("merge"), "doc_id", "left").join(near.hint("merge"), "doc_id", "left")
-    return map_batches(found, _drop_lines, RESULT)
+    near = settle(asked, _variant_rows(min_words), cross=True)
+    found = docs.drop("n_lines", "n_removed").withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    fields = [(f.name, f.dataType.simpleString()) for f in found.schema.fields]
+    # Texts are joined by a shuffle whatever the answers' size, so the two joins share it.
+    for answers, name in ((copies, "line_dedup_copies"), (near, "line_dedup_near")):
+        own = answers.select(F.col("doc_id").alias(f"{name}_id"), F.col("later").alias(name))
+        found = found.join(own.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
+    names = [n for n, _ in fields] + ["n_lines", "n_removed"]
+    return map_batches(found, _drop_lines(text_col, names), ", ".join([*(f"`{n}` {t}" for n, t in fields), "n_lines long, n_removed long"]))

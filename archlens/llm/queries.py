@@ -28,8 +28,8 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.drop_repeated_lines(table(spark, folder, "documents"))
-    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    kept = line_dedup.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
