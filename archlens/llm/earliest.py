@@ -29,7 +29,7 @@ from archlens.llm.words import U, mix
 #: Rows that a task gathers before it settles and sends them.
 FLUSH_ROWS = 1 << 20
 PACKED = "bucket int, answers boolean, packed binary"
-ANSWERS = "doc_id long, later array<long>, contested array<long>"
+ANSWERS = "doc_id long, item long, later boolean"
 _KINDS = (U, U, np.int64, np.int64, np.uint8)
 #: Marks of a row: nothing known, its key is known to be contested, only a notice that its key is.
 OPEN, CONTESTED, NOTICE = 0, 1, 2
@@ -117,14 +117,8 @@ class Outbox:
 
 
 def _answer(doc: np.ndarray, item: np.ndarray, later: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each document, with its later and its contested items."""
-    order = np.lexsort((~later, doc))
-    doc, item, later = doc[order], item[order], later[order]
-    edge = np.append(np.flatnonzero(_starts(doc)), len(doc)).astype(np.int64)
     if len(doc):
-        size = np.add.reduceat(later.astype(np.int64), edge[:-1])
-        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(item[which])) for n, which in ((size, later), (np.diff(edge) - size, ~later))]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[edge[:-1]]), *lists], ["doc_id", "later", "contested"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(item), pa.array(later)], ["doc_id", "item", "later"])
 
 
 def _settle(cross: bool, later: bool, contested: bool) -> Callable:
@@ -187,4 +181,4 @@ def settle(df: DataFrame, rows_of: Callable[[pa.RecordBatch], Iterator[tuple]],
 
     sent = map_batches(df, send, PACKED).repartition(n, "bucket")
     answers = map_batches(sent, _settle(cross, later, contested), ANSWERS)
-    return answers.groupBy("doc_id").agg(F.flatten(F.collect_list("later")).alias("later"), F.flatten(F.collect_list("contested")).alias("contested"))
+    return answers.groupBy("doc_id").agg(F.collect_list(F.when(F.col("later"), F.col("item"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("item"))).alias("contested"))
