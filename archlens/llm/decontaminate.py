@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.llm.common import cut, id_and_text
-from archlens.llm.native import NOT_ALPHA, ascii_lower, filter_words, hits, shingle_hashes, words
+from archlens.llm.native import NOT_ALPHA, ascii_lower, filter_words, hits, passes, shingle_hashes, words
 
 WINDOW, SHINGLE = 13, 3
 
@@ -87,9 +87,12 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         equal = F.filter(c["starts"], lambda s: F.slice("own", c["base"] + s + 1, c["n"]) == F.slice(c["item_words"], s + 1, c["n"]))
         return F.transform(equal, lambda s: F.struct((c["base"] + s).alias("from"), (c["base"] + s + c["n"]).alias("to"), c["item_id"].alias("item_id")))
 
+    # Texts without candidates needn't travel; a bit set of fixed size holds back most of them.
+    row = F.xxhash64("doc_id", "mark")
+    travelling = texts.filter(passes(row, filter_words(asked.select(row.alias("h")))))
     a = asked.withColumnsRenamed({"doc_id": "asked_id", "mark": "asked_mark"})
     same = F.col("doc_id").eqNullSafe(F.col("asked_id")) & F.col("mark").eqNullSafe(F.col("asked_mark"))
-    verified = texts.join(a, same).withColumn("own", words(ascii_lower(F.col("text")), NOT_ALPHA)).select("doc_id", "mark", F.flatten(F.transform("asked", spans)).alias("spans")).filter(F.size("spans") > 0)
+    verified = travelling.join(a, same).withColumn("own", words(ascii_lower(F.col("text")), NOT_ALPHA)).select("doc_id", "mark", F.flatten(F.transform("asked", spans)).alias("spans")).filter(F.size("spans") > 0)
     verified = verified.dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("asked_id"), F.col("mark").alias("asked_mark"), _covered(F.col("spans")).cast("long").alias("n_hit"), F.array_distinct("spans.item_id").alias("ids"))
     named = verified.select("asked_id", "asked_mark", F.explode("ids").alias("item_id")).join(items.select("item_id", "name"), "item_id").groupBy("asked_id", "asked_mark").agg(F.array_sort(F.collect_list(F.coalesce("name", F.lit("")))).alias("items"))
     n_hit = verified.select("asked_id", "asked_mark", "n_hit").withColumnsRenamed({"asked_id": "i", "asked_mark": "m"})

@@ -38,12 +38,12 @@ def filter_words(hashes: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
-def hits(column: str, bits: Column) -> Column:
-    """The places and hashes of the array `column` of hashes that pass the filter."""
+def passes(h: Column, bits: Column) -> Column:
+    """Whether the hash `h` is in the bit set; also true for about one other hash in FILTER_BITS / (number of hashes)."""
+    bit = h.bitwiseAND(F.lit(FILTER_BITS - 1))
+    return F.getbit(F.get(bits, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    def one(h: Column, i: Column) -> Column:
-        bit = h.bitwiseAND(F.lit(FILTER_BITS - 1))
-        passes = F.getbit(F.get(bits, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
-        return F.when(passes, F.struct(i.alias("pos"), h.alias("h")))
 
-    return F.array_compact(F.transform(column, one))
+def hits(column: str, bits: Column) -> Column:
+    """The places and hashes of the array `column` of hashes that pass the filter."""
+    return F.array_compact(F.transform(column, lambda h, i: F.when(passes(h, bits), F.struct(i.alias("pos"), h.alias("h")))))
