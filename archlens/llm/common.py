@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch: long texts shall not add up to gigabytes in a Python worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def shared_folder(spark: SparkSession) -> str:

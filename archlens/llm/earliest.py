@@ -27,7 +27,7 @@ from archlens.llm.common import map_batches, partitions
 from archlens.llm.words import U, mix
 
 #: Rows that a task gathers before it settles and sends them.
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 18
 PACKED = "bucket int, answers boolean, packed binary"
 ANSWERS = "doc_id long, item long, later boolean"
 _KINDS = (U, U, np.int64, np.int64, np.uint8)

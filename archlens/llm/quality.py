@@ -32,7 +32,7 @@ SALTS = 32
 
 
 def _class(characters: bytes) -> np.ndarray:
-    table = np.zeros(256, np.int64)
+    table = np.zeros(256, np.uint8)
     table[list(characters)] = 1
     return table
 
@@ -45,7 +45,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     """A row of N_FEATURES numbers for each text."""
     words = Words(texts)
     size = np.maximum(np.diff(words.first_byte) - 1, 1)[:, None]
-    shares = np.stack([np.add.reduceat(c[words.buf], words.first_byte[:-1]) for c in _CLASSES], axis=1) / size
+    shares = np.stack([np.add.reduceat(c[words.buf], words.first_byte[:-1], dtype=np.int64) for c in _CLASSES], axis=1) / size
     n = np.maximum(words.count, 1)
     per_doc = lambda x: np.bincount(words.doc, x, len(texts))
     length = (words.end - words.start).astype(float)

@@ -24,7 +24,7 @@ from archlens.llm.common import id_and_text, map_batches, texts_of
 
 MARK = "▁"
 #: Distinct words whose counts a task remembers.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 200_000
 
 
 class LongestMatch:
