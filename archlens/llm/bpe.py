@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import id_and_text, map_batches, texts_of
 
-#: Words that a task's table holds at most; with their ids they take about 40 MB.
-TABLE_WORDS = 200_000
+#: Words that a task's table holds at most; with their ids they take about 200 MB.
+TABLE_WORDS = 1_000_000
 
 
 @lru_cache(maxsize=1)
