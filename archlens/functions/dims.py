@@ -77,3 +77,36 @@ SQLALCHEMY_CLASS, SQLALCHEMY_QUERY = r"^\s*class\s+(\w+)\s*\([^)]*\bBase\b[^)]*\
 MONGOOSE_MODEL = r"mongoose\.model\(\s*['\"`](\w+)['\"`]"
 DJANGO_MODEL, DJANGO_QUERY = r"^\s*class\s+(\w+)\s*\([^)]*\bmodels\.Model\b[^)]*\)", r"\b([A-Z]\w*)\.objects\.\w+"
 ACTIVERECORD, JPA_ENTITY = r"^\s*class\s+(\w+)\s*<\s*ApplicationRecord", r"@Entity[^\w]*?(?:public\s+)?class\s+(\w+)"
+
+MANIFESTS = {
+    "package.json": "npm", "requirements.txt": "pip", "requirements.in": "pip", "pyproject.toml": "python", "Pipfile": "pipenv", "go.mod": "go",
+    "Cargo.toml": "cargo", "Gemfile": "bundler", "composer.json": "composer", "pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle",
+    "mix.exs": "hex",
+}
+REQUIREMENT = r"^([A-Za-z0-9_.\-]+)\s*([<>=!~][^;]*)?"
+QUOTED_REQUIREMENT, PIPFILE_LINE = r'"([A-Za-z0-9_.\-]+)\s*([<>=!~][^"]*)?"', r'^([A-Za-z0-9_.\-]+)\s*=\s*"([^"]+)"'
+CARGO_SECTIONS, CARGO_LINE = ["[dependencies]", "[dev-dependencies]", "[build-dependencies]"], r"^([A-Za-z0-9_\-]+)\s*=\s*(.+)$"
+GEM = r"gem\s+['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"])?"
+MIX_DEPS, MIX_TUPLE, MIX_SOURCE = r"(?s)\bdef(?:p)?\s+deps\b.*?\bdo\b(.*?)\bend\b", r"(?s)\{\s*:([A-Za-z_]\w*)\s*,(.*?)\}", r"\b(path|github|git|branch|tag|ref|organization|hex)\s*:\s*$"
+POM = r"<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>(?:\s*<version>([^<]+)</version>)?"
+GRADLE = r"['\"]([a-zA-Z0-9_.\-]+:[a-zA-Z0-9_.\-]+):([^'\"]+)['\"]"
+
+ENTRY_FILES = {
+    "main.py": "Python main", "__main__.py": "Python module entry", "app.py": "Python app", "manage.py": "Django manage",
+    "index.ts": "TypeScript module entry", "index.tsx": "TypeScript React entry", "index.js": "JavaScript module entry",
+    "index.jsx": "JavaScript React entry", "index.mjs": "JavaScript ESM entry", "server.ts": "TypeScript server", "server.js": "JavaScript server",
+    "main.go": "Go main", "main.rs": "Rust main", "lib.rs": "Rust library", "Cargo.toml": "Rust crate root", "Makefile": "Make build",
+    "Dockerfile": "Container build", "docker-compose.yml": "Docker Compose", "docker-compose.yaml": "Docker Compose",
+}
+COMPOSE_FILES = ["docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml"]
+STORE_FILES = [".env", ".env.example", ".env.local", "config/database.yml"]
+ROOT_READMES, MODULE_READMES = ["README.md", "readme.md", "README.MD", "Readme.md", "README"], ["README.md", "readme.md", "README"]
+JS_BOOTSTRAPS = ["main.ts", "main.js", "index.ts", "index.js", "app.ts", "app.js", "server.ts", "server.js"]
+PY_BOOTSTRAPS = ["main.py", "app.py", "asgi.py", "wsgi.py", "__main__.py"]
+NEST_PREFIX, EXPRESS_PREFIX = r"\bsetGlobalPrefix\s*\(\s*['\"`]([^'\"`]+)['\"`]", r"\bapp\.use\s*\(\s*['\"`](/[a-zA-Z0-9/_\-]+)['\"`]"
+APP_PREFIX = r"\binclude_router\s*\([^)]*prefix\s*=\s*['\"`]([^'\"`]+)['\"`]"
+HEADING = r"^(#{1,3})\s+(.+)$"
+NOT_PROSE = r"^#|\[!\[|^\[[^\]]+\]:\s*\S+|^<[^>]+>|^<!--|^!\["
+PROSE_NOISE = [r"https?://\S+", r"!?\[[^\]]*\]\([^)]*\)", r"!?\[[^\]]*\]\[[^\]]*\]"]
+UTILITY_MODULES = ["common", "shared", "utils", "util", "prisma", "db", "lib", "core", "types", "helpers", "models", "schemas"]
+FLOW_CONFIDENCE = ["high", "medium", "low"]

@@ -143,6 +143,8 @@ def _evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from archlens.plans import facts
+
     cases, _ = _cases()
     return {
         "import_edges": _python_edges,
@@ -167,7 +169,7 @@ def queries() -> dict[str, Query]:
         "store_dominance": lambda s, d: _lineage(s, d).groupBy("target_store").agg(F.sum("weight").alias("weight")).withColumn("share", F.round(F.col("weight") / F.expr("sum(weight) over ()"), 6)),
         "deps_by_ecosystem": lambda s, d: rollup.dependencies(npm_dependencies(corpus.package_corpus(s, d))),
         "evidence_pack": _evidence,
-    } | cases
+    } | cases | facts.queries()
 
 
 _EDGES = """
@@ -193,6 +195,8 @@ _LINEAGE = f"""SELECT service AS source_service, store AS target_store, string_a
 
 
 def oracle_sql() -> dict[str, str]:
+    from archlens.plans import facts
+
     _, cases = _cases()
     return {
         "import_edges": _SAME,
@@ -221,4 +225,4 @@ def oracle_sql() -> dict[str, str]:
         "evidence_pack": """WITH RECURSIVE c AS (SELECT doc_id, strlen(substr(text, 1, 6000)) AS size, row_number() OVER (ORDER BY doc_id) AS r FROM (SELECT * FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 400)),
             f AS (SELECT r, doc_id, size, size AS used, true AS taken FROM c WHERE r = 1 UNION ALL SELECT c.r, c.doc_id, c.size, CASE WHEN f.used + c.size <= 200000 THEN f.used + c.size ELSE f.used END, f.used + c.size <= 200000 FROM f JOIN c ON c.r = f.r + 1)
             SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS path, size AS bytes FROM f WHERE taken""",
-    } | cases
+    } | cases | facts.oracle_sql()
