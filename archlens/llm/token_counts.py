@@ -101,8 +101,9 @@ def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 split = text.split()
                 if len(known) > TABLE_WORDS:
                     known = {}
-                for word in set(split) - known.keys():
-                    known[word] = count(MARK + word.decode())
+                for word in split:
+                    if word not in known:  # a set difference would walk the whole table for each text
+                        known[word] = count(MARK + word.decode())
                 words.append(len(split))
                 tokens.append(sum(map(known.__getitem__, split)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
