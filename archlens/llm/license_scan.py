@@ -24,6 +24,8 @@ from archlens.llm.common import cut, id_and_text
 from archlens.llm.native import NOT_ALNUM, filter_words, hits, shingle_hashes, words
 
 SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
+#: Characters of all templates up to which their bands and shingles are broadcast; beyond, the joins shuffle.
+BROADCAST_CHARS = 1 << 18
 #: Public licence notices as they stand in files.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -60,6 +62,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_windows (distinct windows that hold a template) and licenses (sorted names found) of each row."""
     known = template_table(docs.sparkSession, templates)
+    way = "broadcast" if sum(len(text) for _, text in templates) <= BROADCAST_CHARS else "merge"
     of_step: dict[int, list[int]] = {}
     for row in known.select("step", "hashes").collect():  # the templates came from the driver
         of_step.setdefault(row.step, []).extend(row.hashes)
@@ -77,8 +80,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
     listed = cut(shaped.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("windows")))
     each = listed.select("row", F.explode("windows").alias("x")).select("row", "x.step", "x.low", "x.own", _bands(F.col("x.hashes")).alias("bands"))
     signed = each.select("row", "step", "low", "own", F.posexplode("bands").alias("band", "least"))
-    its = known.select("template", "name", "step", "shingles", F.posexplode(_bands(F.col("hashes"))).alias("band", "least"))
-    retrieved = signed.join(its, ["step", "band", "least"]).groupBy("row", "step", "low", "template").agg(F.first("own").alias("own"), F.first("name").alias("name"), F.first("shingles").alias("shingles"))
-    held = retrieved.filter(F.size(F.array_intersect(_strings(F.col("own")), "shingles")) >= CONTAINED * F.size("shingles"))
+    its = known.select("template", "step", F.posexplode(_bands(F.col("hashes"))).alias("band", "least"))
+    retrieved = signed.join(its.hint(way), ["step", "band", "least"]).groupBy("row", "step", "low", "template").agg(F.first("own").alias("own"))
+    paired = retrieved.join(known.select("template", "name", "shingles").hint(way), "template")
+    held = paired.filter(F.size(F.array_intersect(_strings(F.col("own")), "shingles")) >= CONTAINED * F.size("shingles"))
     matches = held.groupBy("row").agg(F.count_distinct("step", "low").alias("n_windows"), F.array_sort(F.collect_set("name")).alias("licenses"))
     return listed.join(matches, "row", "left").select("doc_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))

@@ -177,7 +177,9 @@ def test_ogg_round_trip_and_damage():
     assert ogg.page_checksum(b"OggS\0\x02") == crc
 
 
-def test_licenses(spark):
+@pytest.mark.parametrize("bound", [license_scan.BROADCAST_CHARS, 0], ids=["broadcast", "shuffle"])
+def test_licenses(spark, monkeypatch, bound):
+    monkeypatch.setattr(license_scan, "BROADCAST_CHARS", bound)
     words = " ".join(f"word{k}" for k in range(200))
     long = license_scan.TEMPLATES[7][1]
     rows = [(1, words), (2, f"{words}\nReleased under the MIT License. {words}"), (3, f"{words} {long.replace('charge', 'fee')} {words}"), (4, "released under the mit"), (5, "Licensed under CC BY-NC 4.0.")]
