@@ -7,6 +7,11 @@ shingles have a similarity of 0.18 or more, and BANDS bands of one minimum colli
 1 - (1 - 0.18) ** 64 > 0.99999. What collides is verified: exact containment of the template's shingles, as strings,
 in the window.
 
+Licences have much text in common (GPL-3.0's notice holds nine tenths of LGPL-3.0's), so templates that hold at one
+place compete: of a held template the stretch of its own length with the most of its shingles is its place, and its
+score the shingles there less those that are missing (for templates of one length, the order of containment). A
+template is no finding if at more than half of the shingles of its place another licence's has a higher score.
+
 A window that shares no shingle with any template has similarity 0 and can't collide, so signatures are made of the
 other windows only: a row's shingles first pass a bit set of those of all templates.
 
@@ -17,7 +22,9 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archlens.llm.common import cut, id_and_text
@@ -26,6 +33,18 @@ from archlens.llm.native import NOT_ALNUM, filter_words, hits, shingle_hashes, w
 SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
 #: Characters of all templates up to which their bands and shingles are broadcast; beyond, the joins shuffle.
 BROADCAST_CHARS = 1 << 18
+#: Name, words before "Public License" and version of GNU licences; GPL-3.0's notices stand below.
+GNU = [("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")]
+CREATIVE = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+_EXCEPT = "you may not use this file except in compliance with the License. You may obtain a copy of the License at"
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_MIT_IF = ", subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER'
 #: Public licence notices as they stand in files.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -37,6 +56,32 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    *[(n, f"This {x} is free software: you can redistribute it and/or modify it under the terms of the GNU {k} Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.") for n, k, v in GNU for x in ("program", "library")],
+    *[(n, f"This {x} is free software; you can redistribute it and/or modify it under the terms of the GNU {k} Public License version {v} as published by the Free Software Foundation") for n, k, v in GNU for x in ("program", "library")],
+    *[(n, f"This work is licensed under the GNU {k} Public License, version {v}.") for n, k, v in GNU],
+    *[(f"CC-{n}-{v}", f"This work is licensed under {a} Creative Commons {words} {v} {where} License") for n, words in CREATIVE for v, where in (("4.0", "International"), ("3.0", "Unported")) for a in ("a", "the")],
+    *[(f"CC-{n}-{v}", f"Licensed under CC {n} {v}.") for n, _ in CREATIVE for v in ("4.0", "3.0")],
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
+    ("Apache-2.0", f'Licensed under the Apache License, Version 2.0 (the "License"); {_EXCEPT} http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", f"{_MIT} {_MIT_IF} {_MIT_WARRANTY}"),
+    ("MIT-0", f"{_MIT} {_MIT_WARRANTY}"),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_WARRANTY}"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_WARRANTY}"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES}"),
+    ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_WARRANTY}"),
+    ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("0BSD", f"{_ISC}. {_ISC_WARRANTY}"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-1.1", f'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License"); {_EXCEPT} http://www.mozilla.org/MPL/'),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-v20.html"),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following'),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
 ]
 
 
@@ -59,6 +104,26 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> Dat
     return shaped.select("template", "name", "shingles", "hashes", F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes")))).cast("int").alias("step"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of `value`, which is computed once: as a column it would be computed anew in each step of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _best(held: DataFrame) -> DataFrame:
+    """row, step, low, template, name and whether no other licence holds better at its place; see the module."""
+    n = F.size("shingles")
+    every = F.transform(F.slice("own", F.lit(1), F.size("own") - SHINGLE + 1), lambda _, i: F.array_join(F.slice("own", i + 1, SHINGLE), " "))
+    at = F.array_compact(F.transform(every, lambda x, i: F.when(F.array_contains("shingles", x), F.col("low") + i)))
+    stretch = lambda a, p: F.filter(a, lambda q: (q >= p) & (q < p + n))
+    first = lambda a: F.array_max(F.transform(a, lambda p: F.struct(F.size(stretch(a, p)).alias("n"), (-p).alias("low"))))
+    place = _once(at, lambda a: _once(first(a), lambda x: stretch(a, -x["low"])))
+    each = held.select("row", "step", "low", "template", "name", _once(place, lambda a: F.struct(a.alias("at"), (2 * F.size(a) - n).alias("score"))).alias("place"))
+    each = each.select("row", "step", "low", "template", "name", "place.score", F.explode("place.at").alias("pos"))
+    top = F.max(F.struct("score", "name")).over(Window.partitionBy("row", "pos"))
+    beaten = (F.col("top.score") > F.col("score")) & (F.col("top.name") != F.col("name"))
+    return each.withColumn("top", top).groupBy("row", "step", "low", "template", "name").agg((2 * F.count_if(beaten) <= F.count("*")).alias("best"))
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_windows (distinct windows that hold a template) and licenses (sorted names found) of each row."""
     known = template_table(docs.sparkSession, templates)
@@ -84,5 +149,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col:
     retrieved = signed.join(its.hint(way), ["step", "band", "least"]).groupBy("row", "step", "low", "template").agg(F.first("own").alias("own"))
     paired = retrieved.join(known.select("template", "name", "shingles").hint(way), "template")
     held = paired.filter(F.size(F.array_intersect(_strings(F.col("own")), "shingles")) >= CONTAINED * F.size("shingles"))
-    matches = held.groupBy("row").agg(F.count_distinct("step", "low").alias("n_windows"), F.array_sort(F.collect_set("name")).alias("licenses"))
+    matches = _best(held).groupBy("row").agg(F.count_distinct("step", "low").alias("n_windows"), F.array_sort(F.collect_set(F.when(F.col("best"), F.col("name")))).alias("licenses"))
     return listed.join(matches, "row", "left").select("doc_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))

@@ -187,6 +187,19 @@ def test_licenses(spark, monkeypatch, bound):
     assert got == {1: [], 2: ["MIT"], 3: ["MIT"], 4: [], 5: ["CC-BY-NC-4.0"]}
 
 
+def test_near_identical_notices_go_to_their_own_licence(spark):
+    header = "{} is free software{} you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    gnu = {"GPL-2.0": ("This program", ";", "General", "2"), "GPL-3.0": ("Foo", ":", "General", "3"), "LGPL-2.1": ("This library", ";", "Lesser General", "2.1"), "LGPL-3.0": ("This program", ":", "Lesser General", "3"), "AGPL-3.0": ("This program", ":", "Affero General", "3")}
+    rest = " ".join(f"word{k}" for k in range(60))
+    cases = [({k}, header.format(*v)) for k, v in gnu.items()] + [({name}, text) for name, text in license_scan.TEMPLATES]
+    cases += [({"LGPL-3.0", "GPL-3.0"}, f"{header.format(*gnu['LGPL-3.0'])}\n{header.format(*gnu['GPL-3.0'])}"), ({"LGPL-3.0", "GPL-3.0"}, f"{header.format(*gnu['GPL-3.0'])} {rest} {header.format(*gnu['LGPL-3.0'])}")]
+    bsd2, bsd3 = (next(text for name, text in license_scan.TEMPLATES if name == f"BSD-{k}-Clause" and "THIS SOFTWARE" in text) for k in (2, 3))
+    cases += [({f"BSD-{k}-Clause"}, text.replace("source code", "code").replace("PROVIDED BY", "GIVEN BY")) for k, text in ((2, bsd2), (3, bsd3))]
+    docs = frame(spark, [(k, f"{rest}\n{text}\n{rest}") for k, (_, text) in enumerate(cases)])
+    got = {r.doc_id: set(r.licenses) for r in license_scan.scan(docs).collect()}
+    assert {k: (want, got[k], text) for k, (want, text) in enumerate(cases) if got[k] != want} == {}
+
+
 @pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, key):
     con = duckdb.connect()
