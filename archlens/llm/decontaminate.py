@@ -26,8 +26,8 @@ WINDOW, SHINGLE = 13, 3
 
 
 def _hashed(df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Adds `seen`, the words for the search (all letters lower-cased: a superset of the equal ones), and hashes of shingles."""
-    df = df.withColumn("seen", words(F.lower("text"), NOT_ALPHA))
+    """Adds `seen`, the words (A-Z lower-cased, as they are compared), and hashes of shingles."""
+    df = df.withColumn("seen", words(ascii_lower(F.col("text")), NOT_ALPHA))
     return df.withColumns({f"h{k}": shingle_hashes("seen", k) for k in sizes})
 
 

@@ -200,6 +200,12 @@ def test_near_identical_notices_go_to_their_own_licence(spark):
     assert {k: (want, got[k], text) for k, (want, text) in enumerate(cases) if got[k] != want} == {}
 
 
+def test_items_with_a_sigma_before_other_punctuation(spark):
+    bench = spark.createDataFrame([(1, "one ΛΟΓΟΣ ΑΛΛΑ")], "item_id long, text string")
+    got = decontaminate.find_items(frame(spark, [(1, "x ONE ΛΟΓΟΣ.ΑΛΛΑ y"), (2, "one λογος αλλα")]), bench).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == {1: (5, 3, ["1"]), 2: (3, 0, [])}
+
+
 @pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, key):
     con = duckdb.connect()
