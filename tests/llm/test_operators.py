@@ -206,6 +206,16 @@ def test_items_with_a_sigma_before_other_punctuation(spark):
     assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == {1: (5, 3, ["1"]), 2: (3, 0, [])}
 
 
+def test_a_long_text_holds_only_its_own_features(spark):
+    rng = np.random.default_rng(7)
+    long = "".join(rng.choice(list("nopqrstuvwxyz"), 400_000))
+    rows = [(k, f"{'bad deed' if k % 2 else 'calm face'} {'abcdefghijkl'[k % 12]}") for k in range(40)]
+    docs = frame(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int"))
+    nothing, alone, repeated = model.logits([b"", b"bad deed", b"bad deed " * 1000])
+    assert abs(model.logits([long.encode()])[0] - nothing) < 0.05 and alone > nothing and repeated > nothing
+
+
 @pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, key):
     con = duckdb.connect()
