@@ -216,6 +216,15 @@ def test_a_long_text_holds_only_its_own_features(spark):
     assert abs(model.logits([long.encode()])[0] - nothing) < 0.05 and alone > nothing and repeated > nothing
 
 
+def test_pipeline_drops_contaminated_texts_not_ids(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    far = " ".join(f"x{'abcdefghij'[k % 10]}" for k in range(100))
+    rows = [(None, "one two three four"), (None, "clean text"), (1, "a One two, three four"), (1, "another clean text"), (2, f"{far} one two three four"), (3, None), (None, None)]
+    want = [(i, t) for i, t in rows if t is None or "two" not in t or len(t.split()) > 80]
+    out = corpus_pipeline.drop_contaminated(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("key", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, key):
     con = duckdb.connect()
