@@ -9,33 +9,51 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
 CHUNK_BYTES = 1 << 19
 #: Rows of an Arrow batch: long texts shall not add up to gigabytes in a Python worker.
 BATCH_ROWS = 400
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary folder that goes with this process."""
+    """The folder in spark.checkpoint.dir. In local mode (tests) an unset one becomes a temporary folder that goes with
+    this process; on a cluster it has to be set, as a folder of one machine would lose what the others write."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-checkpoint-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again: later jobs neither recompute it nor need the executors that made it."""
+def _path(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def cut(df: DataFrame, *used: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: later jobs neither recompute it nor need the executors that made it.
+
+    `used`: results of earlier cuts that nothing needs any more; they are deleted. The rest goes when the JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    where, files = _path(spark, path)
+    files.deleteOnExit(where)
+    for old in used:
+        gone, files = _path(spark, old.__dict__["_cut_path"])
+        files.delete(gone, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
@@ -43,8 +61,14 @@ def partitions(spark: SparkSession) -> int:
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow in batches of at most BATCH_ROWS rows.
+
+    Spark reads the size when the plan runs, so it stays set in the session; a size that the session has set lower is
+    left as it is.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
     return df.mapInArrow(function, schema)
 
 
@@ -67,9 +91,28 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names, whatever else the table holds."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def named(column: str) -> Column:
+    """A column by its name, also one with dots in it."""
+    return F.col(quoted(column))
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    return [named(c) for c in df.columns]
 
 
-def replace_columns(docs: DataFrame, **columns) -> DataFrame:
-    """`docs` with columns replaced in place and the rest left as they are."""
-    return docs.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores as keep it apart from the columns of `df`."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

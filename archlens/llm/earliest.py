@@ -1,16 +1,15 @@
-"""Which of the rows that share a key came first: the exchange behind substring and line deduplication.
+"""Which of the rows that share a key came first: the exchange behind substring deduplication.
 
-A row is (key, part, doc, item): `key` and `part` are 64-bit names, (doc, item) says which came earlier. Two answers
-go back to documents:
+A row is (key, part, check, doc). Two answers go back to documents:
 
-later      an earlier row has the same key and part
-contested  the row is the first of its key and part, and its key also has other parts
+later      a document with a smaller id has a row of the same key, part and check
+contested  the row is the first of its key, part and check, and its key also has other parts
 
-Rows are packed into one binary per bucket of keys, as a row of Spark's own would double what is shuffled. Before
-that, each task settles what it can by itself: of the rows with one key and part only the first is sent, and of a
-key that has several parts in the task only a notice goes by the key, its rows by key and part. So a key or a part
-that a third of all documents hold reaches its partition as a few rows from each task, and no row is dropped: what a
-task settles by itself goes along as an answer.
+Spark groups the rows. Before that, each task settles what it can by itself, as a map-side combine does: of the rows with
+one key, part and check only the first is sent, the others are answers already. Of a key with several parts in a task only a
+notice goes by the key, and its rows by key and part. So a key or a part that a third of all documents hold reaches
+its partition as a few rows from each task, and no row is dropped. Rows travel as arrays by bucket of their keys,
+since a row of Spark's own for each of them would double what is shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlens.llm.common import map_batches, partitions
@@ -28,24 +26,10 @@ from archlens.llm.words import U, mix
 
 #: Rows that a task gathers before it settles and sends them.
 FLUSH_ROWS = 1 << 18
-PACKED = "bucket int, answers boolean, packed binary"
-ANSWERS = "doc_id long, item long, later boolean"
-_KINDS = (U, U, np.int64, np.int64, np.uint8)
-#: Marks of a row: nothing known, its key is known to be contested, only a notice that its key is.
-OPEN, CONTESTED, NOTICE = 0, 1, 2
-
-
-def _pack(columns: list[np.ndarray]) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(c.astype(k, copy=False).tobytes() for c, k in zip(columns, _KINDS, strict=True)))
-
-
-def _unpack(packed: bytes) -> list[np.ndarray]:
-    data, at, out = zstandard.ZstdDecompressor().decompress(packed), 0, []
-    n = len(data) // sum(np.dtype(k).itemsize for k in _KINDS)
-    for k in _KINDS:
-        out.append(np.frombuffer(data, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+#: Marks of a row: nothing known, its key is known to be contested, only a notice that its key is, an answer.
+OPEN, CONTESTED, NOTICE, LATER = 0, 1, 2, 3
+SENT = "bucket int, key array<long>, part array<long>, check array<long>, doc array<long>, mark array<tinyint>"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8())
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -56,129 +40,67 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _sorted(columns: list[np.ndarray]) -> list[np.ndarray]:
-    key, part, doc, item, mark = columns
-    order = np.lexsort((item, doc, part, key))
-    return [c[order] for c in (key, part, doc, item, mark)]
-
-
-def _contested(key: np.ndarray, first: np.ndarray, mark: np.ndarray) -> np.ndarray:
-    """For sorted rows: whether the key has several parts or a notice of others."""
-    group = np.cumsum(_starts(key)) - 1
-    n = group[-1] + 1 if len(group) else 0
-    many = np.bincount(group[first & (mark != NOTICE)], minlength=n) > 1
-    many |= np.bincount(group[mark != OPEN], minlength=n) > 0
-    return many[group]
-
-
-def _send(columns: list[np.ndarray], to: np.ndarray, buckets: int, answers: bool) -> Iterator[pa.RecordBatch]:
-    bucket = (to % U(buckets)).astype(np.int64)
+def _send(columns: list[np.ndarray], to: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    bucket = (to % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
-    columns, bucket = [c[order] for c in columns], bucket[order]
+    bucket = bucket[order]
     edge = [*np.flatnonzero(_starts(bucket)).tolist(), len(bucket)]
     if len(bucket):
-        packed = [_pack([c[a:b] for c in columns]) for a, b in zip(edge, edge[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.array([answers] * len(packed)), pa.array(packed, pa.binary())], ["bucket", "answers", "packed"])
-
-
-class Outbox:
-    """A task's rows on their way to the exchange."""
-
-    def __init__(self, buckets: int, spread: bool, later: bool):
-        self.buckets, self.spread, self.later, self.rows, self.n = buckets, spread, later, [], 0
-
-    def add(self, key: np.ndarray, part: np.ndarray, doc: np.ndarray, item: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.rows.append((key, part, doc, item.view(np.int64), np.zeros(len(key), np.uint8)))
-        self.n += len(key)
-        if self.n >= FLUSH_ROWS:
-            yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.n:
-            return
-        columns = _sorted([np.concatenate(c) for c in zip(*self.rows, strict=True)])
-        self.rows, self.n = [], 0
-        new = _starts(*columns[:4])
-        columns = [c[new] for c in columns]
-        first = _starts(*columns[:2])
-        if self.later:
-            rest = [c[~first] for c in columns]
-            yield from _send(rest, mix(rest[2].view(U)), self.buckets, True)
-        key, part, doc, item, mark = (c[first] for c in columns)
-        to = mix(key)
-        if self.spread:
-            known = _contested(key, np.ones(len(key), bool), mark)
-            notice = known & _starts(key)
-            mark = np.where(known, CONTESTED, OPEN).astype(np.uint8)
-            to = np.concatenate((np.where(known, mix(key ^ mix(part)), to), to[notice]))
-            key, part, doc, item = (np.concatenate((c, c[notice])) for c in (key, part, doc, item))
-            mark = np.concatenate((mark, np.full(notice.sum(), NOTICE, np.uint8)))
-        yield from _send([key, part, doc, item, mark], to, self.buckets, False)
-
-
-def _answer(doc: np.ndarray, item: np.ndarray, later: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if len(doc):
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(item), pa.array(later)], ["doc_id", "item", "later"])
-
-
-def _settle(cross: bool, later: bool, contested: bool) -> Callable:
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            for answers, packed in zip(batch.column("answers").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-                columns = _unpack(packed)
-                if answers:
-                    yield from _answer(columns[2], columns[3], np.ones(len(columns[2]), bool))
-                else:
-                    rows.append(columns)
-        if not rows:
-            return
-        key, part, doc, item, mark = _sorted([np.concatenate(c) for c in zip(*rows, strict=True)])
-        true = mark != NOTICE
-        group = np.cumsum(_starts(key, part)) - 1
-        # a notice may stand first of its key and part; the first row that is none leads
-        seen = np.zeros(group[-1] + 1, np.int64) - 1
-        at = np.flatnonzero(true)[::-1]
-        seen[group[at]] = at
-        lead = np.zeros(len(key), bool)
-        lead[seen[seen >= 0]] = True
-        leader = seen[group]
-        late = (doc != doc[leader]) | (item != item[leader])  # a row given twice is not later than itself
-        if cross:
-            order = np.lexsort((item, doc))
-            rank = np.empty(len(key), np.int64)
-            rank[order] = np.cumsum(_starts(doc[order], item[order]))
-            whole = (part & U(0xFFFFFFFF)) == 0
-            new = _starts(key, part >> U(32))
-            of = np.cumsum(new) - 1
-            most = np.int64(len(key) + 1)
-            least = np.minimum.reduceat(rank, np.flatnonzero(new))[of]
-            least_whole = np.minimum.reduceat(np.where(whole, rank, most), np.flatnonzero(new))[of]
-            late |= rank > np.where(whole, least, least_whole)
-        late &= true
-        wanted = late if later else np.zeros(len(key), bool)
-        if contested:
-            wanted = wanted | (true & ~late & _contested(key, lead, mark))
-        yield from _answer(doc[wanted], item[wanted], late[wanted])
-
-    return settle
-
-
-def settle(df: DataFrame, rows_of: Callable[[pa.RecordBatch], Iterator[tuple]], *, later: bool = True, contested: bool = False, cross: bool = False) -> DataFrame:
-    """Answers to the rows that `rows_of` makes of each Arrow batch of `df`: doc_id, later items, contested items.
-
-    cross: the part's low half is a position, 0 for the whole of something; wholes then also meet all rows of their
-    key and upper half, and the others meet the wholes (see line deduplication).
-    """
+        lists = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(c[order].view(np.int64) if c.dtype == U else c[order], k)) for c, k in zip(columns, _KINDS, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), *lists], ["bucket", "key", "part", "check", "doc", "mark"])
+
+
+def _combine(rows: list[tuple], buckets: int, contested: bool) -> Iterator[pa.RecordBatch]:
+    """Sends a task's rows: the first of each key, part and check, and answers for the others."""
+    key, part, check, doc = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.lexsort((doc, check, part, key))
+    key, part, check, doc = key[order], part[order], check[order], doc[order]
+    same = _starts(key, part, check)
+    late = ~same
+    lead = np.flatnonzero(same)[np.cumsum(same) - 1]
+    late &= doc != doc[lead]  # rows of one document are never later than each other
+    once = late & _starts(key, part, check, doc)
+    yield from _send([key[once], part[once], check[once], doc[once], np.full(once.sum(), LATER, np.int8)], mix(doc[once].astype(U)), buckets)
+    key, part, check, doc = key[same], part[same], check[same], doc[same]
+    mark, to = np.zeros(len(key), np.int8), mix(key)
+    if contested and len(key):
+        new = _starts(key)
+        many = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+        notice = many & new
+        to = np.concatenate((np.where(many, mix(key ^ mix(part)), to), to[notice]))
+        mark = np.concatenate((np.where(many, CONTESTED, OPEN), np.full(notice.sum(), NOTICE))).astype(np.int8)
+        key, part, check, doc = (np.concatenate((c, c[notice])) for c in (key, part, check, doc))
+    yield from _send([key, part, check, doc, mark], to, buckets)
+
+
+def settle(df: DataFrame, rows_of: Callable[[pa.RecordBatch], Iterator[tuple]], *, contested: bool = False) -> DataFrame:
+    """Answers to the rows (key, part, check, doc) that `rows_of` makes of each Arrow batch of `df`: doc_id with the parts
+    of its later rows and, if asked for, of its contested ones."""
     n = partitions(df.sparkSession)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        box = Outbox(4 * n, contested, later)
+        held, count = [], 0
         for batch in batches:
             for rows in rows_of(batch):
-                yield from box.add(*rows)
-        yield from box.flush()
-
-    sent = map_batches(df, send, PACKED).repartition(n, "bucket")
-    answers = map_batches(sent, _settle(cross, later, contested), ANSWERS)
-    return answers.groupBy("doc_id").agg(F.collect_list(F.when(F.col("later"), F.col("item"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("item"))).alias("contested"))
+                held.append(rows)
+                count += len(rows[0])
+                if count >= FLUSH_ROWS:
+                    yield from _combine(held, 4 * n, contested)
+                    held, count = [], 0
+        if held:
+            yield from _combine(held, 4 * n, contested)
+
+    sent = map_batches(df, send, SENT).repartition(n, "bucket")
+    rows = sent.select("bucket", F.explode(F.arrays_zip("key", "part", "check", "doc", "mark")).alias("x")).select("bucket", "x.*")
+    # Partitioned by bucket already: both windows sort, and neither shuffles.
+    same = Window.partitionBy("key", "part", "check", "bucket")
+    first = F.min(F.when(F.col("mark") < NOTICE, F.col("doc"))).over(same)
+    later = (F.col("mark") == LATER) | ((F.col("mark") < NOTICE) & (F.col("doc") > F.col("first")))
+    found = rows.withColumn("first", first).withColumn("later", later)
+    if contested:
+        of_key = Window.partitionBy("key", "bucket")
+        ahead = F.when((F.col("mark") < NOTICE) & ~F.col("later"), F.struct("part", "check"))
+        found = found.withColumn("many", (F.max(F.when(F.col("mark") < LATER, F.col("mark"))).over(of_key) > OPEN) | (F.min(ahead).over(of_key) != F.max(ahead).over(of_key)))
+        found = found.filter(F.col("later") | (F.col("many") & (F.col("mark") < NOTICE)))
+        return found.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.when(F.col("later"), F.col("part"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("part"))).alias("contested"))
+    return found.filter("later").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("part").alias("later"))

@@ -1,8 +1,8 @@
 """Substring deduplication by recompression (operator 1).
 
 A text's words are symbols. Rounds of recompression name runs and pairs: of two neighbours that a coin of their names
-puts on the left and on the right, the pair becomes one symbol. A name is a 64-bit hash of what it stands for, so it
-is the same in every task without a dictionary, and equal stretches get the same symbols but for their ends. After
+puts on the left and on the right, the pair becomes one symbol. A name is a hash of what it stands for, so it is the
+same in every task without a dictionary, and equal stretches get the same symbols but for their ends. After
 two rounds a symbol inside a window depends on the window's words alone; the smallest name in the window's middle is
 its anchor, and neighbouring windows mostly share theirs. The stretch of windows with one anchor is what Spark
 exchanges, about one for four words, in two rounds:
@@ -11,7 +11,9 @@ exchanges, about one for four words, in two rounds:
    as a whole. A key that only one stretch has holds no repeat, and nothing more is asked about it.
 2. Of keys with several stretches the first of each stretch sends its single windows.
 
-Every window is settled by equality of 128 bits of names; none is left out, at any number of occurrences.
+Every stretch and window is settled by its key and by its words' names in two families whose hashes share nothing: 128
+bits, and 64 more of the anchor for stretches. Words themselves don't travel. No window is left out, at any number of
+occurrences.
 
 Defined results: null and empty texts have no words; a text of fewer words than a window loses nothing; rows of one
 doc_id never remove each other's words; rows without doc_id lose nothing and remove nothing; an empty table gives an
@@ -62,6 +64,7 @@ class Stretches:
 
     def __init__(self, words: Words, window: int):
         self.window, self.spans = window, Spans(words.name)
+        self.others = Spans(words.other_names(), 1)
         n = max(0, len(words.name) - window + 1)
         symbol, begin = recompress(words.name, words.doc)
         best, self.anchor = symbol[REACH : REACH + n], begin[REACH : REACH + n]
@@ -80,6 +83,7 @@ class Stretches:
         anchor = self.anchor[self.low]
         self.key = self.spans.name(anchor - 1, anchor + REACH + 1)
         self.part = self.spans.name(self.low, self.high + window)
+        self.check = self.others.name(self.low, self.high + window)
 
     def windows(self, which: np.ndarray) -> np.ndarray:
         """First words of the windows of the stretches marked in `which`."""
@@ -88,6 +92,9 @@ class Stretches:
     def names(self, at: np.ndarray) -> np.ndarray:
         return self.spans.name(at, at + self.window)
 
+    def checks(self, at: np.ndarray) -> np.ndarray:
+        return self.others.name(at, at + self.window)
+
 
 def _tagged(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
     return mix(name ^ mix(doc.astype(U) + U(1)))
@@ -124,7 +131,7 @@ def _stretch_rows(window: int):
         ids, given = _ids(batch)
         for a, _, _, s in _chunks(batch, window):
             use = given[a + s.doc]
-            yield s.key[use], s.part[use], ids[a + s.doc[use]], s.part[use]
+            yield s.key[use], s.part[use], s.check[use], ids[a + s.doc[use]]
 
     return rows
 
@@ -139,7 +146,7 @@ def _window_rows(window: int):
             which = _among(_tagged(s.doc, s.part), _listed(ask, a, b))
             at = s.windows(which)
             name = s.names(at)
-            yield s.key[s.of_window[which[s.of_window]]] if len(at) else name, name, ids[a + words.doc[at]], name
+            yield name, name, s.checks(at), ids[a + words.doc[at]]
 
     return rows
 
