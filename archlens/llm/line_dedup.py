@@ -1,138 +1,172 @@
 """Line deduplication by a deletion-neighbourhood join (operator 3).
 
-A line is its words; an edit inserts, deletes or replaces one word. A line is removed if an earlier line (smaller
-doc_id, then smaller line number) has the same words, or lies one edit away and the longer of the two has at least
-`min_words` words (five: the lines are then 80 % equal or more). The earliest stays.
+A line is its words; an edit inserts, deletes or replaces one word. A line is removed if an earlier line (smaller doc_id,
+or in one document a smaller line number) has the same words, or lies one edit away and the longer of the two has at
+least `min_words` words (five: the lines are then 80 % equal or more). The earliest stays.
 
-Each line emits the names of all its variants: itself, and itself without the word at each place. Two lines are one
-edit apart exactly if they share a variant and either both left out the word at the same place (a replacement) or one
-is itself the variant (an insertion); the place is part of the key, so shared keys carry their own proof and the
-earliest line is found by a grouped minimum, with no pairs at all. A name and its check are 96 bits.
+Copies are grouped by a 128-bit digest of their words. Of each distinct line every variant is hashed as a key: itself,
+and itself without the word at each place. Lines with an equal key join the earliest of them, where the places agree or
+one of the two is whole (only then is their distance one), and the distance of each such pair is verified on the words
+themselves. The earliest line of a key and place is a grouped minimum, so no pairs inside a key are made.
 
 Most lines have no partner. Of two lines one edit apart the first or the last half is equal, so only lines that share
-such a half with another line send variants; this loses none.
+such a half with another line make variants; this loses none.
+
+The bound is one word whatever a line's length, as the variants of k edits grow with the k-th power of the length; lines
+two or more edits apart both stay.
 
 Defined results: lines are split at newlines; lines without words stay and are never removed; a null text stays null;
-repeated rows of one doc_id count as the same document, in which equal lines have equal numbers and stay; rows without
-doc_id lose nothing; empty tables give empty results. A document that loses all its lines stays, with an empty text.
+rows of one doc_id count as the same document and never remove each other's lines, but each row loses the lines it
+repeats itself; rows without doc_id lose nothing and remove nothing; empty tables give empty results. A document that
+loses all its lines stays, with an empty text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import chunks, cut, id_and_text, map_batches, texts_of
-from archlens.llm.earliest import settle
-from archlens.llm.words import Spans, U, Words, mix
-
-class Lines:
-    """The lines with words of some texts: their words from `low` to `high`, their document and number in it."""
-
-    def __init__(self, texts: list[bytes]):
-        self.words = words = Words(texts)
-        self.spans = Spans(words.name)
-        self.check = Spans(mix(words.name ^ U(0x4C494E45)))
-        self.newline = np.flatnonzero(words.buf == 10)
-        line = np.searchsorted(self.newline, words.start)
-        self.low = np.flatnonzero(np.diff(line, prepend=-1))
-        self.high = np.append(self.low[1:], len(line))[: len(self.low)]
-        self.size = self.high - self.low
-        self.doc = words.doc[self.low]
-        self.first_line = np.searchsorted(self.newline, words.first_byte)
-        self.number = line[self.low] - self.first_line[self.doc]
-
-
-def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Lines]]:
-    texts = texts_of(batch.column("text"))
-    for a, b in chunks(texts):
-        yield a, b, Lines(texts[a:b])
-
-
-def _owners(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column("doc_id")
-    return column.fill_null(0).to_numpy(), np.asarray(column.is_valid())
-
-
-def _exact_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    ids, given = _owners(batch)
-    for a, _, x in _each(batch):
-        use = given[a + x.doc]
-        low, high = x.low[use], x.high[use]
-        yield x.spans.name(low, high), x.check.name(low, high), ids[a + x.doc[use]], x.number[use]
-
-
-def _half_rows(min_words: int):
-    """Keys of lines' halves: of the line, and of the line that is one word shorter."""
-
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        ids, given = _owners(batch)
-        for a, _, x in _each(batch):
-            use = given[a + x.doc] & (x.size >= min_words - 1)
-            low, high, size = x.low[use], x.high[use], x.size[use]
-            whole, keys = x.spans.name(low, high), []
-            for base in (size, size - 1):
-                half = base // 2
-                head = x.spans.name(low, low + half) ^ mix(base.astype(U) * U(2))
-                tail = x.spans.name(high - (base - half), high) ^ mix(base.astype(U) * U(2) + U(1))
-                keys += [head, tail]
-            yield np.concatenate(keys), np.tile(whole, 4), np.tile(ids[a + x.doc[use]], 4), np.tile(x.number[use], 4)
-
-    return rows
-
-
-def _marked(x: Lines, column: pa.Array, a: int, b: int) -> np.ndarray:
-    """Which lines are listed, by number, in their document's row."""
-    lists = column.slice(a, b - a).to_pylist()
-    size = [len(v or ()) for v in lists]
-    listed = np.array([n for v in lists if v for n in v], np.int64)
-    flag = np.zeros(x.first_line[-1] + 1, bool)
-    flag[x.first_line[np.repeat(np.arange(b - a), size)] + listed] = True
-    return flag[x.first_line[x.doc] + x.number]
-
-
-def _variant_rows(min_words: int):
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        batch = batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column("candidates")).fill_null(0), 0))
-        ids = batch.column("doc_id").to_numpy()
-        for a, b, x in _each(batch):
-            use = _marked(x, batch.column("candidates"), a, b)
-            low, high, size, doc, number = x.low[use], x.high[use], x.size[use], ids[a + x.doc[use]], x.number[use]
-            top = U(0xFFFFFFFF00000000)
-            yield x.spans.name(low, high), x.check.name(low, high) & top, doc, number
-            long = np.flatnonzero(size >= min_words)
-            of = np.repeat(long, size[long])
-            place = np.arange(len(of)) - np.repeat(np.cumsum(size[long]) - size[long], size[long])
-            gap = low[of] + place
-            part = (x.check.without(low[of], high[of], gap) & top) | (place + 1).astype(U)
-            yield x.spans.without(low[of], high[of], gap), part, doc[of], number[of]
-
-    return rows
-
-
-def _drop_lines(text_col: str, names: list[str]):
-    def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+from archlens.llm.common import cut, fresh, id_and_text, map_batches, named, quoted, texts_of
+
+LINES = "doc long, number int, size int, a long, b long, halves array<long>"
+VARIANTS = "key long, place int, doc long, number int, line long, words binary"
+
+
+def _digest(words: list[bytes]) -> tuple[int, int]:
+    digest = blake2b(b" ".join(words), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _key(words: list[bytes], kind: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words), kind)
+
+
+def _halves(words: list[bytes]) -> list[int]:
+    """Keys of the halves of a line, and of the line that is one word shorter."""
+    n, out = len(words), []
+    for base in (n, n - 1):
+        out += [_key(words[: base // 2], 2 * base), _key(words[n - base + base // 2 :], 2 * base + 1)]
+    return out
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def one_edit(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether one inserted, deleted or replaced word, or none, makes two lists of words equal."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def _lines(min_words: int):
+    """The distinct lines of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, numbers, sizes, digests, halves, ends = [], [], [], [], [], [0]
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
+                seen = set()
+                for number, line in enumerate(text.split(b"\n")):
+                    words = line.split()
+                    if not words or (digest := _digest(words)) in seen:
+                        continue
+                    seen.add(digest)
+                    docs.append(doc)
+                    numbers.append(number)
+                    sizes.append(len(words))
+                    digests.append(digest)
+                    if len(words) >= min_words - 1:
+                        halves += _halves(words)
+                    ends.append(len(halves))
+            pairs = np.array(digests, np.int64).reshape(-1, 2)
+            columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _longs(halves))], ["doc", "number", "size", "a", "b", "halves"])
+
+    return run
+
+
+def _variants(min_words: int):
+    """The variants of each candidate line; its words stand in the row of the whole line alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for doc, text, asked in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("candidates").to_pylist(), strict=True):
+                lines = text.split(b"\n")
+                for number, digest in ((x["number"], x["a"]) for x in asked):
+                    words = lines[number].split() if number < len(lines) else []
+                    if not words or _digest(words)[0] != digest:
+                        continue  # a line of another row of this doc_id
+                    keys.append(_key(words))
+                    rows.append((0, doc, number, digest, b" ".join(words)))
+                    if len(words) >= min_words:
+                        keys += [_key(words[:k] + words[k + 1 :]) for k in range(len(words))]
+                        rows += [(k + 1, doc, number, digest, None) for k in range(len(words))]
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([_longs(keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "place", "doc", "number", "line", "words"])
+
+    return run
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those pairs of lines that are one edit apart."""
+    for batch in batches:
+        pairs = zip(batch.column("words").to_pylist(), batch.column("earlier").to_pylist(), strict=True)
+        yield batch.filter(pa.array([one_edit(a.split(b" "), b.split(b" ")) for a, b in pairs], pa.bool_())).select(["doc", "a"])
+
+
+def _near(texts: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
+    """doc and a of the first lines (rows of LINES) that lie one edit from an earlier one."""
+    keyed = first.filter(F.size("halves") > 0).select("doc", "number", "a", F.explode("halves").alias("half"))
+    shared = keyed.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("half")
+    candidates = keyed.join(shared, "half").groupBy("doc").agg(F.collect_set(F.struct("number", "a")).alias("candidates"))
+    asked = texts.join(candidates.hint("merge"), texts.doc_id == candidates.doc).select("doc_id", "text", "candidates")
+    variants = cut(map_batches(asked, _variants(min_words), VARIANTS))
+    here = F.struct("doc", "number", "line")
+    by_place = variants.groupBy("key", "place").agg(F.min(here).alias("first"), F.count("*").alias("n"))
+    by_key = by_place.groupBy("key").agg(F.collect_list(F.struct("place", "first")).alias("all"), F.sum("n").alias("n")).filter("n > 1").drop("n")
+    joined = variants.select("key", "place", "doc", "number", "line").join(by_key, "key")
+    fits = F.filter("all", lambda x: (x["place"] == F.col("place")) | (x["place"] == 0) | (F.col("place") == 0))
+    earliest = F.array_min(F.transform(fits, lambda x: x["first"]))
+    pairs = joined.withColumn("e", earliest).filter(F.struct("e.doc", "e.number") < F.struct("doc", "number")).select("doc", "number", F.col("line").alias("a"), F.struct("e.doc", "e.number", F.col("e.line").alias("a")).alias("e")).distinct()
+    known = variants.filter("place = 0").select(F.struct("doc", "number", F.col("line").alias("a")).alias("which"), "words").distinct()
+    both = pairs.join(known.select(F.col("which").alias("e"), F.col("words").alias("earlier")), "e").withColumn("which", F.struct("doc", "number", "a")).join(known, "which")
+    return map_batches(both.select("doc", "a", "words", "earlier"), _verified, "doc long, a long").distinct()
+
+
+def _drop_lines(text_col: str, own: str, removed_col: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch.column(text_col).is_valid()
-            for a, b in chunks(texts_of(batch.column(text_col))):
-                x = Lines(texts_of(batch.column(text_col).slice(a, b - a)))
-                gone = _marked(x, batch.column("line_dedup_copies"), a, b) | _marked(x, batch.column("line_dedup_near"), a, b)
-                drop = np.zeros(x.first_line[-1], bool)
-                drop[x.first_line[x.doc[gone]] + x.number[gone]] = True
-                kept = ~np.repeat(drop, np.diff(x.newline, prepend=-1))
-                out = x.words.buf[kept].tobytes()
-                edge = np.concatenate(([0], np.cumsum(kept)))[x.words.first_byte].tolist()
-                # the newline after a line goes with it; the last one only ends the text
-                texts = pa.array([out[i:j].removesuffix(b"\n") for i, j in zip(edge, edge[1:], strict=False)], pa.binary()).cast(pa.string())
-                ok = given.slice(a, b - a)
-                made = {text_col: pa.compute.if_else(ok, texts, None), "n_lines": pa.compute.if_else(ok, pa.array(np.diff(x.first_line)), 0), "n_removed": pa.array(np.bincount(x.doc[gone], minlength=b - a))}
-                yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c).slice(a, b - a) for c in names], names)
-
-    return drop_lines
+            given = batch.column(text_col).is_valid().to_pylist()
+            texts, totals, removed = [], [], []
+            for ok, doc, text, gone in zip(given, batch.column(own).to_pylist(), texts_of(batch.column(text_col)), batch.column(removed_col).to_pylist(), strict=True):
+                lines, seen, kept = text.split(b"\n"), set(gone or ()), []
+                for line in lines:
+                    if doc is not None and (words := line.split()):
+                        digest = _digest(words)[0]
+                        if digest in seen:
+                            continue
+                        seen.add(digest)
+                    kept.append(line)
+                texts.append(b"\n".join(kept) if ok else None)
+                totals.append(len(lines) if ok else 0)
+                removed.append(len(lines) - len(kept))
+            made = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names)
+
+    return run
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
@@ -142,15 +176,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     columns of these names).
     """
     texts = id_and_text(docs, id_col, text_col)
-    copies = settle(texts, _exact_rows)
-    candidates = settle(texts, _half_rows(min_words), later=False, contested=True)
-    asked = texts.join(cut(candidates.select("doc_id", F.col("contested").alias("candidates"))).hint("merge"), "doc_id", "left")
-    near = settle(asked, _variant_rows(min_words), cross=True)
-    found = docs.drop("n_lines", "n_removed").withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
-    fields = [(f.name, f.dataType.simpleString()) for f in found.schema.fields]
-    # Texts are joined by a shuffle whatever the answers' size, so the two joins share it.
-    for answers, name in ((copies, "line_dedup_copies"), (near, "line_dedup_near")):
-        own = answers.select(F.col("doc_id").alias(f"{name}_id"), F.col("later").alias(name))
-        found = found.join(own.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col(f"{name}_id"), "left").drop(f"{name}_id")
+    lines = cut(map_batches(texts.filter("doc_id is not null"), _lines(min_words), LINES))
+    least = lines.groupBy("a", "b").agg(F.min("doc").alias("least"))
+    marked = lines.join(least, ["a", "b"])
+    copies = marked.filter("doc > least").select("doc", "a")
+    near = _near(texts, marked.filter("doc = least"), min_words)
+    found = docs.drop("n_lines", "n_removed")
+    own, other, removed = fresh(found, "line_doc", "line_doc_gone", "line_gone")
+    gone = copies.union(near).groupBy(F.col("doc").alias(other)).agg(F.collect_set("a").alias(removed))
+    found = found.withColumns({text_col: named(text_col).cast("string"), own: named(id_col).cast("long")})
+    fields = [(f.name, f.dataType.simpleString()) for f in found.schema.fields if f.name != own]
+    joined = found.join(gone.hint("merge"), F.col(own) == F.col(other), "left").drop(other)
     names = [n for n, _ in fields] + ["n_lines", "n_removed"]
-    return map_batches(found, _drop_lines(text_col, names), ", ".join([*(f"`{n}` {t}" for n, t in fields), "n_lines long, n_removed long"]))
+    schema = [f"{quoted(n)} {t}" for n, t in fields] + ["n_lines long", "n_removed long"]
+    return map_batches(joined, _drop_lines(text_col, own, removed, names), ", ".join(schema))
