@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 #: ASCII bytes that separate words of letters and digits, and of letters.
 NOT_ALNUM, NOT_ALPHA = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Bits of the filter that a row's shingles meet before any leaves the row; its size doesn't depend on the input.
-FILTER_BITS = 1 << 21
+#: Bits of the filter that a row's shingles meet before any leaves the row: so many for each known shingle, in these bounds.
+BITS_EACH, FILTER_BITS = 32, (1 << 16, 1 << 24)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -29,21 +29,23 @@ def shingle_hashes(column: str, size: int) -> Column:
 
 
 def filter_words(hashes: DataFrame) -> Column:
-    """A bit set of the hashes in column `h` as a constant array; at most FILTER_BITS / 64 rows reach the driver."""
-    bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+    """A bit set of the distinct hashes in column `h` as a constant array; at most FILTER_BITS[1] / 64 rows reach the driver."""
+    n, (low, high) = hashes.count() * BITS_EACH, FILTER_BITS
+    size = min(max(1 << max(n - 1, 1).bit_length(), low), high)
+    bit = F.col("h").bitwiseAND(F.lit(size - 1))
     rows = hashes.select(F.shiftright(bit, 6).cast("int").alias("i"), bit.bitwiseAND(F.lit(63)).cast("int").alias("b")).groupBy("i").agg(F.expr("bit_or(shiftleft(1L, b))").alias("v"))
-    values = [0] * (FILTER_BITS // 64)
+    values = [0] * (size // 64)
     for i, v in rows.collect():
         values[i] = v
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
 
 
 def passes(h: Column, bits: Column) -> Column:
-    """Whether the hash `h` is in the bit set; also true for about one other hash in FILTER_BITS / (number of hashes)."""
-    bit = h.bitwiseAND(F.lit(FILTER_BITS - 1))
-    return F.getbit(F.get(bits, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+    """Whether the hash `h` is in the bit set; also true for a share of other hashes that is that of the bits set."""
+    place = F.shiftright(h, 6).bitwiseAND((F.size(bits) - 1).cast("long")).cast("int")
+    return F.getbit(F.get(bits, place), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def hits(column: str, bits: Column) -> Column:
-    """The places and hashes of the array `column` of hashes that pass the filter."""
-    return F.array_compact(F.transform(column, lambda h, i: F.when(passes(h, bits), F.struct(i.alias("pos"), h.alias("h")))))
+    """The places of the array `column` of hashes that pass the filter."""
+    return F.array_compact(F.transform(column, lambda h, i: F.when(passes(h, bits), i)))
