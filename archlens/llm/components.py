@@ -35,6 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(_large_star(edges)), edges)
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -5,8 +5,8 @@ max_bits + 2 blocks, and each choice of two blocks is a join key: fingerprints t
 so many blocks at most, so they agree in two at least. Documents are first grouped by fingerprint, exact copies
 therefore count once, and only fingerprints that share a block key meet. What a key's fingerprints have in common
 already fixes half of their bits, so a key holds few distinct ones; where there are more than PAIRWISE, those equal
-after clearing a choice of max_bits free bits are linked (all within the distance, and every such pair shares one of
-these), which takes time in proportion to their number, not to its square.
+after clearing a choice of max_bits free bits are grouped (all within the distance, and every such pair shares one of
+these), which takes rows in proportion to their number, not to its square.
 
 Defined results: null and empty texts have no words and the fingerprint zero, and are linked like any other; repeated
 rows come back as often as they are there; rows without doc_id keep a null component and link nothing; an empty table
@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import chunks, cut, id_and_text, map_batches, partitions, texts_of
+from archlens.llm.common import chunks, cut, id_and_text, map_batches, texts_of
 from archlens.llm.components import components
 from archlens.llm.words import U, Words
 
 BITS = 64
-#: Fingerprints of one block key that are compared pair by pair.
-PAIRWISE = 64
+#: Fingerprints of one block key that are compared pair by pair; and the share of all rows, one in HOT, from which a
+#: fingerprint's rows don't travel.
+PAIRWISE, HOT = 64, 2000
 
 
 def _fingerprints_of(texts: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -68,38 +69,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
-def _lowest(labels: np.ndarray, fps: np.ndarray, masks: list[int]) -> np.ndarray:
-    """Spreads the lowest label over fingerprints that are equal under some mask, until nothing changes."""
-    while True:
-        before = labels.copy()
-        for mask in masks:
-            key = fps & U(mask)
-            order = np.argsort(key, kind="stable")
-            new = np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))
-            least = np.minimum.reduceat(labels[order], new)
-            labels[order] = np.repeat(least, np.diff(np.append(new, len(key))))
-        if (labels == before).all():
-            return labels
-
-
-def _bucket_links(fps: np.ndarray, nodes: np.ndarray, fixed: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(fps: np.ndarray, nodes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """For the fingerprints of a block key: each node with the lowest node it is linked to inside the key."""
     labels = nodes.copy()
-    if len(fps) <= PAIRWISE:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
-        while True:
-            least = np.where(near, labels[None, :], np.iinfo(np.int64).max).min(axis=1)
-            if (least == labels).all():
-                break
-            labels = least
-    else:
-        free = [1 << k for k in range(BITS) if not fixed >> k & 1]
-        full = (1 << BITS) - 1
-        labels = _lowest(labels, fps, [full & ~sum(chosen) for chosen in combinations(free, max_bits)])
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
+    while True:
+        least = np.where(near, labels[None, :], np.iinfo(np.int64).max).min(axis=1)
+        if (least == labels).all():
+            break
+        labels = least
     moved = labels != nodes
     return nodes[moved], labels[moved]
 
 
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def _block_masks(max_bits: int) -> list[int]:
     n = max_bits + 2
     edge = [BITS * k // n for k in range(n + 1)]
@@ -110,36 +96,47 @@ def _block_masks(max_bits: int) -> list[int]:
 def links(reps: DataFrame, max_bits: int = 2) -> DataFrame:
     """(fp, node) of distinct fingerprints -> (a, b) node pairs that connect all pairs within `max_bits` bits."""
     masks = _block_masks(max_bits)
-    signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("block")) for k, m in enumerate(signed)])
-    buckets = (
-        reps.select("fp", "node", F.explode(keys).alias("key"))
-        .groupBy("key.k", "key.block")
-        .agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
-        .filter(F.size("fps") > 1)
-    )
+    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for k, m in enumerate(masks)])
+    keyed = reps.select("fp", "node", F.explode(keys).alias("key")).select("fp", "node", "key.*")
+    sizes = keyed.groupBy("k", "block").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = keyed.join(sizes, ["k", "block"])
+    # At most PAIRWISE rows in a group: no list grows with the input.
+    few = shared.filter(F.col("n") <= PAIRWISE).groupBy("k", "block").agg(F.collect_list("fp").alias("fps"), F.collect_list("node").alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for k, fps, nodes in zip(*(batch.column(c).to_pylist() for c in ("k", "fps", "nodes")), strict=True):
-                x, y = _bucket_links(np.array(fps, np.int64).view(U), np.array(nodes, np.int64), masks[k], max_bits)
+            for fps, nodes in zip(batch.column("fps").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
+                x, y = _bucket_links(np.array(fps, np.int64).view(U), np.array(nodes, np.int64), max_bits)
                 a.append(x)
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return map_batches(buckets, run, "a long, b long")
+    return map_batches(few.select("fps", "nodes"), run, "a long, b long").union(_large_links(shared.filter(F.col("n") > PAIRWISE), masks, max_bits))
+
+
+def _large_links(keyed: DataFrame, masks: list[int], max_bits: int) -> DataFrame:
+    """Links inside large block keys: fingerprints that are equal after clearing a choice of max_bits free bits, each to the
+    least node of those, by a grouped minimum. All in such a group are within the distance, and every close pair is in one."""
+    full = (1 << BITS) - 1
+    choices = [[_signed(full & ~sum(1 << b for b in chosen)) for chosen in combinations([b for b in range(BITS) if not m >> b & 1], max_bits)] for m in masks]
+    of_key = F.split(F.get(F.array(*[F.lit(",".join(map(str, c))) for c in choices]), F.col("k")), ",").cast("array<long>")
+    cleared = keyed.select("fp", "node", "k", F.explode(of_key).alias("mask")).select("node", "k", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
+    least = cleared.groupBy("k", "mask", "rest").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top").drop("top")
+    return cleared.join(least, ["k", "mask", "rest"]).filter("node > b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links of at most `max_bits` differing bits)."""
     found = cut(fingerprints(docs, id_col, text_col, shingle))
-    reps = cut(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    grouped = components(links(reps, max_bits))
-    of_fp = reps.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    # A fingerprint may be that of a third of all documents: its rows are dealt over several partitions.
-    salts = max(8, partitions(docs.sparkSession) // 4)
-    spread = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    copies = of_fp.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    joined = spread.join(copies, ["fp", "salt"], "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    reps = cut(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
+    grouped = components(links(reps.select("fp", "node"), max_bits))
+    of_fp = reps.join(grouped, "node", "left").select("fp", "rows", F.coalesce("component", "node").alias("component_id"))
+    of_fp = cut(of_fp)
+    # A fingerprint may be that of a third of all documents. Those with more than 1 / HOT of all rows are fewer than HOT:
+    # their rows take the component from a broadcast; only the others meet theirs in a shuffle.
+    hot = F.broadcast(of_fp.filter(F.col("rows") > max(1, found.count() // HOT)).select("fp", F.col("component_id").alias("hot_id")))
+    marked = found.join(hot, "fp", "left")
+    rest = marked.filter("hot_id is null").select("doc_id", "fp").join(of_fp.select("fp", "component_id"), "fp", "left")
+    every = marked.filter("hot_id is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id")).union(rest.select("doc_id", "fp", "component_id"))
+    return every.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
