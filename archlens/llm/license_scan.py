@@ -1,19 +1,22 @@
 """License scans by MinHash bands over text windows (operator 5), in DataFrame functions throughout.
 
-A text's words (letters and digits, lower-cased) give shingles of five words. Windows of 2 * step shingles begin at
-every step-th one, for a step of each template's size class (a power of two, at least the template's shingles), so
-any stretch as long as a template lies inside a window. A window and a template that share 80 % of the template's
-shingles have a similarity of 0.18 or more, and BANDS bands of one minimum collide with a probability of
-1 - (1 - 0.18) ** 64 > 0.99999. What collides is verified: exact containment of the template's shingles, as strings,
-in the window.
+A text's words (letters and digits, A-Z lower-cased) give shingles of five words. For each size class of templates (of at
+most `cap` shingles and more than cap / sqrt(2)) windows of cap + stride - 1 shingles overlap, one beginning at every
+stride-th shingle, a quarter of cap, so any stretch as long as a template lies inside a window. A window that holds 80 %
+of a template's shingles has a Jaccard similarity of at least 0.8 / (1.25 * sqrt(2) + 0.2) = 0.4 with it.
+
+A band has two rows, the least and the greatest value of one hash function over the shingles, and agrees with the
+probability that both are shared: about the similarity's square, 0.16 or more. With BANDS = 64 bands a window is
+retrieved with a probability of 1 - (1 - 0.16) ** 64 > 0.9999. What is retrieved is verified: exact containment of the
+template's shingles, as strings, in the window.
 
 Licences have much text in common (GPL-3.0's notice holds nine tenths of LGPL-3.0's), so templates that hold at one
 place compete: of a held template the stretch of its own length with the most of its shingles is its place, and its
 score the shingles there less those that are missing (for templates of one length, the order of containment). A
 template is no finding if at more than half of the shingles of its place another licence's has a higher score.
 
-A window that shares no shingle with any template has similarity 0 and can't collide, so signatures are made of the
-other windows only: a row's shingles first pass a bit set of those of all templates.
+A window with fewer shingles of any template than 80 % of its class's shortest can hold none: a bit set of templates' shingles
+counts too many at most, so signatures are made of the other windows only.
 
 Defined results: null and empty texts match nothing; templates of fewer than five words have none; rows come back as
 often as they are given, whatever their doc_id; empty tables and an empty list of templates give no matches; other
@@ -22,17 +25,19 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlens.llm.common import cut, id_and_text
-from archlens.llm.native import NOT_ALNUM, filter_words, hits, shingle_hashes, words
+from archlens.llm.native import NOT_ALNUM, ascii_lower, filter_words, hits, shingle_hashes, words
 
 SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
-#: Characters of all templates up to which their bands and shingles are broadcast; beyond, the joins shuffle.
-BROADCAST_CHARS = 1 << 18
+#: Distinct shingles of all templates up to which their bands and shingles are broadcast (some 100 bytes each, and 2 kB a
+#: template for its bands); beyond, the joins shuffle.
+BROADCAST_SHINGLES = 1 << 15
 #: Name, words before "Public License" and version of GNU licences; GPL-3.0's notices stand below.
 GNU = [("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.0", "Library General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")]
 CREATIVE = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
@@ -93,15 +98,22 @@ def _strings(column: Column) -> Column:
 
 
 def _bands(hashes: Column) -> Column:
-    """The minimum of a window's shingle hashes under each of BANDS hash functions."""
-    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda b: F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, b))))
+    """The key of each band: the least and the greatest value of its hash function."""
+
+    def key(b: Column) -> Column:
+        each = F.transform(hashes, lambda h: F.xxhash64(h, b))
+        return _once(each, lambda x: F.xxhash64(F.array_min(x), F.array_max(x)))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(BANDS)), key)
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    """name, step, shingles (strings) and hashes of each template."""
-    texts = spark.createDataFrame(templates, "name string, text string").withColumn("template", F.monotonically_increasing_id()).withColumn("w", words(F.lower("text"), NOT_ALNUM))
+def template_table(templates: DataFrame) -> DataFrame:
+    """template (a number), name, cap, shingles (strings) and hashes of each row of `templates` (name, text) that has any."""
+    texts = templates.select(F.monotonically_increasing_id().alias("template"), "name", words(ascii_lower(F.col("text")), NOT_ALNUM).alias("w"))
     shaped = texts.withColumn("hashes", F.array_distinct(shingle_hashes("w", SHINGLE))).withColumn("shingles", _strings(F.col("w"))).filter("size(hashes) > 0")
-    return shaped.select("template", "name", "shingles", "hashes", F.pow(F.lit(2), F.ceil(F.log2(F.size("hashes")))).cast("int").alias("step"))
+    # A template's stretch has as many shingles as its text, repeats included.
+    n = F.size("w") - (SHINGLE - 1)
+    return shaped.select("template", "name", "shingles", "hashes", F.ceil(F.pow(F.lit(2.0), F.ceil(2 * F.log2(n)) / 2)).cast("int").alias("cap"))
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -110,44 +122,57 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _best(held: DataFrame) -> DataFrame:
-    """row, step, low, template, name and whether no other licence holds better at its place; see the module."""
+    """row, cap, low, template, name and whether no other licence holds better at its place; see the module."""
     n = F.size("shingles")
     every = F.transform(F.slice("own", F.lit(1), F.size("own") - SHINGLE + 1), lambda _, i: F.array_join(F.slice("own", i + 1, SHINGLE), " "))
     at = F.array_compact(F.transform(every, lambda x, i: F.when(F.array_contains("shingles", x), F.col("low") + i)))
     stretch = lambda a, p: F.filter(a, lambda q: (q >= p) & (q < p + n))
     first = lambda a: F.array_max(F.transform(a, lambda p: F.struct(F.size(stretch(a, p)).alias("n"), (-p).alias("low"))))
     place = _once(at, lambda a: _once(first(a), lambda x: stretch(a, -x["low"])))
-    each = held.select("row", "step", "low", "template", "name", _once(place, lambda a: F.struct(a.alias("at"), (2 * F.size(a) - n).alias("score"))).alias("place"))
-    each = each.select("row", "step", "low", "template", "name", "place.score", F.explode("place.at").alias("pos"))
+    each = held.select("row", "cap", "low", "template", "name", _once(place, lambda a: F.struct(a.alias("at"), (2 * F.size(a) - n).alias("score"))).alias("place"))
+    each = each.select("row", "cap", "low", "template", "name", "place.score", F.explode("place.at").alias("pos"))
     top = F.max(F.struct("score", "name")).over(Window.partitionBy("row", "pos"))
     beaten = (F.col("top.score") > F.col("score")) & (F.col("top.name") != F.col("name"))
-    return each.withColumn("top", top).groupBy("row", "step", "low", "template", "name").agg((2 * F.count_if(beaten) <= F.count("*")).alias("best"))
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_windows (distinct windows that hold a template) and licenses (sorted names found) of each row."""
-    known = template_table(docs.sparkSession, templates)
-    way = "broadcast" if sum(len(text) for _, text in templates) <= BROADCAST_CHARS else "merge"
-    of_step: dict[int, list[int]] = {}
-    for row in known.select("step", "hashes").collect():  # the templates came from the driver
-        of_step.setdefault(row.step, []).extend(row.hashes)
-    bits = filter_words(known.select(F.explode("hashes").alias("h")))
-
-    def windows(step: int) -> Column:
-        """The windows of this step that hold a shingle of its templates."""
-        own = F.filter("hits", lambda x: F.array_contains(F.lit(of_step[step]), x["h"]))
-        low = F.array_distinct(F.flatten(F.transform(own, lambda x: F.array(F.floor(x["pos"] / step), F.greatest(F.floor(x["pos"] / step) - 1, F.lit(0))))))
-        return F.transform(low, lambda k: F.struct(F.lit(step).alias("step"), (k * step).cast("int").alias("low"), F.slice("h", (k * step + 1).cast("int"), 2 * step).alias("hashes"), F.slice("w", (k * step + 1).cast("int"), 2 * step + SHINGLE - 1).alias("own")))
-
-    none = F.array().cast("array<struct<step:int,low:int,hashes:array<bigint>,own:array<string>>>")
-    shaped = id_and_text(docs, id_col, text_col).withColumn("w", words(F.lower("text"), NOT_ALNUM)).withColumn("h", shingle_hashes("w", SHINGLE)).withColumn("hits", hits("h", bits))
-    found = F.when(F.size("hits") > 0, F.concat(none, *[windows(s) for s in sorted(of_step)])).otherwise(none)
+    return each.withColumn("top", top).groupBy("row", "cap", "low", "template", "name").agg((2 * F.count_if(beaten) <= F.count("*")).alias("best"))
+
+
+def _windows(cap: int, need: int) -> Column:
+    """The windows of a size class with at least `need` shingles that pass the filter, in order of their place."""
+    stride = max(1, cap // 4)
+    size = cap + stride - 1
+
+    def around(p: Column, j: Column) -> Column:
+        """The windows that hold both this passing shingle and the one that is `need` - 1 further."""
+        low = F.greatest(F.floor((F.get("hits", j + (need - 1)) - size) / stride) + 1, F.lit(0)).cast("int")
+        high = F.floor(p / stride).cast("int")
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    numbers = F.array_distinct(F.flatten(F.transform(F.slice("hits", F.lit(1), F.greatest(F.size("hits") - (need - 1), F.lit(0))), around)))
+    return F.transform(numbers, lambda k: F.struct(F.lit(cap).alias("cap"), (k * stride).alias("low"), F.slice("h", k * stride + 1, size).alias("hashes"), F.slice("w", k * stride + 1, size + SHINGLE - 1).alias("own")))
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_windows (distinct windows that hold a template) and licenses (sorted names found) of each row.
+
+    `templates` has name and text, one row for each notice or licence; TEMPLATES if it isn't given.
+    """
+    if templates is None:
+        templates = docs.sparkSession.createDataFrame(TEMPLATES, "name string, text string")
+    known = cut(template_table(templates))
+    total = known.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    way = "broadcast" if total <= BROADCAST_SHINGLES else "merge"
+    # A row for each size class, so two for each doubling of the longest template's length.
+    classes = {r.cap: max(1, math.ceil(CONTAINED * r.least)) for r in known.groupBy("cap").agg(F.min(F.size("shingles")).alias("least")).collect()}
+    bits = filter_words(known.select(F.explode("hashes").alias("h")).distinct())
+    none = F.array().cast("array<struct<cap:int,low:int,hashes:array<bigint>,own:array<string>>>")
+    shaped = id_and_text(docs, id_col, text_col).withColumn("w", words(ascii_lower(F.col("text")), NOT_ALNUM)).withColumn("h", shingle_hashes("w", SHINGLE)).withColumn("hits", hits("h", bits))
+    found = F.when(F.size("hits") >= min(classes.values(), default=1), F.concat(none, *[_windows(c, n) for c, n in sorted(classes.items())])).otherwise(none)
     listed = cut(shaped.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("windows")))
-    each = listed.select("row", F.explode("windows").alias("x")).select("row", "x.step", "x.low", "x.own", _bands(F.col("x.hashes")).alias("bands"))
-    signed = each.select("row", "step", "low", "own", F.posexplode("bands").alias("band", "least"))
-    its = known.select("template", "step", F.posexplode(_bands(F.col("hashes"))).alias("band", "least"))
-    retrieved = signed.join(its.hint(way), ["step", "band", "least"]).groupBy("row", "step", "low", "template").agg(F.first("own").alias("own"))
-    paired = retrieved.join(known.select("template", "name", "shingles").hint(way), "template")
+    each = listed.select("row", F.explode("windows").alias("x")).select("row", "x.*")
+    signed = each.select("row", "cap", "low", F.posexplode(_bands(F.col("hashes"))).alias("band", "key"))
+    its = known.select("template", "cap", F.posexplode(_bands(F.col("hashes"))).alias("band", "key"))
+    retrieved = signed.join(its.hint(way), ["cap", "band", "key"]).select("row", "cap", "low", "template").distinct()
+    paired = retrieved.join(each.select("row", "cap", "low", "own"), ["row", "cap", "low"]).join(known.select("template", "name", "shingles").hint(way), "template")
     held = paired.filter(F.size(F.array_intersect(_strings(F.col("own")), "shingles")) >= CONTAINED * F.size("shingles"))
-    matches = _best(held).groupBy("row").agg(F.count_distinct("step", "low").alias("n_windows"), F.array_sort(F.collect_set(F.when(F.col("best"), F.col("name")))).alias("licenses"))
+    matches = _best(held).groupBy("row").agg(F.count_distinct("cap", "low").alias("n_windows"), F.array_sort(F.collect_set(F.when(F.col("best"), F.col("name")))).alias("licenses"))
     return listed.join(matches, "row", "left").select("doc_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), F.coalesce("licenses", F.array().cast("array<string>")).alias("licenses"))
