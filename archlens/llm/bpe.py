@@ -1,15 +1,16 @@
-"""BPE encoding and decoding over distinct words (operator 4).
+"""BPE encoding and decoding over one table of distinct words (operator 4).
 
-Texts are split at ASCII white space, which no token spans; each task keeps a table of the distinct words it has met,
-encodes a word when it first comes, and puts the words' ids back by position. Decoding joins ids with the pieces of
-the vocabulary, whose number is fixed. A table is emptied beyond TABLE_WORDS words, so its memory is bounded; that
-only encodes some words again.
+Texts are split at ASCII white space, which no token spans. Spark splits all texts and counts the distinct words of the
+corpus; those that repeat, the most frequent first and TABLE_WORDS at most, form the table. Each word of the table is
+encoded once, in parallel, and the table, whose size is bounded, goes to every task, which joins its ids back by the
+words' positions. What isn't in the table (words that stand once, very long ones, and the tail of a large corpus) is
+encoded where it stands, once in a chunk of texts. Decoding joins ids with the pieces of the vocabulary, whose number
+the file fixes.
 
-One table for the whole corpus would be joined by rows of (word, document, place): about 140 million for half a
-gigabyte, more than three times the input in shuffle files. Therefore each task has its own.
+To join the tail back from a table too, texts or token ids would have to travel by document; see the README for figures.
 
 Defined results: a null text counts as empty; an empty text has no ids, and decodes to an empty text; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; repeated rows are encoded each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import id_and_text, map_batches, texts_of
+from archlens.llm.common import chunks, cut, id_and_text, map_batches, quoted, texts_of
 
-#: Words that a task's table holds at most; with their ids they take about 200 MB.
-TABLE_WORDS = 1_000_000
+#: Words of the table at most, and bytes of a word in it: with their ids they take about 100 MB in a Python worker.
+TABLE_WORDS, WORD_BYTES = 500_000, 64
+#: Steps of a doubling of the words' counts by which the most frequent are chosen.
+STEPS = 8
 
 
 @lru_cache(maxsize=1)
@@ -40,35 +44,59 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-class WordTable:
-    """The distinct words a task has met, each with its ids as bytes of int32."""
+def _encoded(path: str, words: list[bytes]) -> list[bytes]:
+    """The ids of each word as bytes of int32."""
+    made = _tokenizer(path).encode_batch([w.decode() for w in words], add_special_tokens=False)
+    return [np.array(m.ids, np.int32).tobytes() for m in made]
 
-    def __init__(self, path: str):
-        self.tokenizer, self.ids = _tokenizer(path), {}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) > TABLE_WORDS:
-            self.ids = {}
-        new = [w for w in words if w not in self.ids]
-        for word, made in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(made.ids, np.int32).tobytes()
+def word_table(texts: DataFrame, tokenizer: str) -> DataFrame:
+    """word and ids (binary) of the most frequent words of `texts` (doc_id, text): TABLE_WORDS rows at most."""
+    words = texts.select(F.explode(F.split("text", r"[\x09-\x0D\x20]+")).alias("word"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(f"n > 1 and word <> '' and octet_length(word) <= {WORD_BYTES}")
+    counted = cut(counted.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")))
+    room, least = TABLE_WORDS, None
+    for step, n in counted.groupBy("step").agg(F.count("*")).orderBy(F.desc("step")).collect():  # a few hundred rows
+        room -= n
+        if room < 0:
+            break
+        least = step
+    chosen = counted.filter(F.col("step") >= least) if least is not None else counted.limit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(_encoded(tokenizer, texts_of(batch.column("word"))), pa.binary())], ["word", "ids"])
+
+    return map_batches(chosen.select("word"), run, "word string, ids binary")
+
+
+@lru_cache(maxsize=1)
+def _by_word(table: Broadcast) -> dict[bytes, bytes]:
+    """The table in a worker, made once for all of its tasks."""
+    words, ids = table.value
+    return dict(zip(words.to_pylist(), ids.to_pylist(), strict=True))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and `ids`, the array of token ids of each whole text under the vocabulary file `tokenizer`."""
+    texts = id_and_text(docs, id_col, text_col)
+    made = word_table(texts, tokenizer).toArrow().combine_chunks()
+    columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (made.column("word").cast(pa.binary()), made.column("ids").cast(pa.binary()))]
+    table = docs.sparkSession.sparkContext.broadcast(tuple(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(tokenizer)
+        known = _by_word(table)
         for batch in batches:
-            for start in range(0, batch.num_rows, 100):
-                part = batch.slice(start, 100)
-                split = [t.split() for t in texts_of(part.column("text"))]
-                table.learn(set().union(*split))
-                placed = [b"".join(map(table.ids.__getitem__, words)) for words in split]
+            every = texts_of(batch.column("text"))
+            for a, b in chunks(every):
+                split = [t.split() for t in every[a:b]]
+                rest = [w for w in set().union(*split) if w not in known]
+                own = dict(zip(rest, _encoded(tokenizer, rest), strict=True))
+                placed = [b"".join([known[w] if w in known else own[w] for w in words]) for words in split]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) // 4 for p in placed)]), pa.int32()), pa.array(np.frombuffer(b"".join(placed), np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>")
+    return map_batches(texts, run, "doc_id long, ids array<int>")
 
 
 def pieces(tokenizer: str) -> list[str]:
@@ -96,11 +124,11 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
             joined = [pa.compute.binary_join(pa.ListArray.from_arrays(offsets, t.take(flat)), " ") for t in tables]
             yield pa.RecordBatch.from_arrays([*batch.columns, joined[1], joined[0]], [*names, "ids_text", "decoded"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return map_batches(encoded, run, f"{schema}, ids_text string, decoded string")
 
 
-def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
+def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sizes and hashes of the encoding and of what it decodes to, by document."""
-    both = decode(encode(docs, tokenizer), tokenizer)
+    both = decode(encode(docs, tokenizer, id_col, text_col), tokenizer)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

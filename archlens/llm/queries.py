@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.llm import bpe, decontaminate, license_scan, line_dedup, ogg, quality, simhash, substring_dedup, token_counts, toxicity
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZER_FILES", "/opt/tokenizers")
+#: Files of public tokenizers.
+BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, folder, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.count_tokens(table(spark, folder, "documents"), PIECES)
 
 
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.digests(table(spark, folder, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return bpe.digests(table(spark, folder, "documents"), BPE)
 
 
 def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
