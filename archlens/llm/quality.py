@@ -7,9 +7,10 @@ grouped aggregation, where a path is shrunk toward its host and a host toward th
 estimated from the data: the variance between groups beyond what their sizes explain gives the number of documents
 that the wider group counts for. So a site with few documents keeps its group's prior.
 
-Defined results: a null text counts as empty; an empty text has neutral features; null hosts and paths form groups
-of their own; without labels of both kinds the evidence is 0 and every document is kept; rows come back as often as
-given; empty tables give empty results.
+Defined results: a null text counts as empty; an empty text has no characters and no words, so all its features are 0;
+null hosts and paths form groups of their own, apart from empty strings; without labels of both kinds the evidence is 0
+and every document is kept; rows come back as often as given; empty tables give empty results. Columns of the input that have
+the names of the results are replaced.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import chunks, cut, map_batches, texts_of
+from archlens.llm.common import chunks, columns_of, cut, fresh, map_batches, named, quoted, texts_of
 from archlens.llm.words import U, Words, mix
 
 SAMPLE_ROWS = 10_000
 #: Paths whose priors go to every executor (about 60 bytes each); beyond, they are joined by a shuffle over salts.
 BROADCAST_PATHS = 200_000
 SALTS = 32
+RESULTS = ["quality_evidence", "quality_host", "quality_path", "quality_score"]
 
 
 def _class(characters: bytes) -> np.ndarray:
@@ -38,14 +40,16 @@ def _class(characters: bytes) -> np.ndarray:
 
 
 _CLASSES = [_class(bytes(range(65, 91))), _class(b"0123456789"), _class(b"!?"), _class(b"#$%&*<>{}[]=+~^@\\/_"), _class(b"|"), _class(b".,;:"), _class(b"\n"), _class(bytes(range(128, 256)))]
-N_FEATURES = len(_CLASSES) + 6
+NEWLINE, N_FEATURES = 6, len(_CLASSES) + 6
 
 
 def features(texts: list[bytes]) -> np.ndarray:
     """A row of N_FEATURES numbers for each text."""
     words = Words(texts)
     size = np.maximum(np.diff(words.first_byte) - 1, 1)[:, None]
-    shares = np.stack([np.add.reduceat(c[words.buf], words.first_byte[:-1], dtype=np.int64) for c in _CLASSES], axis=1) / size
+    counts = np.stack([np.add.reduceat(c[words.buf], words.first_byte[:-1], dtype=np.int64) for c in _CLASSES], axis=1)
+    counts[:, NEWLINE] -= 1  # the one that ends a text in the buffer
+    shares = counts / size
     n = np.maximum(words.count, 1)
     per_doc = lambda x: np.bincount(words.doc, x, len(texts))
     length = (words.end - words.start).astype(float)
@@ -90,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     total = marks.agg(F.count("*").alias("n"), F.sum("label").alias("good")).first()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     drawn = marks.filter("label = 0").orderBy(*order).limit(SAMPLE_ROWS).union(marks.filter("label = 1").orderBy(*order).limit(SAMPLE_ROWS))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     sample = texts.join(F.broadcast(drawn), "doc_id").select("text", "label")
     got = map_batches(sample, _rows, "label int, x array<double>").toPandas()
     y = got["label"].to_numpy().astype(float)
@@ -114,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def with_evidence(docs: DataFrame, model: Evidence | None, text_col: str = "text", name: str = "evidence") -> DataFrame:
-    """`docs` with all its columns and the evidence of each row's text."""
+    """`docs` with all its columns and, as `name`, the evidence of each row's text."""
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
     fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
@@ -125,7 +129,7 @@ def with_evidence(docs: DataFrame, model: Evidence | None, text_col: str = "text
             z = np.concatenate([np.zeros(0), *(model.of(texts[a:b]) for a, b in chunks(texts))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], [*batch.schema.names, name])
 
-    return map_batches(docs, run, ", ".join([*(f"`{n}` {t}" for n, t in fields), f"`{name}` double"]))
+    return map_batches(docs, run, ", ".join([*(f"{quoted(n)} {t}" for n, t in fields), f"{quoted(name)} double"]))
 
 
 def _strength(groups: DataFrame, n: str, total: str, center: Column) -> float:
@@ -156,22 +160,39 @@ def site_priors(judged: DataFrame, share: float) -> DataFrame:
     return joined.select("host", "path", "host_prior", ((F.col("s") + k * F.col("host_prior")) / (F.col("n") + k)).alias("path_prior"))
 
 
+def site(url: Column) -> tuple[Column, Column]:
+    """Host and first segment of the path of a url; both null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    first = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)", 1)
+    return F.nullif(host, F.lit("")), F.when(host != "", first)
+
+
 def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with quality_evidence, quality_host, quality_path (priors) and quality_score, the posterior of being good."""
+    return _judge(docs.drop(*RESULTS), docs, labels, host, path, id_col, text_col, RESULTS)
+
+
+def judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """`docs` with all its columns, and the score as a column of the returned name, which `docs` doesn't have."""
+    names = fresh(docs, *RESULTS)
+    return _judge(docs, docs, labels, host, path, id_col, text_col, names), names[-1]
+
+
+def _judge(kept: DataFrame, docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str, text_col: str, names: list[str]) -> DataFrame:
     model, share = fit(docs, labels, id_col, text_col)
-    placed = docs.withColumns({"quality_h": F.coalesce(host.cast("string"), F.lit("")), "quality_p": F.coalesce(path.cast("string"), F.lit(""))})
-    narrow = placed.select(F.col("quality_h").alias("host"), F.col("quality_p").alias("path"), F.col(text_col).cast("string").alias("text"))
-    priors = cut(site_priors(with_evidence(narrow, model), share))
+    h, p, salt = fresh(docs, "quality_h", "quality_p", "quality_salt")
+    # A null stays apart from every string.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))
+    placed = docs.withColumns({h: key(host), p: key(path), salt: F.pmod(F.xxhash64(named(id_col), named(text_col)), F.lit(SALTS)).cast("int")})
+    narrow = placed.select(F.col(h).alias("host"), F.col(p).alias("path"), named(text_col).cast("string").alias("text"))
+    priors = cut(site_priors(with_evidence(narrow, model), share)).withColumnsRenamed({"host": h, "path": p, "host_prior": names[1], "path_prior": names[2]})
     if priors.count() <= BROADCAST_PATHS:
-        keys, priors, judged = ["host", "path"], F.broadcast(priors), placed
-    else:
-        keys = ["host", "path", "quality_salt"]
-        priors = priors.withColumn("quality_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        judged = placed.withColumn("quality_salt", F.pmod(F.hash(id_col), F.lit(SALTS)))
-    priors = priors.withColumnsRenamed({"host": "quality_h", "path": "quality_p", "host_prior": "quality_host", "path_prior": "quality_path"})
-    keys = [{"host": "quality_h", "path": "quality_p"}.get(k, k) for k in keys]
-    joined = with_evidence(judged, model, text_col, "quality_evidence").join(priors, keys)
-    prior = F.least(F.greatest("quality_path", F.lit(1e-6)), F.lit(1 - 1e-6))
-    posterior = 1 / (1 + F.exp(-(F.col("quality_evidence") + F.log(prior / (1 - prior)))))
-    kept = F.lit(1.0) if model is None else posterior
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "quality_evidence", "quality_host", "quality_path", kept.alias("quality_score"))
+        keys, priors = [h, p], F.broadcast(priors)
+    else:  # a site may hold a third of all documents
+        keys, priors = [h, p, salt], priors.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = placed.select(*columns_of(kept), *[F.col(c) for c in (h, p, salt)])
+    joined = with_evidence(own, model, text_col, names[0]).join(priors, keys)
+    prior = F.least(F.greatest(F.col(names[2]), F.lit(1e-6)), F.lit(1 - 1e-6))
+    posterior = 1 / (1 + F.exp(-(F.col(names[0]) + F.log(prior / (1 - prior)))))
+    score = F.lit(1.0) if model is None else posterior
+    return joined.select(*columns_of(kept), *[F.col(c) for c in names[:3]], score.alias(names[3]))
