@@ -12,7 +12,7 @@ import corpus_pipeline
 from archlens.llm import bpe, components, decontaminate, license_scan, line_dedup, ogg, quality, queries, simhash, substring_dedup, token_counts, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
-BPE, PIECES = f"{queries.TOKENIZERS}/word_bpe_49k.json", f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+BPE, PIECES = queries.BPE, queries.PIECES
 #: Names that operators use inside.
 EXTRA = ", ".join(f"{c} string" for c in ("later", "items", "hits", "h", "w", "own", "mark", "n_words", "component_id", "fp", "label", "score", "name", "asked"))
 PASSAGE = " ".join(f"w{k} of the" for k in range(30))
@@ -34,7 +34,7 @@ def test_every_operator_takes_odd_tables(spark, rows):
     for out in (
         substring_dedup.remove_repeats(docs), token_counts.count_tokens(docs, PIECES), line_dedup.drop_repeated_lines(docs), bpe.digests(docs, BPE), license_scan.scan(docs),
         toxicity.score(docs, toxicity.fit(docs, labels)), quality.judge(docs, labels, F.col("name"), F.col("w")), decontaminate.find_items(docs, bench),
-        decontaminate.find_items(docs, bench.limit(0)), ogg.store_texts(docs), simhash.near_duplicates(docs), license_scan.scan(docs, []),
+        decontaminate.find_items(docs, bench.limit(0)), ogg.store_texts(docs), simhash.near_duplicates(docs), license_scan.scan(docs, spark.createDataFrame([], "name string, text string")),
     ):
         assert len(out.collect()) == len(rows)
 
@@ -88,9 +88,12 @@ def test_repeated_rows_keep_their_lines(spark):
     assert sorted((r.doc_id, r.text) for r in out) == [(1, "one two\nthree four"), (1, "one two\nthree four"), (2, "")]
 
 
-def test_bpe_against_the_library(spark):
+@pytest.mark.parametrize("most", [500_000, 3, 0])
+def test_bpe_against_the_library(spark, monkeypatch, most):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(bpe, "TABLE_WORDS", most)
+
     tokenizer = Tokenizer.from_file(BPE)
     texts = ["Hello  WORLD's don't\tx1234 <|endoftext|>a", "É café ΣΑΣ İ ﬁ 漢字　😀", "", "a" * 500 + " b"]
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(frame(spark, list(enumerate(texts))), BPE), BPE).collect()}
@@ -140,16 +143,17 @@ def test_fingerprints_and_components_against_brute_force(spark):
     assert got == {i: (fps[i], root[i]) for i in fps}
 
 
-def test_large_block_equals_pairs():
+@pytest.mark.parametrize("most", [64, 2])
+def test_block_keys_of_any_size_connect_close_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "PAIRWISE", most)
     rng = np.random.default_rng(5)
-    fps = np.unique(rng.integers(0, 1 << 9, 200, dtype=np.uint64) << np.uint64(40))
-    fixed = (1 << 32) - 1
-    a, b = simhash._bucket_links(fps, np.arange(len(fps)), fixed, 2)
+    fps = np.unique(rng.integers(0, 1 << 9, 150, dtype=np.uint64) << np.uint64(40))
     labels = np.arange(len(fps))
     while (new := np.where(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, labels, len(fps)).min(axis=1)).tolist() != labels.tolist():
         labels = new
-    want = {(int(i), int(labels[i])) for i in range(len(fps)) if labels[i] != i}
-    assert len(fps) > simhash.PAIRWISE and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    reps = spark.createDataFrame([(int(f), k) for k, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    found = {r.node: r.component for r in components.components(simhash.links(reps)).collect()}
+    assert [found.get(k, k) for k in range(len(fps))] == labels.tolist()
 
 
 def test_components_of_a_chain(spark):
@@ -177,9 +181,9 @@ def test_ogg_round_trip_and_damage():
     assert ogg.page_checksum(b"OggS\0\x02") == crc
 
 
-@pytest.mark.parametrize("bound", [license_scan.BROADCAST_CHARS, 0], ids=["broadcast", "shuffle"])
+@pytest.mark.parametrize("bound", [license_scan.BROADCAST_SHINGLES, 0], ids=["broadcast", "shuffle"])
 def test_licenses(spark, monkeypatch, bound):
-    monkeypatch.setattr(license_scan, "BROADCAST_CHARS", bound)
+    monkeypatch.setattr(license_scan, "BROADCAST_SHINGLES", bound)
     words = " ".join(f"word{k}" for k in range(200))
     long = license_scan.TEMPLATES[7][1]
     rows = [(1, words), (2, f"{words}\nReleased under the MIT License. {words}"), (3, f"{words} {long.replace('charge', 'fee')} {words}"), (4, "released under the mit"), (5, "Licensed under CC BY-NC 4.0.")]
