@@ -9,8 +9,8 @@ and itself without the word at each place. Lines with an equal key join the earl
 one of the two is whole (only then is their distance one), and the distance of each such pair is verified on the words
 themselves. The earliest line of a key and place is a grouped minimum, so no pairs inside a key are made.
 
-Most lines have no partner. Of two lines one edit apart the first or the last half is equal, so only lines that share
-such a half with another line make variants; this loses none.
+Most lines have no partner. Two lines one edit apart have equal first or equal last words, as many as fit twice beside the
+edit, so only lines that share such a beginning or end with another line make variants; this loses none.
 
 The bound is one word whatever a line's length, as the variants of k edits grow with the k-th power of the length; lines
 two or more edits apart both stay.
@@ -23,7 +23,9 @@ loses all its lines stays, with an empty text.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -34,8 +36,10 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import cut, fresh, id_and_text, map_batches, named, quoted, texts_of
 
-LINES = "doc long, number int, size int, a long, b long, halves array<long>"
-VARIANTS = "key long, place int, doc long, number int, line long, words binary"
+LINES = "doc long, number int, a long, b long, head long, tail long, head2 long, tail2 long"
+VARIANTS = "key long, place int, lead boolean, doc long, number int, line long, words binary"
+#: Lengths of beginnings and ends: whole numbers that grow by about a fifth.
+LENGTHS = sorted({int(1.2**k) for k in range(100)})
 
 
 def _digest(words: list[bytes]) -> tuple[int, int]:
@@ -47,12 +51,11 @@ def _key(words: list[bytes], kind: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words), kind)
 
 
-def _halves(words: list[bytes]) -> list[int]:
-    """Keys of the halves of a line, and of the line that is one word shorter."""
-    n, out = len(words), []
-    for base in (n, n - 1):
-        out += [_key(words[: base // 2], 2 * base), _key(words[n - base + base // 2 :], 2 * base + 1)]
-    return out
+@lru_cache(maxsize=1 << 16)
+def _lengths(n: int) -> tuple[int, ...]:
+    """How many words at a side of a line of n words are keys: for lines of this length, and for those one shorter if other."""
+    fit = lambda m: LENGTHS[bisect_right(LENGTHS, (m - 1) // 2) - 1]
+    return tuple({fit(n), fit(n - 1)}) if n > 3 else (1,)
 
 
 def _longs(values: list[int]) -> pa.Array:
@@ -74,7 +77,7 @@ def _lines(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, numbers, sizes, digests, halves, ends = [], [], [], [], [], [0]
+            docs, numbers, digests, sides = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
                 seen = set()
                 for number, line in enumerate(text.split(b"\n")):
@@ -84,38 +87,41 @@ def _lines(min_words: int):
                     seen.add(digest)
                     docs.append(doc)
                     numbers.append(number)
-                    sizes.append(len(words))
                     digests.append(digest)
-                    if len(words) >= min_words - 1:
-                        halves += _halves(words)
-                    ends.append(len(halves))
+                    keys = [_key(part, 2 * t + k) for t in _lengths(len(words)) for k, part in enumerate((words[:t], words[-t:]))] if len(words) >= min_words - 1 else []
+                    sides.append((keys + [None] * 4)[:4])
             pairs = np.array(digests, np.int64).reshape(-1, 2)
-            columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(sizes, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _longs(halves))], ["doc", "number", "size", "a", "b", "halves"])
+            columns = [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+            keys = [pa.array(c, pa.uint64()).view(pa.int64()) for c in zip(*sides, strict=True)] or [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*columns, *keys], [x.split()[0] for x in LINES.split(", ")])
 
     return run
 
 
 def _variants(min_words: int):
-    """The variants of each candidate line; its words stand in the row of the whole line alone."""
+    """The variants of each candidate line; its words stand in the row of the whole line alone.
+
+    lead: the first row of its key and place in its document.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
             for doc, text, asked in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), batch.column("candidates").to_pylist(), strict=True):
-                lines = text.split(b"\n")
-                for number, digest in ((x["number"], x["a"]) for x in asked):
+                lines, seen = text.split(b"\n"), set()
+                for number, digest in sorted((x["number"], x["a"]) for x in asked):
                     words = lines[number].split() if number < len(lines) else []
                     if not words or _digest(words)[0] != digest:
                         continue  # a line of another row of this doc_id
-                    keys.append(_key(words))
-                    rows.append((0, doc, number, digest, b" ".join(words)))
+                    made = [(_key(words), 0)]
                     if len(words) >= min_words:
-                        keys += [_key(words[:k] + words[k + 1 :]) for k in range(len(words))]
-                        rows += [(k + 1, doc, number, digest, None) for k in range(len(words))]
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([_longs(keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["key", "place", "doc", "number", "line", "words"])
+                        made += [(_key(words[:k] + words[k + 1 :]), k + 1) for k in range(len(words))]
+                    keys += [k for k, _ in made]
+                    rows += [(place, (key, place) not in seen, doc, number, digest, None if place else b" ".join(words)) for key, place in made]
+                    seen.update(made)
+            kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([_longs(keys), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in VARIANTS.split(", ")])
 
     return run
 
@@ -129,20 +135,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _near(texts: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     """doc and a of the first lines (rows of LINES) that lie one edit from an earlier one."""
-    keyed = first.filter(F.size("halves") > 0).select("doc", "number", "a", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("half")
-    candidates = keyed.join(shared, "half").groupBy("doc").agg(F.collect_set(F.struct("number", "a")).alias("candidates"))
-    asked = texts.join(candidates.hint("merge"), texts.doc_id == candidates.doc).select("doc_id", "text", "candidates")
+    sides = F.array_compact(F.array("head", "tail", "head2", "tail2"))
+    keyed = first.select("doc", "number", "a", F.explode(sides).alias("side"))
+    shared = keyed.groupBy("side").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("side")
+    candidates = keyed.join(shared, "side").groupBy("doc").agg(F.collect_set(F.struct("number", "a")).alias("candidates"))
+    asked = texts.join(candidates.hint("shuffle_hash"), texts.doc_id == candidates.doc).select("doc_id", "text", "candidates")
     variants = cut(map_batches(asked, _variants(min_words), VARIANTS))
-    here = F.struct("doc", "number", "line")
-    by_place = variants.groupBy("key", "place").agg(F.min(here).alias("first"), F.count("*").alias("n"))
-    by_key = by_place.groupBy("key").agg(F.collect_list(F.struct("place", "first")).alias("all"), F.sum("n").alias("n")).filter("n > 1").drop("n")
-    joined = variants.select("key", "place", "doc", "number", "line").join(by_key, "key")
-    fits = F.filter("all", lambda x: (x["place"] == F.col("place")) | (x["place"] == 0) | (F.col("place") == 0))
-    earliest = F.array_min(F.transform(fits, lambda x: x["first"]))
-    pairs = joined.withColumn("e", earliest).filter(F.struct("e.doc", "e.number") < F.struct("doc", "number")).select("doc", "number", F.col("line").alias("a"), F.struct("e.doc", "e.number", F.col("e.line").alias("a")).alias("e")).distinct()
-    known = variants.filter("place = 0").select(F.struct("doc", "number", F.col("line").alias("a")).alias("which"), "words").distinct()
-    both = pairs.join(known.select(F.col("which").alias("e"), F.col("words").alias("earlier")), "e").withColumn("which", F.struct("doc", "number", "a")).join(known, "which")
+    by_place = variants.filter("lead").groupBy("key", "place").agg(F.min("doc").alias("d"), F.min_by("number", "doc").alias("n"), F.min_by("line", "doc").alias("a"), F.count("*").alias("rows"))
+    by_key = by_place.groupBy("key").agg(F.collect_list(F.struct("place", "d", "n", "a")).alias("all"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
+    joined = variants.select("key", "place", "doc", "number", F.col("line").alias("a")).join(by_key, "key")
+    fits = F.filter("all", lambda x: ((x["place"] == F.col("place")) | (x["place"] == 0) | (F.col("place") == 0)) & (F.struct(x["d"], x["n"]) < F.struct("doc", "number")))
+    earliest = F.array_min(F.transform(fits, lambda x: F.struct(x["d"].alias("d"), x["n"].alias("n"), x["a"].alias("a"))))
+    pairs = joined.withColumn("e", earliest).filter("e is not null").select("doc", "a", F.col("e.d").alias("earlier_doc"), F.col("e.a").alias("earlier_a")).distinct()
+    known = variants.filter("place = 0").select("doc", F.col("line").alias("a"), "words").distinct()
+    both = pairs.join(known, ["doc", "a"]).join(known.toDF("earlier_doc", "earlier_a", "earlier"), ["earlier_doc", "earlier_a"])
     return map_batches(both.select("doc", "a", "words", "earlier"), _verified, "doc long, a long").distinct()
 
 
@@ -177,16 +183,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     texts = id_and_text(docs, id_col, text_col)
     lines = cut(map_batches(texts.filter("doc_id is not null"), _lines(min_words), LINES))
-    least = lines.groupBy("a", "b").agg(F.min("doc").alias("least"))
-    marked = lines.join(least, ["a", "b"])
-    copies = marked.filter("doc > least").select("doc", "a")
-    near = _near(texts, marked.filter("doc = least"), min_words)
+    sides = ("head", "tail", "head2", "tail2")
+    first = cut(lines.groupBy("a", "b").agg(F.min("doc").alias("doc"), F.min_by("number", "doc").alias("number"), *[F.first(c).alias(c) for c in sides]))
+    copies = lines.select("doc", "a", "b").join(first.select("a", "b", F.col("doc").alias("least")), ["a", "b"]).filter("doc > least").select("doc", "a")
+    near = _near(texts, first, min_words)
     found = docs.drop("n_lines", "n_removed")
     own, other, removed = fresh(found, "line_doc", "line_doc_gone", "line_gone")
     gone = copies.union(near).groupBy(F.col("doc").alias(other)).agg(F.collect_set("a").alias(removed))
     found = found.withColumns({text_col: named(text_col).cast("string"), own: named(id_col).cast("long")})
     fields = [(f.name, f.dataType.simpleString()) for f in found.schema.fields if f.name != own]
-    joined = found.join(gone.hint("merge"), F.col(own) == F.col(other), "left").drop(other)
+    joined = found.join(gone.hint("shuffle_hash"), F.col(own) == F.col(other), "left").drop(other)
     names = [n for n, _ in fields] + ["n_lines", "n_removed"]
     schema = [f"{quoted(n)} {t}" for n, t in fields] + ["n_lines long", "n_removed long"]
     return map_batches(joined, _drop_lines(text_col, own, removed, names), ", ".join(schema))
