@@ -137,13 +137,17 @@ def _near(texts: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
     """doc and a of the first lines (rows of LINES) that lie one edit from an earlier one."""
     sides = F.array_compact(F.array("head", "tail", "head2", "tail2"))
     keyed = first.select("doc", "number", "a", F.explode(sides).alias("side"))
-    shared = keyed.groupBy("side").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("side")
-    candidates = keyed.join(shared, "side").groupBy("doc").agg(F.collect_set(F.struct("number", "a")).alias("candidates"))
+    alike = keyed.groupBy("side").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low < high").select("side")
+    candidates = keyed.join(alike, "side").groupBy("doc").agg(F.collect_set(F.struct("number", "a")).alias("candidates"))
     asked = texts.join(candidates.hint("shuffle_hash"), texts.doc_id == candidates.doc).select("doc_id", "text", "candidates")
     variants = cut(map_batches(asked, _variants(min_words), VARIANTS))
-    by_place = variants.filter("lead").groupBy("key", "place").agg(F.min("doc").alias("d"), F.min_by("number", "doc").alias("n"), F.min_by("line", "doc").alias("a"), F.count("*").alias("rows"))
-    by_key = by_place.groupBy("key").agg(F.collect_list(F.struct("place", "d", "n", "a")).alias("all"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
-    joined = variants.select("key", "place", "doc", "number", F.col("line").alias("a")).join(by_key, "key")
+    # Few keys belong to several lines; only those go on.
+    several = variants.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low < high").select("key")
+    narrow = variants.select("key", "place", "lead", "doc", "number", F.col("line").alias("a"))
+    shared = cut(narrow.join(several.hint("shuffle_hash"), "key", "left_semi"))
+    by_place = shared.filter("lead").groupBy("key", "place").agg(F.min("doc").alias("d"), F.min_by("number", "doc").alias("n"), F.min_by("a", "doc").alias("a"))
+    by_key = by_place.groupBy("key").agg(F.collect_list(F.struct("place", "d", "n", "a")).alias("all"))
+    joined = shared.join(by_key, "key")
     fits = F.filter("all", lambda x: ((x["place"] == F.col("place")) | (x["place"] == 0) | (F.col("place") == 0)) & (F.struct(x["d"], x["n"]) < F.struct("doc", "number")))
     earliest = F.array_min(F.transform(fits, lambda x: F.struct(x["d"].alias("d"), x["n"].alias("n"), x["a"].alias("a"))))
     pairs = joined.withColumn("e", earliest).filter("e is not null").select("doc", "a", F.col("e.d").alias("earlier_doc"), F.col("e.a").alias("earlier_a")).distinct()
