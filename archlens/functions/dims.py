@@ -39,7 +39,7 @@ ROUTE_PARAMETERS = [r"\$\{[^}]+\}", r"\$:[a-zA-Z_]\w*", r"\{[^/}]+\}", r"<[a-zA-
 PY_IMPORT = r"^\s*(?:from\s+(\.{0,2})([\w.]*)\s+import|import\s+([\w.]+))"
 JS_IMPORT = r"""(?:\bimport\s+(?:[^"';]*?\s+from\s+)?["']([^"']+)["']|\bexport\s+[^"';]*?\s+from\s+["']([^"']+)["']|\brequire\s*\(\s*["']([^"']+)["']\s*\)|\bimport\s*\(\s*["']([^"']+)["']\s*\))"""
 GO_IMPORT_SINGLE, GO_IMPORT_BLOCK, GO_IMPORT_LINE = r'^\s*import\s+(?:[a-zA-Z_]\w*\s+)?"([^"]+)"', r"^\s*import\s*\(\s*([\s\S]*?)\)", r'(?:[a-zA-Z_]\w*\s+)?"([^"]+)"'
-GO_MODULE = r"^module\s+(\S+)"
+GO_MODULE = r"^\s*module\s+(\S+)"
 ELIXIR_DEFMODULE, ELIXIR_MULTI_ALIAS, ELIXIR_REF = r"^\s*defmodule\s+([A-Z][\w.]*?)\s+do", r"^\s*alias\s+([A-Z][\w.]*?)\.\{([^}]*)\}", r"^\s*(?:alias|import|use|require)\s+([A-Z][\w.]*)"
 
 NEST_CONTROLLER = r"@Controller\(\s*['\"`]([^'\"`]*)['\"`]"
@@ -110,3 +110,19 @@ NOT_PROSE = r"^#|\[!\[|^\[[^\]]+\]:\s*\S+|^<[^>]+>|^<!--|^!\["
 PROSE_NOISE = [r"https?://\S+", r"!?\[[^\]]*\]\([^)]*\)", r"!?\[[^\]]*\]\[[^\]]*\]"]
 UTILITY_MODULES = ["common", "shared", "utils", "util", "prisma", "db", "lib", "core", "types", "helpers", "models", "schemas"]
 FLOW_CONFIDENCE = ["high", "medium", "low"]
+FLOW_KINDS = ["bootstrap", "request", "scheduled", "background", "state-machine", "pipeline"]
+METHOD_ORDER = ["GET", "POST", "PUT", "PATCH", "DELETE", "ANY", "HEAD", "OPTIONS"]
+#: For each depth: levels of the tree, module cards, modules in the graph, packages of an ecosystem; None is all.
+DEPTH_TIERS = {
+    "shallow": {"tree": 2, "cards": 10, "graph": 30, "packages": 20},
+    "medium": {"tree": 4, "cards": 25, "graph": 80, "packages": 40},
+    "full": {"tree": None, "cards": None, "graph": None, "packages": None},
+}
+EVIDENCE_READMES = ["README.md", "readme.md", "README"]
+EVIDENCE_MANIFESTS = [
+    "package.json", "mix.exs", "go.mod", "pyproject.toml", "requirements.txt", "docker-compose.yml", "compose.yml", ".env.example", "Gemfile",
+    "pom.xml", "build.gradle", "Cargo.toml", "composer.json",
+]
+ROUTE_FILES = r"(router\.(ex|rb|ts|js)|urls\.py|routes\.rb|schema\.(ex|prisma|graphql|ts)|\.graphql$|route\.(ts|js)$)"
+ARCHITECTURE_DOCS = r"(?i)(ARCHITECTURE|CODEBASE_MAP)"
+MAIN_FILES = r"^(index|main)\.(ts|tsx|js|jsx|py|go|rb|ex)$"

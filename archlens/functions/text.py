@@ -85,5 +85,7 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole == 0, 0.0).otherwise(100 * part / whole)
+def unquoted(text: Column) -> Column:
+    """A trimmed text without the quotes around it, if they are equal."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.when(t.rlike(r"(?s)^(['\"]).*\1$") & (F.length(t) >= 2), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t)

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archlens.functions import dims
+from archlens.operators.extract import below
 
 
-def place(files: DataFrame) -> DataFrame:
+def place(files: DataFrame, root: str | None = None) -> DataFrame:
     """`files` with service and module: a first-level directory with a manifest or a source root in it is a service;
     its modules are the directories below its source roots (descending through at most two more), or its own.
 
-    Directories that are no services are modules without a service. The test of a directory is a grouped aggregate
+    Directories that are no services are modules without a service. Without any service and with the tree's name `root`,
+    the tree itself is the service: its modules are the directories below its source roots, or its own directories. The test of a directory is a grouped aggregate
     over paths, joined back by directory; texts are not shuffled for it unless the tree has many directories.
     """
     roots = "|".join(dims.SOURCE_ROOTS)
@@ -24,7 +26,13 @@ def place(files: DataFrame) -> DataFrame:
     below_top = F.regexp_extract("path", r"^([^/]+/[^/.][^/]*)/", 1)
     service = F.when(F.col("manifest") | F.col("rooted"), F.col("top"))
     module = F.when(service.isNull(), F.col("top")).when(F.col("rooted"), below_root).otherwise(below_top)
-    return files.withColumn("top", top).join(signs, "top", "left").select(*files.columns, service.alias("service"), F.nullif(module, F.lit("")).alias("module"))
+    placed = files.withColumn("top", top).join(signs, "top", "left").select(*files.columns, service.alias("service"), F.nullif(module, F.lit("")).alias("module"))
+    if root is None or not signs.filter("manifest or rooted").isEmpty():
+        return placed
+    of_root = F.nullif(F.regexp_extract("path", rf"^((?:{roots})(?:/(?:{roots})(?=/)){{0,2}}+/[^/.][^/]*)/", 1), F.lit(""))
+    seeded = not files.filter(F.col("path").rlike(f"^({roots})/")).isEmpty()
+    own = of_root if seeded else F.nullif(F.regexp_extract("path", r"^([^/.][^/]*)/", 1), F.lit(""))
+    return placed.withColumns({"service": F.lit(root), "module": own})
 
 
 def longest_prefix(df: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
@@ -41,7 +49,7 @@ def service_kinds(files: DataFrame) -> DataFrame:
     """service, kind and stack (sorted hints) from each service's first manifest; hints are plain substrings."""
     order = F.create_map(*[x for k, m in enumerate(dims.SERVICE_MANIFESTS) for x in (F.lit(m), F.lit(k))])
     own = files.filter("service is not null").groupBy("service").agg(
-        F.min_by(F.when(F.col("path") == F.concat("service", F.lit("/"), F.substring_index("path", "/", -1)), F.lower(F.substring("text", 1, 65536))), order[F.substring_index("path", "/", -1)]).alias("manifest"))
+        F.min_by(F.when(~F.contains(below("service"), F.lit("/")), F.lower(F.substring("text", 1, 65536))), order[F.substring_index("path", "/", -1)]).alias("manifest"))
     hits = lambda hints: F.filter(F.array(*map(F.lit, sorted(hints))), lambda h: F.contains(F.col("manifest"), h))
     front, back = hits(dims.FRONTEND_HINTS), hits(dims.BACKEND_HINTS)
     kind = F.when(F.col("manifest").isNull(), "unknown").when(F.size(back) > 0, "backend").when(F.size(front) > 0, "frontend").otherwise("library")

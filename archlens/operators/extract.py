@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.functions import dims as D
-from archlens.functions.text import first, found, join_route, package_of, route
+from archlens.functions.text import first, found, join_route, lookup, normalise_path, package_of, route
+from archlens.sources.shared import stored
 
+FACTS = "array<struct<kind:string,target:string>>"
 JS, JVM = ["TypeScript", "JavaScript"], ["Java", "Kotlin"]
 
 
@@ -39,8 +41,7 @@ def _exploded(files: DataFrame, rules: list[Column]) -> DataFrame:
     return rows.select(*["file" if c == "path" else c for c in keep], "seq", "x.*")
 
 
-def endpoints(files: DataFrame) -> DataFrame:
-    """(service, module,) file, seq, framework, method, path of every HTTP endpoint declared."""
+def endpoint_rules() -> list[Column]:
     t, path = F.substring("text", 1, 512 * 1024), F.col("path")
     nest = first(t, D.NEST_CONTROLLER)
     pages = F.regexp_replace(F.regexp_replace(F.regexp_extract(path, r"^.*?/pages/api/(.*)$", 1), r"\.(t|j)sx?$", ""), r"/index$", "")
@@ -54,7 +55,7 @@ def endpoints(files: DataFrame) -> DataFrame:
         return F.transform(F.when(m["g2"] == "", F.array(F.lit("GET"))).otherwise(named), lambda s: _row("Flask", s, route(m["g1"])))
 
     go_method = lambda m: F.when(F.upper(m["g1"]).isin("HANDLE", "HANDLEFUNC"), "ANY").otherwise(m["g1"])
-    return _exploded(files, [
+    return [
         _in(JS, _each("NestJS", t, D.NEST_METHOD, lambda m: (m["g1"], join_route(nest, m["g2"])))),
         _in(JS, _each("Express", t, D.JS_ROUTE, lambda m: (m["g1"], route(m["g2"])), keep=lambda m: m["g1"] != "use")),
         _in(JS, F.array(_row("Next.js (Pages Router)", "GET", route(F.concat(F.lit("/api/"), pages)))), is_pages),
@@ -67,15 +68,19 @@ def endpoints(files: DataFrame) -> DataFrame:
         _in("PHP", _each("Laravel", t, D.LARAVEL_ROUTE, lambda m: (_any_if(m["g1"], "resource", "apiResource"), route(m["g2"])))),
         _in("Go", _each("Go net/http", t, D.GO_HANDLE, lambda m: ("ANY", route(m["g1"])), 1)),
         _in("Go", _each("Go router", t, D.GO_ROUTER, lambda m: (go_method(m), route(m["g2"])))),
-    ])
+    ]
 
 
-def clients(files: DataFrame) -> DataFrame:
-    """(service, module,) file, seq, client, method, url, is_relative of every HTTP call."""
+def endpoints(files: DataFrame) -> DataFrame:
+    """(service, module,) file, seq, framework, method, path of every HTTP endpoint declared."""
+    return _exploded(files, endpoint_rules())
+
+
+def client_rules() -> list[Column]:
     t = F.substring("text", 1, 512 * 1024)
     url = lambda u: F.when(F.startswith(u, F.lit("/")), route(u)).otherwise(u)
     named = lambda *anys: lambda m: (_any_if(m["g1"], *anys), url(m["g2"]))
-    rows = _exploded(files, [
+    return [
         _in(JS, _each("axios", t, D.AXIOS, named("request"))),
         _in(JS, _each("axios", t, D.AXIOS_OBJECT, lambda m: ("ANY", url(m["g1"])), 1)),
         _in(JS, _each("fetch", t, D.FETCH, lambda m: (F.when(m["g2"] == "", "GET").otherwise(m["g2"]), url(m["g1"])))),
@@ -89,10 +94,60 @@ def clients(files: DataFrame) -> DataFrame:
         _in("Go", _each("net/http", t, D.GO_CLIENT, named("-"))),
         _in("Ruby", _each("Net::HTTP/HTTParty/Faraday", t, D.RUBY_CLIENT, named("-"))),
         _in(JVM, _each("RestTemplate/WebClient", t, D.JAVA_CLIENT, named("-"))),
-    ])
+    ]
+
+
+def _as_clients(rows: DataFrame) -> DataFrame:
     return rows.withColumnsRenamed({"framework": "client", "path": "url"}).withColumn("is_relative", F.startswith("url", F.lit("/")))
 
 
+def clients(files: DataFrame) -> DataFrame:
+    """(service, module,) file, seq, client, method, url, is_relative of every HTTP call."""
+    return _as_clients(_exploded(files, client_rules()))
+
+
+def http_facts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Endpoints, client calls and global URL prefixes (service, framework, prefix) of placed files; texts are scanned once.
+
+    Endpoints have the prefix of their service and framework in front.
+    """
+
+    def tagged(role: str, rows: Column) -> Column:
+        return F.transform(rows, lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("seq"), x["framework"].alias("framework"), x["method"].alias("method"), x["path"].alias("path")))
+
+    every = F.concat(tagged("endpoint", F.concat(*endpoint_rules())), tagged("client", F.concat(*client_rules())), tagged("prefix", prefix_rows()))
+    # The place of a prefix is its bootstrap file's in the order of such files.
+    found = stored(files.select("service", "module", F.col("path").alias("file"), bootstrap_place().alias("place"), F.explode(every).alias("x")).select("service", "module", "file", "place", "x.*"))
+    prefixes = found.filter("role = 'prefix' and place is not null").groupBy("service", "framework").agg(F.min_by(route(F.col("path")), "place").alias("prefix"))
+    of = prefixes.withColumnsRenamed({"service": "s", "framework": "f"})
+    served = found.filter("role = 'endpoint'").join(of, (F.col("service") == F.col("s")) & (F.col("framework") == F.col("f")), "left")
+    path = F.when(F.col("prefix").isNull(), F.col("path")).otherwise(join_route(F.col("prefix"), F.col("path")))
+    own = ["service", "module", "file", "seq", "framework", "method"]
+    return served.select(*own, path.alias("path")), _as_clients(found.filter("role = 'client'").select(*own, "path")), prefixes
+
+
+def below(folder: str) -> Column:
+    """A file's path inside the folder that a column names; the whole path if it lies elsewhere (a tree that is one service)."""
+    return F.when(F.startswith("path", F.concat(folder, F.lit("/"))), F.expr(f"substring(path, length({folder}) + 2)")).otherwise(F.col("path"))
+
+
+def bootstrap_place() -> Column:
+    """Place of a file among the bootstrap files of its service; null for others."""
+    rest = below("service")
+    js = F.array_position(F.array(*[F.lit(x) for n in D.JS_BOOTSTRAPS for x in (n, f"src/{n}")]), rest)
+    py = F.array_position(F.array(*[F.lit(x) for n in D.PY_BOOTSTRAPS for x in (n, f"app/{n}")]), rest)
+    return F.when(js > 0, js).when(py > 0, py + 100)
+
+
+def prefix_rows() -> Column:
+    """The first global URL prefix that each framework's bootstrap states in a text, as rows of rules."""
+    text = F.substring("text", 1, 64 * 1024)
+    rules = [("NestJS", D.NEST_PREFIX), ("FastAPI", D.APP_PREFIX), ("Express", D.EXPRESS_PREFIX)]
+    hits = F.array(*[_row(f, "", first(text, p)) for f, p in rules])
+    none = F.array().cast("array<struct<framework:string,method:string,path:string>>")
+    return F.when(bootstrap_place().isNotNull(), F.filter(hits, lambda x: x["path"] != "")).otherwise(none)
+
+
 def models(files: DataFrame) -> DataFrame:
     """service (if given), framework, model and store of data models, each once for a service."""
     t = F.substring("text", 1, 256 * 1024)
@@ -105,20 +160,12 @@ def models(files: DataFrame) -> DataFrame:
         _in("Ruby", one("ActiveRecord", D.ACTIVERECORD)), _in(JVM, one("Spring Data JPA", D.JPA_ENTITY)),
         F.when(F.col("path").rlike(r"(^|/)schema\.prisma$"), one("Prisma", D.PRISMA_SCHEMA)).otherwise(F.array().cast("array<struct<framework:string,method:string,path:string>>")),
     ])
-    from archlens.functions.text import lookup
-
     own = ["service"] if "service" in files.columns else []
     return rows.select(*own, "framework", F.col("path").alias("model")).distinct().withColumn("store", lookup(D.ORM_STORE, F.col("framework")))
 
 
-def imports(files: DataFrame, go_prefix: str | None = None) -> DataFrame:
-    """service, module, file, seq, lang, kind and target of import statements.
-
-    kind: name (a module's last name), path (relative, resolved), package (a bare specifier's package), inner (a Go
-    path below the module prefix), ref (an Elixir module).
-    """
-    from archlens.functions.text import normalise_path
-
+def _import_rows() -> Column:
+    """kind and target of a text's import statements; the target of kind go is the whole specifier."""
     t, lang = F.substring("text", 1, 256 * 1024), F.col("lang")
     row = lambda kind, target: F.struct(F.lit(kind).alias("kind"), target.alias("target"))
     python = F.transform(F.filter(found(t, D.PY_IMPORT, 3), lambda m: (m["g1"] == "") & ((m["g2"] != "") | (m["g3"] != ""))), lambda m: row("name", F.split(F.concat(m["g2"], m["g3"]), r"\.")[0]))
@@ -131,19 +178,42 @@ def imports(files: DataFrame, go_prefix: str | None = None) -> DataFrame:
         return F.struct(F.when(relative, "path").otherwise("package").alias("kind"), target.alias("target"))
 
     blocks = F.flatten(F.transform(F.regexp_extract_all(t, F.lit("(?mdU)" + D.GO_IMPORT_BLOCK), F.lit(1)), lambda b: F.regexp_extract_all(b, F.lit("(?U)" + D.GO_IMPORT_LINE), F.lit(1))))
-    go = F.concat(F.regexp_extract_all(t, F.lit("(?mdU)" + D.GO_IMPORT_SINGLE), F.lit(1)), blocks)
-    prefix = F.lit(go_prefix or "\0")
-    go = F.transform(F.filter(go, lambda x: (x == prefix) | F.startswith(x, F.concat(prefix, F.lit("/")))), lambda x: row("inner", F.substr(x, F.length(prefix) + 2)))
-    multi = F.flatten(F.transform(found(t, D.ELIXIR_MULTI_ALIAS, 2), lambda m: F.transform(F.filter(F.transform(F.split(m["g2"], ","), F.trim), lambda x: x != ""), lambda x: row("ref", F.concat(m["g1"], F.lit("."), x)))))
+    go = F.transform(F.concat(F.regexp_extract_all(t, F.lit("(?mdU)" + D.GO_IMPORT_SINGLE), F.lit(1)), blocks), lambda x: row("go", x))
+    multi = F.flatten(F.transform(found(t, D.ELIXIR_MULTI_ALIAS, 2), lambda m: F.transform(F.filter(F.transform(F.split(m["g2"], ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: row("ref", F.concat(m["g1"], F.lit("."), x)))))
     refs = F.transform(F.regexp_extract_all(t, F.lit("(?mdU)" + D.ELIXIR_REF), F.lit(1)), lambda x: row("ref", F.regexp_replace(x, r"\.+$", "")))
-    none = F.array().cast("array<struct<kind:string,target:string>>")
-    rows = F.when(lang == "Python", python).when(lang.isin(JS), F.transform(found(t, D.JS_IMPORT, 4), js)).when(lang == "Go", go).when(lang == "Elixir", F.concat(multi, refs)).otherwise(none)
-    return files.filter(lang.isin(D.GRAPH_LANGUAGES)).select("service", "module", F.col("path").alias("file"), "lang", F.posexplode(rows).alias("seq", "x")).select("service", "module", "file", "seq", "lang", "x.*").filter("target is not null")
+    return F.when(lang == "Python", python).when(lang.isin(JS), F.transform(found(t, D.JS_IMPORT, 4), js)).when(lang == "Go", go).when(lang == "Elixir", F.concat(multi, refs)).otherwise(F.array().cast(FACTS))
+
 
+def inner_path(specifier: Column, prefix: Column) -> Column:
+    """The path of a Go specifier below the module prefix; null for other packages."""
+    return F.when((specifier == prefix) | F.startswith(specifier, F.concat(prefix, F.lit("/"))), F.substr(specifier, F.length(prefix) + 2))
 
-def npm_dependencies(files: DataFrame) -> DataFrame:
-    """file, ord, name, version of the dependencies and peerDependencies of package.json files; others give no rows."""
-    own = files.filter(F.substring_index("path", "/", -1) == "package.json")
-    listed = lambda key: F.coalesce(F.map_entries(F.from_json(F.get_json_object("text", f"$.{key}"), "map<string,string>")), F.array().cast("array<struct<key:string,value:string>>"))
-    both = F.posexplode(F.concat(listed("dependencies"), listed("peerDependencies"))).alias("ord", "x")
-    return own.select(F.col("path").alias("file"), both).select("file", "ord", F.col("x.key").alias("name"), F.col("x.value").alias("version"))
+
+def imports(files: DataFrame, go_prefix: str | None = None) -> DataFrame:
+    """service, module, file, seq, lang, kind and target of import statements.
+
+    kind: name (a module's last name), path (relative, resolved), package (a bare specifier's package), inner (a Go
+    path below the module prefix), ref (an Elixir module).
+    """
+    rows = files.filter(F.col("lang").isin(D.GRAPH_LANGUAGES)).select("service", "module", F.col("path").alias("file"), "lang", F.posexplode(_import_rows()).alias("seq", "x")).select("service", "module", "file", "seq", "lang", "x.*")
+    go = F.col("kind") == "go"
+    target = F.when(go, inner_path(F.col("target"), F.lit(go_prefix or "\0"))).otherwise(F.col("target"))
+    return rows.withColumn("target", target).withColumn("kind", F.when(go, "inner").otherwise(F.col("kind"))).filter("target is not null")
+
+
+def import_facts(files: DataFrame) -> DataFrame:
+    """service, module, kind, target, n, loc, path (the first): all that edges between modules need, from one scan of texts.
+
+    Kinds are those of `imports`, with go for whole Go specifiers, and file (each file once), def (an Elixir module that is
+    defined), gomod (the prefix that a service's or the root's go.mod states), pkgname (a name in a module's package.json).
+    """
+    row = lambda kind, target: F.struct(F.lit(kind).alias("kind"), target.alias("target"))
+    text, none = F.substring("text", 1, 256 * 1024), F.array().cast(FACTS)
+    defs = F.when(F.col("lang") == "Elixir", F.transform(F.regexp_extract_all(text, F.lit("(?mdU)" + D.ELIXIR_DEFMODULE), F.lit(1)), lambda x: row("def", x))).otherwise(none)
+    at = lambda folder, name: F.col("path") == F.concat(folder, F.lit(f"/{name}"))
+    gomod = F.when((F.col("path") == "go.mod") | at(F.col("service"), "go.mod"), F.array(row("gomod", first(F.substring("text", 1, 4096), D.GO_MODULE)))).otherwise(none)
+    package = F.when(at(F.col("module"), "package.json"), F.array(row("pkgname", F.get_json_object("text", "$.name")))).otherwise(none)
+    every = F.concat(F.array(row("file", F.lit(""))), _import_rows(), defs, gomod, package)
+    of = F.when(F.col("path") != "go.mod", F.col("service"))  # the root's prefix is of no service
+    rows = files.select(of.alias("service"), "module", "path", "loc", F.explode(every).alias("x")).select("service", "module", "path", "loc", "x.*").filter("target is not null")
+    return rows.groupBy("service", "module", "kind", "target").agg(F.count("*").alias("n"), F.sum("loc").alias("loc"), F.min("path").alias("path"))

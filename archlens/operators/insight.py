@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archlens.functions import dims as D
+from archlens.functions.text import normalise_path, package_of, unquoted
+from archlens.operators.extract import inner_path
 
 
 def critical_paths(served: DataFrame, calls: DataFrame, edges: DataFrame, lineage: DataFrame) -> DataFrame:
@@ -97,6 +99,27 @@ def lineage_observations(lineage: DataFrame, found_stores: DataFrame) -> DataFra
         .union(row(unlinked.filter(edges == 0), "store_without_models", F.col("id"), F.lit(0))))
 
 
+def path_observations(paths: DataFrame, n_calls: int) -> DataFrame:
+    """rule, subject, value over critical paths: the module with most endpoints (8 or more), modules without callers, the
+    utility that a third of all modules and three at least depend on, one store for all of 5 or more, calls per endpoint
+    below 0.4 (in thousandths; `n_calls`: the number of http edges)."""
+    row = lambda df, rule, subject, value: df.select(F.lit(rule).alias("rule"), subject.cast("string").alias("subject"), value.cast("long").alias("value"))
+    top = paths.orderBy(F.desc("endpoint_count"), "service", "module").limit(1).filter("endpoint_count >= 8")
+    sums = paths.agg(F.count("*").alias("n"), F.count_if(F.size("callers") == 0).alias("orphans"), F.sum("endpoint_count").alias("endpoints"), F.array_sort(F.collect_set("store")).alias("stores"))
+    used = paths.select(F.explode("deps").alias("d")).select(F.lower("d").alias("d")).filter(F.col("d").isin(D.UTILITY_MODULES)).groupBy("d").agg(F.count("*").alias("uses"))
+    most = used.orderBy(F.desc("uses"), "d").limit(1).filter(F.col("uses") >= F.greatest(F.lit(3), F.floor(paths.agg(F.count("*")).scalar() / 3)))
+    return (
+        row(top, "most_exposed", F.col("module"), F.col("endpoint_count")).union(row(sums.filter("orphans > 0"), "no_callers", F.lit(""), F.col("orphans")))
+        .union(row(most, "shared_utility", F.col("d"), F.col("uses"))).union(row(sums.filter("size(stores) = 1 and n >= 5"), "one_store", F.col("stores")[0], F.col("n")))
+        .union(row(sums.filter((F.col("endpoints") > 0) & F.lit(n_calls > 0) & (F.lit(n_calls) < 0.4 * F.col("endpoints"))), "coverage", F.lit(""), F.floor(1000 * F.lit(n_calls) / F.col("endpoints")))))
+
+
+def first_rules(observations: DataFrame, rules: list[str], cap: int = 5) -> DataFrame:
+    """Observations in the order of their rules, `cap` at most."""
+    place = F.array_position(F.array(*map(F.lit, rules)), F.col("rule"))
+    return observations.filter(place > 0).orderBy(place, F.desc("value"), "subject").limit(cap)
+
+
 def unresolved_citations(steps: DataFrame, files: DataFrame) -> DataFrame:
     """Steps (flow, step, file, symbol) that name no file, a missing one or no symbol, with the problem."""
     known = files.select(F.col("path").alias("file"), F.lit(True).alias("there")).distinct()
@@ -109,6 +132,26 @@ def valid_flows(steps: DataFrame, files: DataFrame) -> DataFrame:
     return steps.select("flow").distinct().join(unresolved_citations(steps, files).select("flow").distinct(), "flow", "left_anti")
 
 
+def parsed_imports(hits: DataFrame, go_prefix: str | None = None) -> DataFrame:
+    """file, kind and target of a parser's hits (file, rule, captured), as `imports` has them.
+
+    Rules end in what they find: py-import, py-from-import, go-import, elixir-ref, elixir-defmodule; all others are of
+    JavaScript and TypeScript. Of an Elixir alias of several modules the parent is no target.
+    """
+    cap, rule = F.regexp_replace("captured", r"^\s+|\s+$", ""), F.col("rule")
+    none = F.array().cast("array<struct<kind:string,target:string>>")
+    row = lambda kind, target: F.struct(F.lit(kind).alias("kind"), target.alias("target"))
+    python = F.when((cap != "") & ~F.startswith(cap, F.lit(".")), F.array(row("name", F.regexp_extract(cap, r"^([^\s.]+)", 1)))).otherwise(none)
+    spec = unquoted(cap)
+    path = normalise_path(F.concat(F.regexp_extract("file", "^(.*)/[^/]*$", 1), F.lit("/"), spec))
+    script = F.when(spec == "", none).when(spec.rlike("^[./]"), F.array(row("path", path))).otherwise(F.array(row("package", package_of(spec))))
+    go = F.array(row("inner", inner_path(F.coalesce(F.nullif(F.regexp_extract(cap, '"([^"]*)"?', 1), F.lit("")), cap), F.lit(go_prefix or "\0"))))
+    parts = F.filter(F.transform(F.split(F.regexp_extract(cap, r"(?s)\{(.*)\}$", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
+    elixir = F.when(cap.rlike(r"(?s)\{.*\}$"), F.transform(parts, lambda x: row("ref", F.concat(F.regexp_extract(cap, r"(?s)^(.*?)\.\{", 1), F.lit("."), x)))).when(cap != "", F.array(row("ref", F.regexp_replace(cap, r"\.+$", "")))).otherwise(none)
+    rows = F.when(rule.isin("py-import", "py-from-import"), python).when(rule == "go-import", go).when(rule == "elixir-ref", elixir).when(rule == "elixir-defmodule", F.array(row("def", cap))).otherwise(script)
+    return hits.select("file", F.explode(rows).alias("x")).select("file", "x.*").filter("target is not null and (target <> '' or kind = 'inner')")
+
+
 def prefer_parsed(by_pattern: DataFrame, parsed: DataFrame) -> DataFrame:
     """Hits of a parser where it has any for a file, those of patterns elsewhere."""
     return by_pattern.join(parsed.select("file").distinct(), "file", "left_anti").select(*by_pattern.columns).unionByName(parsed.select(*by_pattern.columns))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archlens.functions import dims as D
-from archlens.functions.text import first, found, lookup, route
+from archlens.functions.text import ancestors, first, found, lookup, route
+from archlens.operators.extract import bootstrap_place, prefix_rows
 
 FOLDER = r"^(.*)/[^/]*$"
 
@@ -40,15 +42,8 @@ def with_inferred(found_stores: DataFrame, lineage: DataFrame) -> DataFrame:
 
 def service_prefixes(placed: DataFrame) -> DataFrame:
     """service, framework, prefix: the first global URL prefix in the bootstrap files of a service, in their order."""
-    rest = F.expr("substring(path, length(service) + 2)")
-    js = _order([x for n in D.JS_BOOTSTRAPS for x in (n, f"src/{n}")], rest)
-    py = _order([x for n in D.PY_BOOTSTRAPS for x in (n, f"app/{n}")], rest)
-    place = F.when(js > 0, js).when(py > 0, py + 100)
-    text = F.substring("text", 1, 64 * 1024)
-    rules = [("NestJS", D.NEST_PREFIX), ("FastAPI", D.APP_PREFIX), ("Express", D.EXPRESS_PREFIX)]
-    hits = F.array(*[F.struct(F.lit(f).alias("framework"), first(text, p).alias("raw")) for f, p in rules])
-    rows = placed.filter("service is not null").select("service", place.alias("place"), F.explode(hits).alias("x")).filter("place is not null and x.raw <> ''")
-    return rows.groupBy("service", "x.framework").agg(F.min_by(route(F.col("x.raw")), "place").alias("prefix"))
+    rows = placed.filter("service is not null").select("service", bootstrap_place().alias("place"), F.explode(prefix_rows()).alias("x"))
+    return rows.groupBy("service", "x.framework").agg(F.min_by(route(F.col("x.path")), "place").alias("prefix"))
 
 
 def entry_points(files: DataFrame) -> DataFrame:
@@ -93,3 +88,35 @@ def descriptions(files: DataFrame) -> DataFrame:
     order = F.when(name == "package.json", 0).when(name == "__init__.py", 9).otherwise(_order(D.MODULE_READMES, name))
     rows = files.filter(name.isin("package.json", "__init__.py", *D.MODULE_READMES)).select(F.regexp_extract("path", FOLDER, 1).alias("dir"), said.alias("said"), order.alias("ord"))
     return rows.filter("said <> ''").groupBy("dir").agg(F.min_by("said", "ord").alias("description"))
+
+
+def evidence_candidates(files: DataFrame, modules: DataFrame, cap: int = 400) -> DataFrame:
+    """ord, path, text of the files that tell most about a tree, most valuable first, each once.
+
+    First the root's READMEs, manifests and architecture documents; then entry points; then READMEs and manifests of modules
+    (column module, in the order of their `loc`), those directly in a module before those below; then main files; then route and
+    schema files. The last three sources end when there are more than `cap` candidates.
+    """
+    known = D.EVIDENCE_READMES + D.EVIDENCE_MANIFESTS
+    name, path = F.substring_index("path", "/", -1), F.col("path")
+    at_root = ~F.contains(path, F.lit("/"))
+    doc = path.rlike("^docs/[^/]+$") & name.rlike(D.ARCHITECTURE_DOCS)
+    named = _order(known, name)
+    ranked = modules.select("module", F.row_number().over(W.orderBy(F.desc("loc"), "module")).alias("rank"))
+    dirs = files.filter(name.isin(known)).select("path", F.explode(ancestors(F.regexp_extract("path", FOLDER, 1))).alias("module"))
+    of = dirs.join(ranked, "module").select("path", "rank", (F.regexp_extract("path", FOLDER, 1) != F.col("module")).alias("below"))
+    best = of.groupBy("path").agg(F.min(F.struct("rank", "below")).alias("m"))
+    entry = entry_points(files).select("path", F.lit(True).alias("entry"))
+    joined = files.join(best, "path", "left").join(entry, "path", "left")
+    key = lambda source, *rest: F.struct(F.lit(source).alias("source"), *[(rest[k] if k < len(rest) else F.lit(0)).cast("int").alias(f"k{k}") for k in range(3)], path.alias("p"))
+    place = (
+        F.when(at_root & name.isin(known), key(1, named)).when(doc, key(1, F.lit(100))).when(F.col("entry"), key(2))
+        .when(F.col("m").isNotNull() & ~F.col("m.below"), key(3, F.col("m.rank"), F.lit(0), named)).when(F.col("m").isNotNull(), key(3, F.col("m.rank"), F.lit(1)))
+        .when(name.rlike(D.MAIN_FILES), key(4)).when(name.rlike(D.ROUTE_FILES), key(5)))
+    rows = joined.select("path", "text", place.alias("place")).filter("place is not null")
+    # What has to be in the list whatever its length is sources 1 and 2 and modules' own files; the rest fills it up.
+    always = (F.col("place.source") <= 2) | ((F.col("place.source") == 3) & (F.col("place.k1") == 0))
+    least = rows.filter(always).unionByName(rows.filter(~always).orderBy("place").limit(cap + 1))
+    line = W.orderBy("place")
+    numbered = least.withColumns({"ord": F.row_number().over(line) - 1, "keep": always})
+    return numbered.filter((F.col("ord") <= cap) | F.col("keep")).select("ord", "path", "text")

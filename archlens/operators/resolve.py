@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from archlens.operators.discover import longest_prefix
-from archlens.operators.extract import clients, endpoints, imports
+from archlens.functions.text import ancestors
+from archlens.operators.extract import http_facts, import_facts, inner_path
+from archlens.sources.shared import stored
 
 
 def module_table(files: DataFrame) -> DataFrame:
@@ -19,24 +21,41 @@ def module_table(files: DataFrame) -> DataFrame:
 def import_edges(files: DataFrame, packages: DataFrame | None = None, go_prefix: str | None = None) -> DataFrame:
     """source, target, weight: import statements between different modules.
 
-    packages: (name, module) of workspace packages, for bare specifiers.
+    packages: (name, module) of workspace packages, for bare specifiers; else what the modules' package.json files say.
+    go_prefix: the Go module prefix of all services; else that of the service's go.mod, or the root's.
+    All lookups (names, paths, packages, definitions) are one table, met by one equi-join of the distinct facts.
     """
-    found = imports(files, go_prefix).filter("module is not null")
-    modules = module_table(files)
-    leader = W.partitionBy("service", "name").orderBy(F.desc("loc"), "module")
-    names = modules.withColumn("rank", F.row_number().over(leader)).filter("rank = 1").select(F.col("service").alias("of"), "name", F.col("module").alias("to"))
-    edges = [found.filter("kind = 'name'").join(names, F.col("service").eqNullSafe(F.col("of")) & (F.col("target") == F.col("name"))).select("module", "to")]
-    known = modules.select(F.col("module").alias("path"))
-    edges.append(longest_prefix(found.filter("kind in ('path', 'inner')"), "target", known, "to").select("module", "to"))
-    if packages is not None:
-        edges.append(found.filter("kind = 'package'").join(packages.select("name", F.col("module").alias("to")), F.col("target") == F.col("name")).select("module", "to"))
-    defined = files.filter("lang = 'Elixir' and module is not null").select("path", "module", F.explode(F.regexp_extract_all("text", F.lit(r"(?mdU)^\s*defmodule\s+([A-Z][\w.]*?)\s+do"), F.lit(1))).alias("name"))
-    defined = defined.groupBy("name").agg(F.min_by("module", "path").alias("to"))
-    edges.append(found.filter("kind = 'ref'").join(defined, F.col("target") == F.col("name")).select("module", "to"))
-    both = edges[0]
-    for e in edges[1:]:
-        both = both.union(e)
-    return both.filter("to is not null and module <> to").groupBy(F.col("module").alias("source"), F.col("to").alias("target")).agg(F.count("*").alias("weight"))
+    facts = stored(import_facts(files))
+    own = facts.filter("module is not null")
+    modules = own.filter("kind = 'file'").groupBy("module").agg(F.first("service").alias("service"), F.sum("loc").alias("loc")).withColumn("name", F.substring_index("module", "/", -1))
+    scope = F.coalesce(F.concat(F.lit("="), "service"), F.lit(""))
+    order = F.struct(-F.coalesce("loc", F.lit(0)), "module")
+    entry = lambda df, kind, scope, key, to: df.select(F.lit(kind).alias("kind"), scope.alias("scope"), key.alias("key"), to.alias("to"))
+    names = modules.groupBy(scope.alias("s"), "name").agg(F.min_by("module", order).alias("to"))
+    if packages is None:
+        stated = own.filter("kind = 'pkgname'").select("module", F.col("target").alias("package")).join(modules.select("module", "loc"), "module")
+        packages = stated.groupBy(F.col("package").alias("name")).agg(F.min_by("module", order).alias("module"))
+    defined = own.filter("kind = 'def'").groupBy("target").agg(F.min_by("module", "path").alias("to"))
+    none = F.lit("")
+    known = (
+        entry(names, "name", F.col("s"), F.col("name"), F.col("to")).union(entry(modules, "path", none, F.col("module"), F.col("module")))
+        .union(entry(packages, "package", none, F.col("name"), F.col("module"))).union(entry(defined, "ref", none, F.col("target"), F.col("to"))))
+    found = own.filter("kind in ('name', 'path', 'package', 'ref', 'go')")
+    if go_prefix is None:
+        prefixes = facts.filter("kind = 'gomod' and target <> ''").groupBy("service").agg(F.min_by("target", "path").alias("prefix"))
+        root = prefixes.filter("service is null").select(F.col("prefix").alias("root_prefix"))
+        found = found.join(prefixes.filter("service is not null"), "service", "left").withColumn("prefix", F.coalesce("prefix", root.scalar()))
+    else:
+        found = found.withColumn("prefix", F.lit(go_prefix))
+    go = F.col("kind") == "go"
+    wanted = F.when(go, inner_path(F.col("target"), F.col("prefix"))).otherwise(F.col("target"))
+    found = found.select("module", "service", "n", "kind", "target", F.when(go, "path").otherwise(F.col("kind")).alias("way"), wanted.alias("wanted"))
+    paths = F.transform(ancestors(F.col("wanted")), lambda p, i: F.struct(i.alias("depth"), none.alias("scope"), p.alias("key")))
+    single = F.array(F.struct(F.lit(0).alias("depth"), F.when(F.col("way") == "name", scope).otherwise(none).alias("scope"), F.col("wanted").alias("key")))
+    each = F.explode(F.when(F.col("way") == "path", paths).otherwise(single)).alias("k")
+    keyed = found.select("module", "service", "n", "kind", "target", "way", each).select("module", "service", "n", F.col("kind").alias("of"), "target", F.col("way").alias("kind"), "k.*")
+    best = keyed.join(known, ["kind", "scope", "key"]).groupBy("service", "module", "of", "target").agg(F.max_by("to", "depth").alias("to"), F.first("n").alias("n"))
+    return best.filter("to is not null and module <> to").groupBy(F.col("module").alias("source"), F.col("to").alias("target")).agg(F.sum("n").alias("weight"))
 
 
 def _segment_prefixes(url: Column) -> Column:
@@ -47,14 +66,15 @@ def _segment_prefixes(url: Column) -> Column:
 def resolve_clients(calls: DataFrame, served: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
     """Relative calls with the endpoint whose path equals the url or is its longest prefix by segments; null if none.
 
-    An equal path scores its length and 100 more. Prefixes (of a base URL that the client leaves out) are tried in front
-    of the url too. The call's method doesn't matter. An equi-join on exploded prefixes, not a comparison of all pairs.
+    An equal path scores its length and 100 more. Prefixes (of a base URL that the client leaves out) are tried in
+    front of the url too. The call's method doesn't matter. An equi-join of the distinct urls on exploded prefixes, not a
+    comparison of all pairs.
     """
     first = served.groupBy("path").agg(F.min_by(F.struct("service", "module", "method"), F.struct("file", "seq")).alias("e"))
-    cleaned = ["/" + p.strip("/") for p in prefixes or []]
-    more = [F.when((F.col("url") != p) & ~F.startswith("url", F.lit(p + "/")), F.concat(F.lit(p), F.col("url"))) for p in cleaned]
+    cleaned = F.array(*[F.lit("/" + p.strip("/")) for p in prefixes or []]).cast("array<string>")
+    more = F.transform(F.filter(cleaned, lambda p: (F.col("url") != p) & ~F.startswith("url", F.concat(p, F.lit("/")))), lambda p: F.concat(p, "url"))
     keyed = calls.filter("is_relative").select("url").distinct()
-    tried = keyed.select("url", F.posexplode(F.array_compact(F.array(F.col("url"), *more))).alias("ord", "candidate"))
+    tried = keyed.select("url", F.posexplode(F.concat(F.array("url"), more)).alias("ord", "candidate"))
     pieces = tried.select("url", "ord", "candidate", F.explode(_segment_prefixes(F.col("candidate"))).alias("path"))
     score = F.length("path") + F.when(F.col("path") == F.col("candidate"), 100).otherwise(0)
     best = pieces.join(first, "path").groupBy("url").agg(F.max_by(F.struct("path", "e"), F.struct(score, -F.col("ord"))).alias("best"))
@@ -62,11 +82,38 @@ def resolve_clients(calls: DataFrame, served: DataFrame, prefixes: list[str] | N
     return joined.select(*calls.columns, F.col("best.path").alias("endpoint_path"), F.col("best.e.service").alias("endpoint_service"), F.col("best.e.method").alias("endpoint_method"))
 
 
+@dataclass
+class Http:
+    """Endpoints with their prefixes, client calls, and relative calls with the endpoint they reach (null: none)."""
+
+    served: DataFrame
+    calls: DataFrame
+    resolved: DataFrame
+
+    def edges(self) -> DataFrame:
+        """source_service, target_service, method, path, weight: calls between different services."""
+        between = self.resolved.filter("service is not null and endpoint_service is not null and service <> endpoint_service")
+        return between.groupBy(F.col("service").alias("source_service"), F.col("endpoint_service").alias("target_service"), F.col("endpoint_method").alias("method"), F.col("endpoint_path").alias("path")).agg(F.count("*").alias("weight"))
+
+
+def http(files: DataFrame, prefixes: list[str] | None = None) -> Http:
+    """HTTP facts of placed files, from one scan of their texts.
+
+    Calls are tried with each prefix that some service states (or with `prefixes`); a call that only reaches such a bare
+    prefix, /api or /api/v1 counts as unresolved.
+    """
+    served, calls, stated = http_facts(files)
+    if prefixes is None:  # base URLs that services state: few, whatever the tree's size
+        prefixes = [r.prefix for r in stated.filter("prefix <> '/'").select("prefix").distinct().orderBy("prefix").collect()]
+    got = resolve_clients(calls, served, prefixes)
+    bare = F.col("endpoint_path").isin(*prefixes, "/api", "/api/v1")
+    ends = ["endpoint_path", "endpoint_service", "endpoint_method"]
+    return Http(served, calls, got.withColumns({c: F.when(~bare, F.col(c)) for c in ends}))
+
+
 def http_edges(files: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
     """source_service, target_service, method, path, weight: calls between different services."""
-    got = resolve_clients(clients(files), endpoints(files), prefixes).filter("endpoint_path not in ('/api', '/api/v1')")
-    between = got.filter("service is not null and endpoint_service is not null and service <> endpoint_service")
-    return between.groupBy(F.col("service").alias("source_service"), F.col("endpoint_service").alias("target_service"), F.col("endpoint_method").alias("method"), F.col("endpoint_path").alias("path")).agg(F.count("*").alias("weight"))
+    return http(files, prefixes).edges()
 
 
 def lineage_edges(models: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archlens.functions.text import ancestors
+from archlens.sources.shared import stored
+
+#: Candidates of a budget that one round looks at.
+RUN = 10_000
 
 
 def languages(files: DataFrame) -> DataFrame:
@@ -26,12 +30,6 @@ def primary_language(files: DataFrame, by: str) -> DataFrame:
     return sums.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc("loc"), "lang"))).filter("rank = 1").select(by, F.col("lang").alias("primary_language"), "loc")
 
 
-def dependencies(found: DataFrame) -> DataFrame:
-    """name, version: the first version that isn't *, in file order."""
-    order = F.struct(F.col("version") == "*", "file", "ord")
-    return found.groupBy("name").agg(F.min_by("version", order).alias("version"))
-
-
 def degrees(edges: DataFrame) -> DataFrame:
     """node, fan_out, fan_in by number of edges."""
     both = edges.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("target", F.lit(0), F.lit(1)))
@@ -39,31 +37,56 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def tiers(edges: DataFrame) -> DataFrame:
-    """node, tier: the longest way (source, target) from a node without predecessors; for graphs without cycles.
+    """node, tier: 0 without predecessors, else one more than the highest tier of the predecessors, over edges (source, target).
 
-    A recursive query over the edges of services, a graph far smaller than the files it stems from.
+    Each round is one grouped maximum over the edges and joins it back to the nodes, until nothing changes. In a graph of N
+    nodes tiers settle within N rounds; where a cycle keeps them from it, N + 1 rounds are made, all nodes at once.
     """
-    edges.createOrReplaceTempView("archlens_edges")
-    return edges.sparkSession.sql("""
-        WITH RECURSIVE nodes AS (SELECT source AS node FROM archlens_edges UNION SELECT target FROM archlens_edges),
-        walk(node, tier) AS (
-            SELECT node, 0 FROM nodes WHERE node NOT IN (SELECT target FROM archlens_edges)
-            UNION ALL SELECT e.target, w.tier + 1 FROM walk w JOIN archlens_edges e ON e.source = w.node)
-        SELECT node, max(tier) AS tier FROM walk GROUP BY node""")
+    edges = stored(edges.select("source", "target").distinct())
+    now = stored(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().withColumn("tier", F.lit(0)))
+    for _ in range(now.count() + 1):
+        reached = edges.join(now.toDF("source", "t"), "source").groupBy(F.col("target").alias("node")).agg((F.max("t") + 1).alias("t"))
+        after = stored(now.join(reached, "node", "left").select("node", "tier", F.greatest("tier", F.coalesce("t", F.lit(0))).alias("after")))
+        settled = after.filter("after > tier").isEmpty()
+        now = after.select("node", F.col("after").alias("tier"))
+        if settled:
+            break
+    return now
+
+
+def is_chain(tiered: DataFrame, edges: DataFrame) -> DataFrame:
+    """linear: one row that says whether the graph is a single chain, with one edge less than nodes and one node in each tier."""
+    pairs = edges.select("source", "target").distinct().agg(F.count("*")).scalar()
+    return tiered.agg(((F.count("*") == F.count_distinct("tier")) & (pairs == F.count("*") - 1)).alias("linear"))
 
 
 def budgeted(candidates: DataFrame, budget: int = 200_000, limit: int = 6000) -> DataFrame:
     """The candidates (ord, path, text) that a byte budget takes in order: one that doesn't fit is passed over, smaller
     ones after it may still fit, the first always does. Texts count with their first `limit` characters.
 
-    The list is short by design (a review's files); only sizes are gathered for the fold.
+    Each round takes the longest run that fits, by running sums first over parts and then inside the part where the budget
+    ends, and goes on behind it with the candidates no larger than what is left; what is left gets smaller each time.
     """
-    sizes = candidates.select("ord", F.octet_length(F.substring("text", 1, limit)).cast("long").alias("size"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("taken"))
-
-    def step(acc, x):
-        fits = (acc["used"] + x["size"] <= budget) | (acc["used"] == 0)
-        return F.when(fits, F.struct((acc["used"] + x["size"]).alias("used"), F.concat(acc["taken"], F.array(x["ord"].cast("long"))).alias("taken"))).otherwise(acc)
-
-    taken = sizes.agg(F.array_sort(F.collect_list(F.struct("ord", "size"))).alias("all")).select(F.explode(F.aggregate("all", start, step, lambda acc: acc["taken"])).alias("ord"))
-    return candidates.join(taken, "ord").select("ord", "path", F.octet_length(F.substring("text", 1, limit)).cast("long").alias("bytes"))
+    sized = stored(candidates.select("ord", "path", F.octet_length(F.substring("text", 1, limit)).cast("long").alias("bytes")))
+    first = sized.agg(F.min_by(F.struct("ord", "bytes"), "ord").alias("x")).filter("x is not null").select("x.*").first()
+    if first is None:
+        return sized
+    taken, rest, left = F.col("ord") == first.ord, F.col("ord") > first.ord, budget - first.bytes
+    while left > 0:
+        open_ = sized.filter(rest & (F.col("bytes") <= left))
+        # At most this many candidates of more than no bytes fit, so only the first of them can end the run.
+        ahead = W.orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+        window = open_.filter("bytes > 0").orderBy("ord").limit(RUN)
+        run = window.withColumn("sum", F.sum("bytes").over(ahead)).agg(
+            F.max(F.when(F.col("sum") <= left, F.struct("ord", "sum"))).alias("last"), F.min(F.when(F.col("sum") > left, F.col("ord"))).alias("over"), F.max("ord").alias("end")).first()
+        if run.end is None:
+            taken = taken | (rest & (F.col("bytes") == 0))
+            break
+        stop = run.over - 1 if run.over is not None else run.end
+        taken = taken | (rest & (F.col("bytes") <= left) & (F.col("ord") <= stop))
+        if run.last is not None:
+            left -= run.last["sum"]
+        rest = F.col("ord") > stop
+    else:  # nothing is left, or less than nothing if the first alone is larger
+        taken = taken | (rest & (F.col("bytes") == 0)) if left == 0 else taken
+    return sized.filter(taken)

@@ -29,17 +29,20 @@ def import_corpus(spark: SparkSession, folder: str, ext: str = ".py", line: str
 
 
 def http_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """A route for each supplier and a call for each customer, in their regions."""
+    """A route for each supplier and a call for each customer, in their regions, and a manifest for each region."""
     nation = table(spark, folder, "nation")
     supplier, customer = table(spark, folder, "supplier"), table(spark, folder, "customer")
     n = supplier.count()
     served = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("svc"), "n_regionkey", F.lit("/src/m"), "n_nationkey", F.lit("/s"), "s_suppkey", F.lit(".ts")).alias("path"),
-        F.concat(F.lit('router.get("/s/'), "s_suppkey", F.lit('/items", h)\n')).alias("text"))
+        F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('router.get("/s/'), "s_suppkey", F.lit('/items", h)\n')))
+        .otherwise(F.concat(F.lit('@Controller("s/'), "s_suppkey", F.lit('")\nclass S {\n  @Get("items") all() {}\n}\n'))).alias("text"))
     calls = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.concat(F.lit("svc"), "n_regionkey", F.lit("/src/m"), "n_nationkey", F.lit("/c"), "c_custkey", F.lit(".ts")).alias("path"),
         F.concat(F.lit("axios.post('/s/"), F.col("c_custkey") % (n + 3), F.lit("/items/"), "c_custkey", F.lit("')\n")).alias("text"))
-    return typed(served.union(calls))
+    kind = F.when(F.col("r_regionkey") % 2 == 0, "react").otherwise("express")
+    manifests = table(spark, folder, "region").select(F.concat(F.lit("svc"), "r_regionkey", F.lit("/package.json")).alias("path"), F.concat(F.lit('{"dependencies":{"'), kind, F.lit('":"1"}}\n')).alias("text"))
+    return typed(served.union(calls).union(manifests))
 
 
 EXTENSIONS = [".py", ".ts", ".go", ".ex", ".rb", ".java", ".md", ".json"]
@@ -60,7 +63,8 @@ def model_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def package_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    part = table(spark, folder, "part").select((F.col("p_partkey") % 50).alias("k"), F.floor(F.col("p_partkey") / 50).alias("j"), "p_size")
+    """A manifest for each 200 parts."""
+    part = table(spark, folder, "part").select(F.floor(F.col("p_partkey") / 200).alias("k"), (F.col("p_partkey") % 200).alias("j"), "p_size")
     version = F.when(F.col("p_size") % 3 == 0, "*").otherwise(F.concat(F.lit("^"), F.col("p_size").cast("string")))
     entry = F.struct("j", F.concat(F.lit('"pkg'), (13 * F.col("j") + F.col("k")) % 1000, F.lit('":"'), version, F.lit('"')).alias("t"))
     rows = part.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), ",").alias("body"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archlens.functions import dims
 from archlens.operators import insight, manifests, project, rollup
 from archlens.operators.discover import place, service_kinds
-from archlens.operators.extract import endpoints, models
-from archlens.operators.resolve import http_edges, lineage_edges, module_table
+from archlens.operators.extract import models
+from archlens.operators.resolve import Http, http, lineage_edges, module_table
 from archlens.plans import corpus, queries as base
+from archlens.sources.shared import stored
 
 #: key: (path, text, [(ecosystem, name, version)]); {k} stands for the row's key.
 MANIFEST_CASES = {
@@ -50,9 +52,13 @@ def _lineage(spark: SparkSession, folder: str) -> DataFrame:
     return lineage_edges(models(place(corpus.model_corpus(spark, folder))))
 
 
+def _paths(spark: SparkSession, folder: str) -> tuple[Http, DataFrame]:
+    found = http(place(corpus.http_corpus(spark, folder)))
+    return found, stored(insight.critical_paths(found.served, found.edges(), base._python_edges(spark, folder), _lineage(spark, folder)))
+
+
 def _critical_paths(spark: SparkSession, folder: str) -> DataFrame:
-    files = place(corpus.http_corpus(spark, folder))
-    found = insight.critical_paths(endpoints(files), http_edges(files), base._python_edges(spark, folder), _lineage(spark, folder))
+    _, found = _paths(spark, folder)
     return found.withColumns({"callers": F.array_join("callers", ","), "deps": F.array_join("deps", ",")})
 
 
@@ -61,17 +67,18 @@ def _matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, folder: str) -> DataFrame:
-    return insight.graph_observations(base._python_edges(spark, folder), module_table(place(corpus.import_corpus(spark, folder))))
+    return insight.graph_observations(stored(base._python_edges(spark, folder)), module_table(place(corpus.import_corpus(spark, folder))))
 
 
 def _topology(spark: SparkSession, folder: str) -> DataFrame:
     files = place(corpus.http_corpus(spark, folder))
-    missing = base._resolved(spark, folder).agg(F.count_if(F.col("endpoint_path").isNull()).alias("unresolved"))
-    return insight.topology_observations(http_edges(files), missing, endpoints(files).select("framework"), service_kinds(files))
+    found = http(files)
+    missing = found.resolved.agg(F.count_if(F.col("endpoint_path").isNull()).alias("unresolved"))
+    return insight.topology_observations(stored(found.edges()), missing, found.served.select("framework"), service_kinds(files))
 
 
 def _lineage_notes(spark: SparkSession, folder: str) -> DataFrame:
-    return insight.lineage_observations(_lineage(spark, folder), project.stores(_store_files(spark, folder)))
+    return insight.lineage_observations(stored(_lineage(spark, folder)), project.stores(_store_files(spark, folder)))
 
 
 def _all_stores(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +105,8 @@ def queries() -> dict:
         for n, (path, text, _) in MANIFEST_CASES.items()
     }
     return cases | {
-        "dep_ecosystems": lambda s, d: manifests.ecosystems(corpus.package_corpus(s, d), 20),
+        "dep_ecosystems": lambda s, d: manifests.ecosystems(corpus.package_corpus(s, d)),
+        "deps_shallow": lambda s, d: manifests.by_ecosystem(manifests.packages(corpus.package_corpus(s, d)), dims.DEPTH_TIERS["shallow"]["packages"]),
         "stores": _stores,
         "stores_inferred": _all_stores,
         "entry_points": lambda s, d: project.entry_points(_suppliers(s, d, "cmd/s{k}/main.go", "package main\n")),
@@ -123,31 +131,37 @@ _STEPS = """SELECT l_orderkey AS flow, l_linenumber AS step, 'p/' || l_partkey |
     CASE WHEN p_partkey IS NULL THEN 'file not found' WHEN l_returnflag = 'R' THEN 'no symbol' END AS problem FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 45) ON l_partkey = p_partkey"""
 
 
+def critical_paths_sql() -> str:
+    return f"""WITH ep AS (SELECT 'svc' || n_regionkey AS service, 'svc' || n_regionkey || '/src/m' || n_nationkey AS module, '/s/' || s_suppkey || '/items' AS path, 'svc' || n_regionkey || '/src/m' || n_nationkey || '/s' || s_suppkey || '.ts' AS file FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+            h AS ({base._HTTP}), e AS ({base._SAME}), l AS ({base._LINEAGE}),
+            m AS (SELECT ep.service, module, count(DISTINCT ep.path) AS endpoint_count, 'GET' AS sample_method, arg_min(ep.path, (source_service IS NULL, file)) AS sample_path, coalesce(string_agg(DISTINCT source_service, ',' ORDER BY source_service), '') AS callers FROM ep LEFT JOIN h ON h.target_service = ep.service AND h.path = ep.path GROUP BY 1, 2),
+            d AS (SELECT source, string_agg(split_part(target, '/', 3), ',' ORDER BY weight DESC, target) AS deps FROM e GROUP BY 1),
+            s AS (SELECT source_service, arg_min(target_store, (-weight, target_store)) AS store, max(weight) AS w FROM l GROUP BY 1)
+            SELECT service, module, endpoint_count, sample_method, sample_path, callers, coalesce(deps, '') AS deps, store, coalesce(w, 0) AS store_models FROM m LEFT JOIN d ON source = module LEFT JOIN s ON source_service = service"""
+
+
 def oracle_sql() -> dict[str, str]:
     cases = {
         f"manifest_{n}": " UNION ALL ".join(f"SELECT {_literal(path)} AS file, '{e}' AS ecosystem, {_literal(name)} AS name, {_literal(v)} AS version FROM supplier" for e, name, v in rows)
         for n, (path, _, rows) in MANIFEST_CASES.items()
     }
     return cases | {
-        "dep_ecosystems": """SELECT 'npm' AS ecosystem, 'package.json ×' || (SELECT count(DISTINCT p_partkey % 50) FROM part) AS file, count(*) AS count, bool_or(star) AS has_star FROM (
-            SELECT 'pkg' || CAST((13 * (p_partkey // 50) + p_partkey % 50) % 1000 AS VARCHAR) AS name, bool_and(p_size % 3 = 0) AS star FROM part GROUP BY 1 ORDER BY 1 LIMIT 20)""",
+        "dep_ecosystems": f"SELECT 'npm' AS ecosystem, 'package.json ×' || (SELECT count(DISTINCT p_partkey // 200) FROM part) AS file, count(*) AS count, bool_or(version = '*') AS has_star FROM ({base._PACKAGES})",
+        "deps_shallow": f"SELECT 'npm' AS ecosystem, name, version FROM ({base._PACKAGES}) ORDER BY name LIMIT 20",
         "stores": f"SELECT k AS id, CASE k WHEN 'postgres' THEN 'PostgreSQL' WHEN 'mysql' THEN 'MySQL' ELSE 'MongoDB' END AS name, string_agg(f, ',' ORDER BY f) AS evidence FROM (SELECT {_KIND} AS k, 's' || s_suppkey || '/.env' AS f FROM supplier) GROUP BY 1, 2",
         "stores_inferred": f"SELECT 'mysql' AS id, 'MySQL' AS name, CAST(count(*) AS INTEGER) AS refs FROM supplier WHERE s_nationkey % 3 = 1 UNION ALL SELECT DISTINCT store, upper(store[1]) || store[2:], 1 FROM ({base._MODELS})",
         "entry_points": "SELECT 'cmd/s' || s_suppkey || '/main.go' AS path, 'Go service: s' || s_suppkey AS kind FROM supplier",
         "service_prefixes": "SELECT 'svc' || s_suppkey AS service, 'NestJS' AS framework, '/api/v' || s_suppkey AS prefix FROM supplier UNION ALL SELECT 'svc' || s_suppkey, 'Express', '/e' || s_suppkey FROM supplier",
         "descriptions": "SELECT 'm' || s_suppkey AS dir, 'This is module number ' || s_suppkey || ' of the tree,' AS description FROM supplier",
-        "critical_paths": f"""WITH ep AS (SELECT 'svc' || n_regionkey AS service, 'svc' || n_regionkey || '/src/m' || n_nationkey AS module, '/s/' || s_suppkey || '/items' AS path, 'svc' || n_regionkey || '/src/m' || n_nationkey || '/s' || s_suppkey || '.ts' AS file FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-            h AS ({base._HTTP}), e AS ({base._SAME}), l AS ({base._LINEAGE}),
-            m AS (SELECT ep.service, module, count(DISTINCT ep.path) AS endpoint_count, 'GET' AS sample_method, arg_min(ep.path, (source_service IS NULL, file)) AS sample_path, coalesce(string_agg(DISTINCT source_service, ',' ORDER BY source_service), '') AS callers FROM ep LEFT JOIN h ON h.target_service = ep.service AND h.path = ep.path GROUP BY 1, 2),
-            d AS (SELECT source, string_agg(split_part(target, '/', 3), ',' ORDER BY weight DESC, target) AS deps FROM e GROUP BY 1),
-            s AS (SELECT source_service, arg_min(target_store, (-weight, target_store)) AS store, max(weight) AS w FROM l GROUP BY 1)
-            SELECT service, module, endpoint_count, sample_method, sample_path, callers, coalesce(deps, '') AS deps, store, coalesce(w, 0) AS store_models FROM m LEFT JOIN d ON source = module LEFT JOIN s ON source_service = service""",
+        "critical_paths": critical_paths_sql(),
         "matrix_order": f"SELECT CAST(row_number() OVER (ORDER BY service, loc DESC, module) - 1 AS INTEGER) AS idx, module, service, dense_rank() OVER (ORDER BY service) - 1 AS block FROM ({_MODULES})",
         "graph_observations": f"WITH e AS ({base._SAME}) SELECT * FROM ({_TOP.format(rule='fan_out', by='source')}) UNION ALL SELECT * FROM ({_TOP.format(rule='fan_in', by='target')}) UNION ALL SELECT 'no_crossings', '', count(*) FROM e HAVING count(*) > 0",
         "topology_observations": f"""WITH p AS (SELECT source_service AS s, target_service AS t, sum(weight) AS n FROM ({base._HTTP}) GROUP BY 1, 2), d AS (SELECT s AS subject FROM p UNION ALL SELECT t FROM p),
             u AS (SELECT count(*) AS n FROM customer, (SELECT count(*) AS k FROM supplier) WHERE c_custkey % (k + 3) >= k)
             SELECT * FROM (SELECT 'hub' AS rule, subject, count(*) AS value FROM d GROUP BY subject HAVING count(*) >= 2 ORDER BY value DESC, subject LIMIT 1)
             UNION ALL SELECT 'heaviest_pair', s || '>' || t, CAST(floor(1000 * n / (SELECT sum(n) FROM p)) AS BIGINT) FROM p WHERE n >= 0.7 * (SELECT sum(n) FROM p) AND (SELECT count(*) FROM p) > 1
+            UNION ALL SELECT 'frontend_fan', s, count(*) FROM p WHERE s IN ('svc0', 'svc2', 'svc4') GROUP BY s HAVING count(*) >= 2
+            UNION ALL SELECT 'frameworks', '', count(DISTINCT s_suppkey % 2) FROM supplier HAVING count(DISTINCT s_suppkey % 2) >= 2
             UNION ALL SELECT 'unresolved', '', n FROM u WHERE n >= 3""",
         "lineage_observations": f"""WITH l AS ({base._LINEAGE}), s AS (SELECT target_store AS id, sum(weight) AS n, count(DISTINCT source_service) AS w FROM l GROUP BY 1), t AS (SELECT sum(n) AS total FROM s)
             SELECT 'dominant_store' AS rule, id AS subject, CAST(n AS BIGINT) AS value FROM s, t WHERE total >= 5 AND n >= 0.9 * total UNION ALL SELECT 'shared_store', id, w FROM s WHERE w >= 2

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.functions.text import path_prefix, route
-from archlens.operators import rollup
+from archlens.operators import manifests, report, rollup
 from archlens.operators.discover import place
-from archlens.operators.extract import clients, endpoints, models, npm_dependencies
-from archlens.operators.resolve import http_edges, import_edges, lineage_edges, resolve_clients
+from archlens.operators.extract import clients, endpoints, models
+from archlens.operators.resolve import Http, http, import_edges, lineage_edges
 from archlens.plans import corpus
 
 #: key: (path, text, framework, method, route); {k} stands for the row's key.
@@ -105,9 +105,8 @@ def _intra_cross(spark: SparkSession, folder: str) -> DataFrame:
     return edges.agg(F.count_if(same).alias("intra"), F.count_if(~same).alias("crossing"))
 
 
-def _resolved(spark: SparkSession, folder: str) -> DataFrame:
-    files = place(corpus.http_corpus(spark, folder))
-    return resolve_clients(clients(files), endpoints(files))
+def _http(spark: SparkSession, folder: str) -> Http:
+    return http(place(corpus.http_corpus(spark, folder)))
 
 
 def _dirs(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,11 +118,11 @@ def _routes(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.table(spark, folder, "pages").select("page_id", route(F.concat(F.lit("h//"), params, F.lit("/"), F.col("page_id") % 7, F.lit("/"))).alias("path"))
 
 
-def _tiers(spark: SparkSession, folder: str) -> DataFrame:
-    n = corpus.table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
-    m = n.toDF("b", "r")
-    edges = n.join(m, (F.col("n_regionkey") == F.col("r")) & (F.col("b") > F.col("n_nationkey")) & ((F.col("b") + F.col("n_nationkey")) % 3 != 0))
-    return rollup.tiers(edges.select(F.col("n_nationkey").cast("string").alias("source"), F.col("b").cast("string").alias("target")))
+def _tree_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """Each part depends on the eighth and the sixty-fourth part of its number."""
+    part, k = corpus.table(spark, folder, "part"), F.col("p_partkey")
+    ends = F.explode(F.array(F.floor(k / 8), F.floor(k / 64))).alias("source")
+    return part.select(ends, k.alias("target")).select(F.col("source").cast("string"), F.col("target").cast("string"))
 
 
 def _lineage(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,13 +136,12 @@ def _hot_models(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, folder: str) -> DataFrame:
-    # Candidates are the first 400 in order of priority, a limit that the selection has by itself.
-    docs = corpus.table(spark, folder, "documents").filter("text is not null").orderBy("doc_id").limit(400)
+    docs = corpus.table(spark, folder, "documents").filter("text is not null")
     return rollup.budgeted(docs.select(F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("path"), "text"))
 
 
 def queries() -> dict[str, Query]:
-    from archlens.plans import facts
+    from archlens.plans import facts, reports
 
     cases, _ = _cases()
     return {
@@ -156,20 +154,19 @@ def queries() -> dict[str, Query]:
         "lang_rollup": lambda s, d: rollup.languages(corpus.document_corpus(s, d)),
         "dir_rollup": _dirs,
         "primary_language": lambda s, d: rollup.primary_language(corpus.document_corpus(s, d).withColumn("dir", F.substring_index("path", "/", 1)), "dir"),
-        "http_edges": lambda s, d: http_edges(place(corpus.http_corpus(s, d))),
-        "service_pairs": lambda s, d: http_edges(place(corpus.http_corpus(s, d))).groupBy("source_service", "target_service").agg(F.sum("weight").alias("calls"), F.count("*").alias("routes")),
-        "unresolved_clients": lambda s, d: _resolved(s, d).agg(F.count_if(F.col("endpoint_path").isNull()).alias("unresolved"), F.count("*").alias("calls")),
-        "entry_modules": lambda s, d: endpoints(place(corpus.http_corpus(s, d))).filter("service is not null and module is not null").groupBy("service", "module").agg(F.count("*").alias("endpoint_count")),
-        "endpoint_methods": lambda s, d: endpoints(place(corpus.http_corpus(s, d))).groupBy("method").agg(F.count("*").alias("n")),
+        "http_edges": lambda s, d: _http(s, d).edges(),
+        "service_pairs": lambda s, d: report.pairs(_http(s, d).edges()).select("source_service", "target_service", "calls", F.size("routes").cast("long").alias("routes"), F.col("routes")[0]["path"].alias("first_route")),
+        "unresolved_clients": lambda s, d: _http(s, d).resolved.agg(F.count_if(F.col("endpoint_path").isNull()).alias("unresolved"), F.count("*").alias("calls")),
+        "entry_modules": lambda s, d: report.entry_modules(_http(s, d).served),
         "route_normalize": _routes,
         "route_prefix_topk": lambda s, d: _routes(s, d).groupBy(path_prefix(F.col("path"), 2).alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix").limit(10),
-        "topology_tiers": _tiers,
+        "topology_tiers": lambda s, d: rollup.tiers(_tree_edges(s, d)),
         "lineage_edges": _lineage,
         "hot_models": _hot_models,
         "store_dominance": lambda s, d: _lineage(s, d).groupBy("target_store").agg(F.sum("weight").alias("weight")).withColumn("share", F.round(F.col("weight") / F.expr("sum(weight) over ()"), 6)),
-        "deps_by_ecosystem": lambda s, d: rollup.dependencies(npm_dependencies(corpus.package_corpus(s, d))),
+        "deps_by_ecosystem": lambda s, d: manifests.by_ecosystem(manifests.packages(corpus.package_corpus(s, d))),
         "evidence_pack": _evidence,
-    } | cases | facts.queries()
+    } | cases | facts.queries() | reports.queries()
 
 
 _EDGES = """
@@ -194,8 +191,12 @@ _LINEAGE = f"""SELECT service AS source_service, store AS target_store, string_a
   count(DISTINCT model) AS weight FROM ({_MODELS}) GROUP BY 1, 2"""
 
 
+_PACKAGES = """SELECT name, arg_min(version, (version = '*', file, j)) AS version FROM (SELECT 'pkg' || CAST((13 * (p_partkey % 200) + p_partkey // 200) % 1000 AS VARCHAR) AS name,
+  CASE WHEN p_size % 3 = 0 THEN '*' ELSE '^' || p_size END AS version, 'svc' || (p_partkey // 200) % 5 || '/p' || p_partkey // 200 || '/package.json' AS file, p_partkey % 200 AS j FROM part) GROUP BY name"""
+
+
 def oracle_sql() -> dict[str, str]:
-    from archlens.plans import facts
+    from archlens.plans import facts, reports
 
     _, cases = _cases()
     return {
@@ -209,20 +210,18 @@ def oracle_sql() -> dict[str, str]:
         "dir_rollup": f"SELECT d AS dir, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM (SELECT source AS d, {_LOC} AS loc FROM documents UNION ALL SELECT source || '/' || lang, {_LOC} FROM documents) GROUP BY 1",
         "primary_language": f"SELECT dir, name AS primary_language, loc FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY loc DESC, name) AS r FROM (SELECT source AS dir, {_LANG} AS name, CAST(sum({_LOC}) AS BIGINT) AS loc FROM documents GROUP BY 1, 2)) WHERE r = 1",
         "http_edges": _HTTP,
-        "service_pairs": f"SELECT source_service, target_service, CAST(sum(weight) AS BIGINT) AS calls, count(*) AS routes FROM ({_HTTP}) GROUP BY 1, 2",
+        "service_pairs": f"SELECT source_service, target_service, CAST(sum(weight) AS BIGINT) AS calls, count(*) AS routes, arg_min(path, (-weight, path)) AS first_route FROM ({_HTTP}) GROUP BY 1, 2",
         "unresolved_clients": "SELECT count(*) FILTER (WHERE c_custkey % (n + 3) >= n) AS unresolved, count(*) AS calls FROM customer, (SELECT count(*) AS n FROM supplier)",
         "entry_modules": "SELECT 'svc' || n_regionkey AS service, 'svc' || n_regionkey || '/src/m' || n_nationkey AS module, count(*) AS endpoint_count FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
-        "endpoint_methods": "SELECT 'GET' AS method, count(*) AS n FROM supplier",
         "route_normalize": _ROUTE,
         "route_prefix_topk": "SELECT '/h/:id' AS prefix, count(*) AS n FROM pages",
-        "topology_tiers": """WITH RECURSIVE e AS (SELECT CAST(a.n_nationkey AS VARCHAR) AS s, CAST(b.n_nationkey AS VARCHAR) AS t FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey AND (a.n_nationkey + b.n_nationkey) % 3 <> 0),
-            w(node, tier) AS (SELECT DISTINCT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION ALL SELECT e.t, w.tier + 1 FROM w JOIN e ON e.s = w.node) SELECT node, max(tier) AS tier FROM w GROUP BY node""",
+        "topology_tiers": """WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT p_partkey // 8 AS s, p_partkey AS t FROM part UNION ALL SELECT p_partkey // 64, p_partkey FROM part)),
+            w(node, tier) AS (SELECT DISTINCT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, w.tier + 1 FROM w JOIN e ON e.s = w.node) SELECT CAST(node AS VARCHAR) AS node, max(tier) AS tier FROM w GROUP BY node""",
         "lineage_edges": _LINEAGE,
         "hot_models": f"SELECT model, count(*) AS rows, count(DISTINCT service) AS services, count(DISTINCT framework) AS frameworks FROM ({_MODELS}) GROUP BY model ORDER BY rows DESC, model LIMIT 8",
         "store_dominance": f"SELECT target_store, CAST(sum(weight) AS BIGINT) AS weight, round(sum(weight) / sum(sum(weight)) OVER (), 6) AS share FROM ({_LINEAGE}) GROUP BY target_store",
-        "deps_by_ecosystem": """SELECT name, arg_min(version, (version = '*', file, j)) AS version FROM (SELECT 'pkg' || CAST((13 * (p_partkey // 50) + p_partkey % 50) % 1000 AS VARCHAR) AS name,
-            CASE WHEN p_size % 3 = 0 THEN '*' ELSE '^' || p_size END AS version, 'svc' || (p_partkey % 50) % 5 || '/p' || p_partkey % 50 || '/package.json' AS file, p_partkey // 50 AS j FROM part) GROUP BY name""",
-        "evidence_pack": """WITH RECURSIVE c AS (SELECT doc_id, strlen(substr(text, 1, 6000)) AS size, row_number() OVER (ORDER BY doc_id) AS r FROM (SELECT * FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 400)),
+        "deps_by_ecosystem": f"SELECT 'npm' AS ecosystem, name, version FROM ({_PACKAGES})",
+        "evidence_pack": """WITH RECURSIVE c AS (SELECT doc_id, strlen(substr(text, 1, 6000)) AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL),
             f AS (SELECT r, doc_id, size, size AS used, true AS taken FROM c WHERE r = 1 UNION ALL SELECT c.r, c.doc_id, c.size, CASE WHEN f.used + c.size <= 200000 THEN f.used + c.size ELSE f.used END, f.used + c.size <= 200000 FROM f JOIN c ON c.r = f.r + 1)
             SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS path, size AS bytes FROM f WHERE taken""",
-    } | cases | facts.oracle_sql()
+    } | cases | facts.oracle_sql() | reports.oracle_sql()

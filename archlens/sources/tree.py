@@ -37,8 +37,11 @@ class TreeReader(DataSourceReader):
 
     def read(self, partition: PathBatch):
         for path in partition.paths:
-            with open(os.path.join(self.root, path), "rb") as f:
-                yield path.replace(os.sep, "/"), f.read()
+            try:
+                with open(os.path.join(self.root, path), "rb") as f:
+                    yield path.replace(os.sep, "/"), f.read()
+            except OSError:  # what can't be read counts as binary, which a zero byte says
+                yield path.replace(os.sep, "/"), b"\0"
 
 
 class SourceTree(DataSource):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from archlens.functions.text import normalise_path, package_of, route
 from archlens.operators.discover import place
-from archlens.operators.extract import npm_dependencies
+from archlens.operators.manifests import packages
 from archlens.operators.resolve import http_edges, import_edges
 from archlens.plans import queries as plans
 from archlens.sources.tree import read_tree, typed
@@ -67,6 +67,6 @@ def test_edges_of_a_small_tree(spark):
     }
     files = place(typed(spark.createDataFrame(list(rows.items()), "path string, text string")))
     got = {tuple(r) for r in http_edges(files).collect()}
-    assert got == {("web", "backend", "GET", "/users", 1), ("web", "backend", "POST", "/orders", 1)}
+    assert got == {("web", "backend", "GET", "/api/v1/users", 1), ("web", "backend", "POST", "/api/v1/orders", 1)}
     assert {tuple(r) for r in import_edges(files).collect()} == {("backend/src/orders", "backend/src/users", 1)}
-    assert {(r.name, r.version) for r in npm_dependencies(files).collect()} == {("react", "^18"), ("express", "^4")}
+    assert {(r.name, r.version) for r in packages(files).collect()} == {("react", "^18"), ("express", "^4")}
