@@ -146,7 +146,7 @@ def oracle_sql() -> dict[str, str]:
         for n, (path, _, rows) in MANIFEST_CASES.items()
     }
     return cases | {
-        "dep_ecosystems": f"SELECT 'npm' AS ecosystem, 'package.json ×' || (SELECT count(DISTINCT p_partkey // 200) FROM part) AS file, count(*) AS count, bool_or(version = '*') AS has_star FROM ({base._PACKAGES})",
+        "dep_ecosystems": f"SELECT 'npm' AS ecosystem, (SELECT CASE count(DISTINCT p_partkey // 200) WHEN 1 THEN 'svc0/p0/package.json' ELSE 'package.json ×' || count(DISTINCT p_partkey // 200) END FROM part) AS file, count(*) AS count, bool_or(version = '*') AS has_star FROM ({base._PACKAGES})",
         "deps_shallow": f"SELECT 'npm' AS ecosystem, name, version FROM ({base._PACKAGES}) ORDER BY name LIMIT 20",
         "stores": f"SELECT k AS id, CASE k WHEN 'postgres' THEN 'PostgreSQL' WHEN 'mysql' THEN 'MySQL' ELSE 'MongoDB' END AS name, string_agg(f, ',' ORDER BY f) AS evidence FROM (SELECT {_KIND} AS k, 's' || s_suppkey || '/.env' AS f FROM supplier) GROUP BY 1, 2",
         "stores_inferred": f"SELECT 'mysql' AS id, 'MySQL' AS name, CAST(count(*) AS INTEGER) AS refs FROM supplier WHERE s_nationkey % 3 = 1 UNION ALL SELECT DISTINCT store, upper(store[1]) || store[2:], 1 FROM ({base._MODELS})",
