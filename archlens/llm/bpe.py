@@ -21,14 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import chunks, cut, id_and_text, map_batches, quoted, texts_of
+from archlens.llm.common import chunks, cut, id_and_text, map_batches, texts_of, with_columns
 
-#: Words of the table at most, and bytes of a word in it: with their ids they take about 100 MB in a Python worker.
-TABLE_WORDS, WORD_BYTES = 500_000, 64
+#: Words of the table at most, and bytes of a word in it: with their ids they take about 50 MB in a task.
+TABLE_WORDS, WORD_BYTES = 250_000, 64
 #: Steps of a doubling of the words' counts by which the most frequent are chosen.
 STEPS = 8
 
@@ -70,13 +69,6 @@ def word_table(texts: DataFrame, tokenizer: str) -> DataFrame:
     return map_batches(chosen.select("word"), run, "word string, ids binary")
 
 
-@lru_cache(maxsize=1)
-def _by_word(table: Broadcast) -> dict[bytes, bytes]:
-    """The table in a worker, made once for all of its tasks."""
-    words, ids = table.value
-    return dict(zip(words.to_pylist(), ids.to_pylist(), strict=True))
-
-
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and `ids`, the array of token ids of each whole text under the vocabulary file `tokenizer`."""
     texts = id_and_text(docs, id_col, text_col)
@@ -85,7 +77,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     table = docs.sparkSession.sparkContext.broadcast(tuple(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _by_word(table)
+        words, ids = table.value
+        known = dict(zip(words.to_pylist(), ids.to_pylist(), strict=True))
         for batch in batches:
             every = texts_of(batch.column("text"))
             for a, b in chunks(every):
@@ -124,8 +117,7 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
             joined = [pa.compute.binary_join(pa.ListArray.from_arrays(offsets, t.take(flat)), " ") for t in tables]
             yield pa.RecordBatch.from_arrays([*batch.columns, joined[1], joined[0]], [*names, "ids_text", "decoded"])
 
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return map_batches(encoded, run, f"{schema}, ids_text string, decoded string")
+    return map_batches(encoded, run, with_columns(encoded.schema, ids_text="string", decoded="string"))
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
