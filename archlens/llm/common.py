@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from archlens.sources.shared import shared_folder
 
 #: Bytes of text that a task works on at once.
 CHUNK_BYTES = 1 << 19
@@ -19,20 +19,6 @@ BATCH_ROWS = 400
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. In local mode (tests) an unset one becomes a temporary folder that goes with
-    this process; on a cluster it has to be set, as a folder of one machine would lose what the others write."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def _path(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -60,8 +46,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow in batches of at most BATCH_ROWS rows.
+def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow in batches of at most BATCH_ROWS rows, also of columns with dots in their names.
 
     Spark reads the size when the plan runs, so it stays set in the session; a size that the session has set lower is
     left as it is.
@@ -69,7 +55,22 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH, "10000")) <= BATCH_ROWS:
         conf.set(_BATCH, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    names = df.columns
+    if not any("." in n or "`" in n for n in names):
+        return df.mapInArrow(function, schema)
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return function(batch.rename_columns(names) for batch in batches)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(renamed, schema)
+
+
+def with_columns(schema: StructType, **types: str) -> StructType:
+    """The schema with further columns."""
+    out = StructType(list(schema.fields))
+    for name, kind in types.items():
+        out = out.add(name, kind)
+    return out
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import cut, fresh, id_and_text, map_batches, named, quoted, texts_of
+from archlens.llm.common import cut, fresh, id_and_text, map_batches, named, texts_of, with_columns
 
 LINES = "doc long, number int, a long, b long, head long, tail long, head2 long, tail2 long"
 VARIANTS = "key long, place int, lead boolean, doc long, number int, line long, words binary"
@@ -195,8 +195,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own, other, removed = fresh(found, "line_doc", "line_doc_gone", "line_gone")
     gone = copies.union(near).groupBy(F.col("doc").alias(other)).agg(F.collect_set("a").alias(removed))
     found = found.withColumns({text_col: named(text_col).cast("string"), own: named(id_col).cast("long")})
-    fields = [(f.name, f.dataType.simpleString()) for f in found.schema.fields if f.name != own]
+    schema = with_columns(found.drop(own).schema, n_lines="long", n_removed="long")
     joined = found.join(gone.hint("shuffle_hash"), F.col(own) == F.col(other), "left").drop(other)
-    names = [n for n, _ in fields] + ["n_lines", "n_removed"]
-    schema = [f"{quoted(n)} {t}" for n, t in fields] + ["n_lines long", "n_removed long"]
-    return map_batches(joined, _drop_lines(text_col, own, removed, names), ", ".join(schema))
+    return map_batches(joined, _drop_lines(text_col, own, removed, schema.names), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archlens.llm.common import chunks, columns_of, cut, fresh, map_batches, named, quoted, texts_of
+from archlens.llm.common import chunks, columns_of, cut, fresh, map_batches, named, texts_of, with_columns
 from archlens.llm.words import U, Words, mix
 
 SAMPLE_ROWS = 10_000
@@ -121,7 +121,6 @@ def with_evidence(docs: DataFrame, model: Evidence | None, text_col: str = "text
     """`docs` with all its columns and, as `name`, the evidence of each row's text."""
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
-    fields = [(f.name, f.dataType.simpleString()) for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +128,7 @@ def with_evidence(docs: DataFrame, model: Evidence | None, text_col: str = "text
             z = np.concatenate([np.zeros(0), *(model.of(texts[a:b]) for a, b in chunks(texts))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z)], [*batch.schema.names, name])
 
-    return map_batches(docs, run, ", ".join([*(f"{quoted(n)} {t}" for n, t in fields), f"{quoted(name)} double"]))
+    return map_batches(docs, run, with_columns(docs.schema, **{name: "double"}))
 
 
 def _strength(groups: DataFrame, n: str, total: str, center: Column) -> float:
