@@ -40,9 +40,10 @@ def tiers(edges: DataFrame) -> DataFrame:
     """node, tier: 0 without predecessors, else one more than the highest tier of the predecessors, over edges (source, target).
 
     Each round is one grouped maximum over the edges and joins it back to the nodes, until nothing changes. In a graph of N
-    nodes tiers settle within N rounds; where a cycle keeps them from it, N + 1 rounds are made, all nodes at once.
+    nodes tiers settle within N rounds; where a cycle keeps them from it, N + 1 rounds are made, all nodes at once. An edge
+    from a node to itself counts for nothing, also not for the node being there.
     """
-    edges = stored(edges.select("source", "target").distinct())
+    edges = stored(edges.select("source", "target").filter("source <> target").distinct())
     now = stored(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().withColumn("tier", F.lit(0)))
     for _ in range(now.count() + 1):
         reached = edges.join(now.toDF("source", "t"), "source").groupBy(F.col("target").alias("node")).agg((F.max("t") + 1).alias("t"))

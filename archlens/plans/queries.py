@@ -120,7 +120,7 @@ def _routes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _tree_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Each part depends on the eighth and the sixty-fourth part of its number."""
-    part, k = corpus.table(spark, folder, "part"), F.col("p_partkey")
+    part, k = corpus.table(spark, folder, "part").filter("p_partkey > 0"), F.col("p_partkey")
     ends = F.explode(F.array(F.floor(k / 8), F.floor(k / 64))).alias("source")
     return part.select(ends, k.alias("target")).select(F.col("source").cast("string"), F.col("target").cast("string"))
 
@@ -215,7 +215,7 @@ def oracle_sql() -> dict[str, str]:
         "entry_modules": "SELECT 'svc' || n_regionkey AS service, 'svc' || n_regionkey || '/src/m' || n_nationkey AS module, count(*) AS endpoint_count FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
         "route_normalize": _ROUTE,
         "route_prefix_topk": "SELECT '/h/:id' AS prefix, count(*) AS n FROM pages",
-        "topology_tiers": """WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT p_partkey // 8 AS s, p_partkey AS t FROM part UNION ALL SELECT p_partkey // 64, p_partkey FROM part)),
+        "topology_tiers": """WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT p_partkey // 8 AS s, p_partkey AS t FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey // 64, p_partkey FROM part WHERE p_partkey > 0)),
             w(node, tier) AS (SELECT DISTINCT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, w.tier + 1 FROM w JOIN e ON e.s = w.node) SELECT CAST(node AS VARCHAR) AS node, max(tier) AS tier FROM w GROUP BY node""",
         "lineage_edges": _LINEAGE,
         "hot_models": f"SELECT model, count(*) AS rows, count(DISTINCT service) AS services, count(DISTINCT framework) AS frameworks FROM ({_MODELS}) GROUP BY model ORDER BY rows DESC, model LIMIT 8",
