@@ -54,9 +54,12 @@ def _sections(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _prefixed(spark: SparkSession, folder: str) -> DataFrame:
-    """A service for each supplier that states a prefix for its controllers, and calls to it without the prefix."""
+    """A service for each supplier that states a prefix for its controllers, and calls to it with and without the prefix.
+
+    A literal id reaches the collection's route, never that of ":id"; a call of the bare prefix reaches nothing.
+    """
     files = _join(
-        spark, folder, ("api{k}/src/main.ts", 'app.setGlobalPrefix("api/v2");\n'), ("api{k}/src/m/c{k}.ts", '@Controller("c{k}")\nclass C {\n  @Get(":id") one() {}\n}\n'),
+        spark, folder, ("api{k}/src/main.ts", 'app.setGlobalPrefix("api/v2");\n'), ("api{k}/src/m/c{k}.ts", '@Controller("c{k}")\nclass C {\n  @Get() all() {}\n  @Get(":id") one() {}\n}\n'),
         ("web{k}/src/m/a.ts", "axios.get('/c{k}/7')\naxios.get('/api/v2/c{k}/8')\naxios.get('/api/v2')\naxios.get('/none')\n"))
     return http(place(files)).edges()
 
@@ -231,7 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "tree_levels": f"""WITH d AS (SELECT service AS dir, files, loc, 1 AS level, '' AS up FROM ({_SERVICES}) UNION ALL SELECT service || '/src', files, loc, 2, service FROM ({_SERVICES}))
             SELECT dir, files, loc, level, CAST(row_number() OVER (PARTITION BY up ORDER BY dir) AS INTEGER) AS place FROM d""",
         "linear_chain": "SELECT false AS linear",
-        "prefixed_http_edges": f"SELECT 'web' || {k} AS source_service, 'api' || {k} AS target_service, 'GET' AS method, '/api/v2/c' || {k} AS path, 0 AS weight FROM supplier WHERE false",
+        "prefixed_http_edges": f"SELECT 'web' || {k} AS source_service, 'api' || {k} AS target_service, 'GET' AS method, '/api/v2/c' || {k} AS path, CAST(2 AS BIGINT) AS weight FROM supplier",
         "single_service": f"SELECT 'tree' AS service, NULL AS module, 2 * count(*) AS files FROM supplier UNION ALL SELECT 'tree', 'src/m' || {k}, 1 FROM supplier",
         "workspace_edges": f"SELECT 'svc/packages/q' || {k} AS source, 'svc/packages/p' || {k} AS target, CAST(2 AS BIGINT) AS weight FROM supplier",
         "go_module_edges": f"SELECT 'svc/src/a' || {k} AS source, 'svc/src/b' || {k} AS target, CAST(2 AS BIGINT) AS weight FROM supplier",
