@@ -79,7 +79,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL; the other operators are tested against brute force, a library, round trips or held-out accuracy."""
-    return {"op1_substring_dedup": OP1, "op8_decontamination": OP8}
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(license_scan.TEMPLATES))
+    return {"op1_substring_dedup": OP1, "op3_line_dedup": OP3, "op5_license_scan": OP5.replace("{templates}", templates), "op8_decontamination": OP8}
 
 
 OP1 = r"""
@@ -94,6 +96,39 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0)
 FROM d LEFT JOIN r USING (doc_id)
 """
 
+OP3 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+k AS (SELECT doc_id, n, line, w, array_to_string(w, ' ') AS t FROM s),
+f AS (SELECT t, min({'d': doc_id, 'n': n}) AS spot, any_value(w) AS w FROM k WHERE t <> '' GROUP BY t),
+v AS (SELECT t, spot, 0 AS place, md5(t) AS key FROM f UNION ALL
+  SELECT t, spot, p, md5(array_to_string(w[:p - 1] || w[p + 1:], ' ')) FROM (SELECT t, spot, w, unnest(range(1, len(w) + 1)) AS p FROM f WHERE len(w) >= 5)),
+near AS (SELECT DISTINCT b.t FROM v a JOIN v b ON a.key = b.key AND (a.place = b.place OR a.place = 0 OR b.place = 0) AND a.spot < b.spot),
+j AS (SELECT k.doc_id, k.n, k.line, k.t <> '' AND (f.spot <> {'d': k.doc_id, 'n': k.n} OR near.t IS NOT NULL) AS gone FROM k LEFT JOIN f ON k.t = f.t LEFT JOIN near ON k.t = near.t),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS kept FROM j GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN g USING (doc_id)
+"""
+
+#: Exact containment in every window, without bands; places and scores as in `license_scan`.
+OP5 = r"""
+WITH t AS (SELECT id, name, list_filter(regexp_split_to_array(lower(text), '[^0-9a-z]+'), lambda x: x <> '') AS w FROM (VALUES {templates}) v(id, name, text)),
+ts AS (SELECT id, name, len(w) - 4 AS long, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM t WHERE len(w) >= 5),
+c AS (SELECT id, name, s, len(s) AS n, CAST(ceil(pow(2.0, ceil(2 * log2(long)) / 2)) AS BIGINT) AS cap FROM ts),
+z AS (SELECT *, greatest(1, cap // 4) AS stride, cap + greatest(1, cap // 4) - 1 AS size FROM c),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+h AS (SELECT doc_id, pos, s, id FROM p JOIN (SELECT id, unnest(s) AS s FROM z) USING (s)),
+x AS (SELECT doc_id, pos, h.s, id, name, n, cap, stride * unnest(range(greatest(0, CAST(floor((pos - size) / stride) AS BIGINT) + 1), pos // stride + 1)) AS low FROM h JOIN z USING (id)),
+held AS (SELECT doc_id, id, name, n, cap, low, list(pos) AS spots FROM x GROUP BY ALL HAVING count(DISTINCT s) >= CAST(0.8 AS DOUBLE) * n),
+pl AS (SELECT *, list_max(list_transform(spots, lambda a: {'n': len(list_filter(spots, lambda q: q >= a AND q < a + n)), 'low': -a})) AS best FROM held),
+e AS (SELECT doc_id, id, name, cap, low, 2 * best.n - n AS score, unnest(list_filter(spots, lambda q: q >= -best.low AND q < n - best.low)) AS pos FROM pl),
+r AS (SELECT *, max({'score': score, 'name': name}) OVER (PARTITION BY doc_id, pos) AS top FROM e),
+b AS (SELECT doc_id, id, name, cap, low, 2 * count(*) FILTER (top.score > score AND top.name <> name) <= count(*) AS best FROM r GROUP BY ALL),
+m AS (SELECT doc_id, count(DISTINCT {'c': cap, 'l': low}) AS n_windows, string_agg(DISTINCT name, ',' ORDER BY name) FILTER (best) AS licenses FROM b GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_windows, 0) AS BIGINT) AS n_windows, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN m USING (doc_id)
+"""
+
 OP8 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
