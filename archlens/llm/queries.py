@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm import bpe, decontaminate, license_scan, line_dedup, ogg, quality, simhash, substring_dedup, token_counts, toxicity
+from archlens.llm import bpe, decontaminate, language, license_scan, line_dedup, ogg, periodic_runs, quality, simhash, spelling, substring_dedup, token_counts, toxicity
 
 #: Files of public tokenizers.
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -73,15 +74,63 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _doc_hash() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; the words of every tenth document by hash become periodic from some word on."""
+    h = _doc_hash()
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w")).withColumn("n", F.size("w"))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    moved = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(table(spark, folder, "documents")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    power = F.expr("best.length * 1000 div best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", power.alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = _doc_hash() % 4 == 2
+    docs = table(spark, folder, "documents")
+    found = language.identify(docs, language.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def misspelt(doc_id: int | None, word: bytes) -> bytes:
+    """A document's word, one in 97 of them without one of its characters."""
+    h = zlib.crc32(b"%s:%s" % (str(doc_id).encode(), word))
+    if h % 97:
+        return word
+    letters = word.decode()
+    at = h % len(letters)
+    return (letters[:at] + letters[at + 1 :]).encode()
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), misspelt))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_line_dedup, op4_bpe, op5_license_scan, op6_toxicity, op7_quality, op8_decontamination, op9_ogg, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_token_counts, op3_line_dedup, op4_bpe, op5_license_scan, op6_toxicity, op7_quality, op8_decontamination, op9_ogg, op10_simhash, op11_periodic_runs, op12_language_id, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL; the other operators are tested against brute force, a library, round trips or held-out accuracy."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     templates = ", ".join(f"({k}, {quote(name)}, {quote(text)})" for k, (name, text) in enumerate(license_scan.TEMPLATES))
-    return {"op1_substring_dedup": OP1, "op3_line_dedup": OP3, "op5_license_scan": OP5.replace("{templates}", templates), "op8_decontamination": OP8}
+    return {"op1_substring_dedup": OP1, "op3_line_dedup": OP3, "op5_license_scan": OP5.replace("{templates}", templates), "op8_decontamination": OP8} | {
+        name: sql.replace("{crc_table}", CRC_TABLE).replace("{crc}", CRC.replace("{x}", text)) for name, sql, text in (("op11_periodic_runs", OP11, "CAST(doc_id AS VARCHAR)"), ("op13_spelling_variants", OP13, "x"))
+    }
 
 
 OP1 = r"""
@@ -143,3 +192,44 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN a USING (doc_id)
 """
+
+#: CRC-32 of a text's UTF-8 bytes, byte by byte: {crc(x)} in the SQL below; `crc_table` has the remainder of each byte.
+CRC_TABLE = "SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), b)) AS t"
+CRC = "xor(list_reduce(list_transform(range(strlen({x})), lambda k: CAST('0x' || substr(hex({x}), 2 * k + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295), 4294967295)"
+
+#: Equal triples of words q apart, gathered to stretches; a stretch of several periods is that of the smallest.
+OP11 = r"""
+WITH crc_table AS ({crc_table}),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, {crc} AS h FROM documents, crc_table),
+e AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a, h // 10 % 8 AS g FROM d),
+m AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g)) END]) END AS w FROM e),
+g AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 3], ' ') AS t FROM (SELECT doc_id, n, w, unnest(range(n - 2)) AS i FROM m WHERE n >= 6)),
+q AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.t = y.t AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM q),
+l AS (SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM s GROUP BY doc_id, q, island HAVING count(*) + 2 + q >= greatest(6, 4 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM l GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, max({'length': length, 'start': -start, 'period': -period}) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM m) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(-best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(-best.period AS BIGINT) AS period,
+  CAST(1000 * best.length // -best.period AS BIGINT) AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+#: Near words: equal without the character at the same place, or equal to the longer word without one.
+OP13 = r"""
+WITH RECURSIVE crc_table AS ({crc_table}),
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, doc_id || ':' || run AS x FROM o GROUP BY doc_id, run),
+h AS (SELECT run, n, {crc} AS h FROM c, crc_table),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+z AS (SELECT word, p, substr(word, 1, p) || substr(word, p + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS p FROM v)),
+x AS (SELECT a.word, b.word AS near FROM z a JOIN z b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word UNION SELECT z.word, v.word FROM z JOIN v ON z.rest = v.word UNION SELECT v.word, z.word FROM z JOIN v ON z.rest = v.word),
+y AS (SELECT x.word, count(*) AS n_near, min({'off': -v.n, 'near': near}) AS best FROM x JOIN v ON x.near = v.word GROUP BY x.word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.off >= 2 * n THEN best.near END AS form, CASE WHEN -best.off >= 2 * n THEN -best.off END AS form_n FROM v LEFT JOIN y USING (word)),
+r AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT r.word, r.root FROM r JOIN f ON r.root = f.word WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM f LEFT JOIN e USING (word)
+"""
