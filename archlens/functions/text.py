@@ -43,19 +43,21 @@ def first(text: Column, pattern: str) -> Column:
 
 
 def route(raw: Column) -> Column:
-    """A route's canonical form: one leading slash, none at the end, parameters as :id."""
-    p = F.trim(raw)
-    p = F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p))
-    p = F.when(F.length(p) > 1, F.regexp_replace(p, "/+$", "")).otherwise(p)
+    """A route's canonical form: one leading slash, none at the end, parameters as :id.
+
+    A chain of replacements that uses each step once: a step that branches on the one before would double the code of all before it.
+    """
+    p = F.regexp_replace(F.trim(raw), "^(?!/)", "/")
+    p = F.regexp_replace(p, "/+$", "")
     for pattern in dims.ROUTE_PARAMETERS:
         p = F.regexp_replace(p, "(?U)" + pattern, ":id")
-    p = F.regexp_replace(p, "/+", "/")
-    return F.when(p == "", "/").otherwise(p)
+    return F.regexp_replace(F.regexp_replace(p, "/+", "/"), r"\A\z", "/")
 
 
 def join_route(prefix: Column, leaf: Column) -> Column:
+    """The route of `leaf` below `prefix`; either may be empty."""
     strip = lambda c: F.regexp_replace(c, "^/+|/+$", "")
-    return F.when(prefix == "", route(leaf)).when(leaf == "", route(prefix)).otherwise(route(F.concat(F.lit("/"), strip(prefix), F.lit("/"), strip(leaf))))
+    return route(F.when(prefix == "", leaf).when(leaf == "", prefix).otherwise(F.concat(F.lit("/"), strip(prefix), F.lit("/"), strip(leaf))))
 
 
 def path_prefix(path: Column, depth: int = 3) -> Column:
@@ -70,10 +72,10 @@ def package_of(specifier: Column) -> Column:
 
 
 def normalise_path(path: Column) -> Column:
-    """a/./b/../c -> a/c."""
+    """a/./b/../c -> a/c; null for a path that leaves the tree, as a/../../b does, also if it comes back."""
 
     def step(acc: Column, x: Column) -> Column:
-        up = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+        up = F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1))  # null stays null in all that follows
         return F.when((x == ".") | (x == ""), acc).when(x == "..", up).otherwise(F.concat(acc, F.array(x)))
 
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")

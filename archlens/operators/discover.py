@@ -13,9 +13,10 @@ def place(files: DataFrame, root: str | None = None) -> DataFrame:
     """`files` with service and module: a first-level directory with a manifest or a source root in it is a service;
     its modules are the directories below its source roots (descending through at most two more), or its own.
 
-    Directories that are no services are modules without a service. Without any service and with the tree's name `root`,
-    the tree itself is the service: its modules are the directories below its source roots, or its own directories. The test of a directory is a grouped aggregate
-    over paths, joined back by directory; texts are not shuffled for it unless the tree has many directories.
+    Directories that are no services are modules without a service. Without any service and with the tree's name `root`, the tree
+    itself is the only service (see `service_kinds`): its modules are the directories below its source roots, or its own directories, and
+    no file is said to be of a service, so such a tree has no URL prefixes and no edges between services. The test of a directory is a
+    grouped aggregate over paths, joined back by directory; texts are not shuffled for it unless the tree has many directories.
     """
     roots = "|".join(dims.SOURCE_ROOTS)
     top = F.when(F.contains("path", F.lit("/")), F.substring_index("path", "/", 1))
@@ -32,21 +33,16 @@ def place(files: DataFrame, root: str | None = None) -> DataFrame:
     of_root = F.nullif(F.regexp_extract("path", rf"^((?:{roots})(?:/(?:{roots})(?=/)){{0,2}}+/[^/.][^/]*)/", 1), F.lit(""))
     seeded = not files.filter(F.col("path").rlike(f"^({roots})/")).isEmpty()
     own = of_root if seeded else F.nullif(F.regexp_extract("path", r"^([^/.][^/]*)/", 1), F.lit(""))
-    return placed.withColumns({"service": F.lit(root), "module": own})
+    return placed.withColumns({"service": F.lit(None).cast("string"), "module": own})
 
 
-def longest_prefix(df: DataFrame, column: str, known: DataFrame, name: str) -> DataFrame:
-    """`df` with the longest of `known`'s paths (column path) that is the row's path or an ancestor of it, or null."""
-    from archlens.functions.text import ancestors
+def service_kinds(files: DataFrame, root: str | None = None) -> DataFrame:
+    """service, kind and stack (sorted hints) from each service's first manifest; hints are plain substrings.
 
-    keyed = df.select(column).distinct()
-    deep = keyed.select(column, F.posexplode(ancestors(F.col(column))).alias("depth", "path")).join(known.select("path").distinct(), "path")
-    best = deep.groupBy(column).agg(F.max_by("path", "depth").alias(name))
-    return df.join(best, column, "left")
-
-
-def service_kinds(files: DataFrame) -> DataFrame:
-    """service, kind and stack (sorted hints) from each service's first manifest; hints are plain substrings."""
+    root: the name of a tree that is one service itself, as its placed files are of none.
+    """
+    if root is not None:
+        files = files.withColumn("service", F.coalesce("service", F.lit(root)))
     order = F.create_map(*[x for k, m in enumerate(dims.SERVICE_MANIFESTS) for x in (F.lit(m), F.lit(k))])
     own = files.filter("service is not null").groupBy("service").agg(
         F.min_by(F.when(~F.contains(below("service"), F.lit("/")), F.lower(F.substring("text", 1, 65536))), order[F.substring_index("path", "/", -1)]).alias("manifest"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.functions import dims as D
 
+#: Aliases that are looked for in one reading of the texts.
+BLOCK_TERMS = 50_000
 STEP = "struct<file:string,symbol:string,label:string,note:string>"
 FLOW = f"struct<name:string,kind:string,trigger:string,narration:string,terminates:string,steps:array<{STEP}>>"
 OVERVIEW = "struct<what_it_is:string,what_it_does:string,how_it_works:string,confidence:string,primary_stack:array<string>,caveats:array<string>>"
@@ -76,22 +82,96 @@ def kept_flows(documents: DataFrame, files: DataFrame, key: str = "path") -> Dat
     return kept.join(numbered.withColumnRenamed("key", "of"), (F.col("key") == F.col("of")) & F.col("kind").eqNullSafe(F.col("k"))).select("key", "flow", "name", "kind", "lane")
 
 
-def terms_found(corpus: DataFrame, terms: DataFrame) -> DataFrame:
+TOKEN = re.compile("[A-Za-z0-9]+")
+
+
+class TermMatcher:
+    """Finds which aliases a text mentions between characters other than letters and digits, in one walk over its tokens.
+
+    An alias that begins with a letter or digit begins with a whole token of the text, so a table from first tokens to aliases
+    says where to compare; other aliases are searched for as they stand. Aliases that were found once are not looked for again.
+    """
+
+    def __init__(self, aliases: Iterable[tuple[int, str, bool]]):
+        self.by_token: tuple[dict[str, dict[str, set[int]]], ...] = ({}, {})  # of texts as they are, and of lower-cased ones
+        self.symbols: tuple[dict[str, set[int]], ...] = ({}, {})
+        for term, alias, exact in aliases:
+            which, alias = (0, alias) if exact else (1, alias.lower())
+            token = TOKEN.match(alias)
+            if token:
+                self.by_token[which].setdefault(token.group(), {}).setdefault(alias, set()).add(term)
+            elif alias:
+                self.symbols[which].setdefault(alias, set()).add(term)
+
+    @staticmethod
+    def _ends(text: str, at: int) -> bool:
+        return at == len(text) or not TOKEN.match(text, at)
+
+    def found(self, text: str) -> set[int]:
+        """Terms of the aliases that are found for the first time."""
+        out: set[int] = set()
+        for which in (0, 1):
+            table, symbols = self.by_token[which], self.symbols[which]
+            if which:
+                text = text.lower()
+            for token in TOKEN.finditer(text) if table else ():
+                rest = table.get(token.group())
+                if rest:
+                    hits = [a for a in rest if text.startswith(a, token.start()) and self._ends(text, token.start() + len(a))]
+                    for alias in hits:
+                        out |= rest.pop(alias)
+                    if not rest:
+                        del table[token.group()]
+            for alias in list(symbols):
+                at = text.find(alias)
+                while at >= 0 and not (self._ends(text, at + len(alias)) and (at == 0 or not TOKEN.match(text, at - 1))):
+                    at = text.find(alias, at + 1)
+                if at >= 0:
+                    out |= symbols.pop(alias)
+        return out
+
+
+def terms_found(corpus: DataFrame, terms: DataFrame, block: int = BLOCK_TERMS) -> DataFrame:
     """name, definition of the terms that some text of `corpus` (text) mentions, between characters other than letters and digits.
 
-    terms: (name, definition, alias, case_sensitive), one row for each alias. An alias' first run of letters and digits is
-    met by an equi-join with the texts' own runs, then the whole alias is compared where it may stand.
+    terms: (name, definition, alias, case_sensitive), one row for each alias; an alias without letters or digits may be one. Each text is
+    read once for every `block` aliases, the blocks by a hash of the alias, and a task sends each term once.
     """
-    run = "[A-Za-z0-9]+"
-    keyed = terms.withColumn("key", F.lower(F.regexp_extract("alias", run, 0)))
-    words = corpus.select("text", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(run), F.lit(0)), F.lower))).alias("key"))
-    edge = lambda x: F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), x, F.lit("\\E(?![A-Za-z0-9])"))
-    here = F.when(F.col("case_sensitive"), F.expr("text rlike pattern")).otherwise(F.expr("lower(text) rlike lower_pattern"))
-    both = words.join(keyed.withColumns({"pattern": edge(F.col("alias")), "lower_pattern": edge(F.lower("alias"))}), "key")
-    return both.filter(here).select("name", "definition").distinct()
+    blocks = -(-terms.count() // block)
+    numbered = terms.select("name", "definition", "alias", "case_sensitive", F.pmod(F.xxhash64("alias"), F.lit(max(blocks, 1))).alias("block"))
+    texts = corpus.select("text").filter("text is not null")
+    found = terms.select("name", "definition").limit(0)
+    for k in range(blocks):
+        own = numbered.filter(F.col("block") == k).select("name", "definition", "alias", "case_sensitive").collect()  # about `block` rows
+        names = sorted({(r.name, r.definition) for r in own}, key=repr)
+        at = {n: i for i, n in enumerate(names)}
+        aliases = [(at[r.name, r.definition], r.alias, bool(r.case_sensitive)) for r in own if r.alias]
+
+        def run(batches: Iterator[pa.RecordBatch], aliases=aliases) -> Iterator[pa.RecordBatch]:
+            matcher = TermMatcher(aliases)
+            for batch in batches:
+                for text in batch.column("text"):
+                    if new := matcher.found(text.as_py()):
+                        yield pa.RecordBatch.from_arrays([pa.array(sorted(new), pa.int32())], ["term"])
+
+        said = corpus.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "term int, name string, definition string")
+        found = found.union(said.join(texts.mapInArrow(run, "term int").distinct(), "term").select("name", "definition"))
+    return found.distinct()
 
 
 def glossary_corpus(readme: DataFrame, packages: DataFrame, modules: DataFrame, descriptions: DataFrame) -> DataFrame:
     """text: what a report says without prose of an enrichment (README, package names, modules and their descriptions)."""
     parts = readme.select(F.explode(F.concat(F.array("first_paragraph"), "headings")).alias("text"))
     return parts.union(packages.select("name")).union(modules.select("module")).union(descriptions.select("description")).filter("text <> ''")
+
+
+def glossary(languages: DataFrame, ecosystems: DataFrame, corpus: DataFrame, terms: DataFrame) -> DataFrame:
+    """kind, name, definition of a report's glossary: languages and ecosystems that the tree has, all structural terms, and the tools,
+    libraries and services that its text mentions.
+
+    terms: (kind, name, definition, alias, case_sensitive), kind one of language, ecosystem, term, tool; languages and ecosystems: (name).
+    """
+    of = lambda kind: terms.filter(F.col("kind") == kind)
+    there = lambda kind, names: of(kind).join(names.select("name").distinct(), "name", "left_semi").select("kind", "name", "definition").distinct()
+    tools = terms_found(corpus, of("tool")).select(F.lit("tool").alias("kind"), "name", "definition")
+    return there("language", languages).union(there("ecosystem", ecosystems)).union(of("term").select("kind", "name", "definition").distinct()).union(tools)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +16,35 @@ FACTS = "array<struct<kind:string,target:string>>"
 JS, JVM = ["TypeScript", "JavaScript"], ["Java", "Kotlin"]
 
 
-def _row(framework: str, method: Column | str, path: Column) -> Column:
-    return F.struct(F.lit(framework).alias("framework"), F.upper(method if isinstance(method, Column) else F.lit(method)).alias("method"), path.alias("path"))
+ROWS = "array<struct<framework:string,method:string,prefix:string,path:string>>"
+
 
+def _row(framework: str, method: Column | str, path: Column, prefix: Column | None = None) -> Column:
+    """What a rule finds, as it stands in the text; routes are made of prefix and path later, once for each row."""
+    method = F.upper(method if isinstance(method, Column) else F.lit(method))
+    return F.struct(F.lit(framework).alias("framework"), method.alias("method"), (F.lit("") if prefix is None else prefix).alias("prefix"), path.alias("path"))
 
-def _each(framework: str, text: Column, pattern: str, make, groups: int = 2, keep=None) -> Column:
+
+def _each(framework: str, text: Column, pattern: str, make, groups: int = 2, keep=None, prefix: Column | None = None) -> Column:
     """Rows of a rule: make(match) -> (method, path) for each match that `keep` accepts."""
     matches = found(text, pattern, groups)
     if keep is not None:
         matches = F.filter(matches, keep)
-    return F.transform(matches, lambda m: _row(framework, *make(m)))
+    return F.transform(matches, lambda m: _row(framework, *make(m), prefix))
 
 
 def _any_if(method: Column, *names: str) -> Column:
     return F.when(method.isin(*names), "ANY").otherwise(method)
 
 
-def _in(languages: list[str] | str, rows: Column, also: Column | None = None) -> Column:
-    test = F.col("lang").isin(languages if isinstance(languages, list) else [languages])
-    none = F.array().cast("array<struct<framework:string,method:string,path:string>>")
-    return F.when(test if also is None else test & also, rows).otherwise(none)
+def _in(languages: list[str] | str, rows: Column, also: Column | None = None, gate: list[str] | None = None) -> Column:
+    """Rows of texts in these languages that hold one of the literals in `gate`, without which the rule can't match."""
+    tests = [F.col("lang").isin(languages if isinstance(languages, list) else [languages])]
+    if also is not None:
+        tests.append(also)
+    if gate:
+        tests.append(reduce(or_, [F.contains("text", F.lit(x)) for x in gate]))
+    return F.when(reduce(and_, tests), rows).otherwise(F.array().cast(ROWS))
 
 
 def _exploded(files: DataFrame, rules: list[Column]) -> DataFrame:
@@ -41,6 +53,13 @@ def _exploded(files: DataFrame, rules: list[Column]) -> DataFrame:
     return rows.select(*["file" if c == "path" else c for c in keep], "seq", "x.*")
 
 
+def _calls(names: list[str], before: str = "", after: str = "") -> list[str]:
+    return [f"{before}{n}{after}" for n in names]
+
+
+VERBS = ["Get", "Post", "Put", "Patch", "Delete", "Head", "Options"]
+
+
 def endpoint_rules() -> list[Column]:
     t, path = F.substring("text", 1, 512 * 1024), F.col("path")
     nest = first(t, D.NEST_CONTROLLER)
@@ -49,81 +68,95 @@ def endpoint_rules() -> list[Column]:
     prefix = F.coalesce(F.get(F.concat(F.regexp_extract_all(t, F.lit(D.FASTAPI_PREFIX), F.lit(1)), F.regexp_extract_all(t, F.lit(D.FASTAPI_INCLUDE), F.lit(1))), F.lit(0)), F.lit(""))
     spring = first(t, D.SPRING_CONTROLLER)
     is_pages = F.contains(path, F.lit("/pages/api/"))
+    api = F.lit("/api/")
 
     def flask(m: Column) -> Column:
         named = F.filter(F.transform(F.split(m["g2"], ","), lambda s: F.regexp_replace(F.trim(s), "^['\"]+|['\"]+$", "")), lambda s: s != "")
-        return F.transform(F.when(m["g2"] == "", F.array(F.lit("GET"))).otherwise(named), lambda s: _row("Flask", s, route(m["g1"])))
+        return F.transform(F.when(m["g2"] == "", F.array(F.lit("GET"))).otherwise(named), lambda s: _row("Flask", s, m["g1"]))
+
+    def rails(m: Column) -> tuple[Column, Column]:
+        several = m["g1"].isin("resource", "resources")
+        return F.when(several, "ANY").otherwise(m["g1"]), F.when(several, F.concat(F.lit("/"), F.regexp_replace(m["g2"], "^:+|:+$", ""))).otherwise(m["g2"])
 
+    plain = lambda m: (m["g1"], m["g2"])
     go_method = lambda m: F.when(F.upper(m["g1"]).isin("HANDLE", "HANDLEFUNC"), "ANY").otherwise(m["g1"])
+    go = [*_calls(VERBS, ".", "("), *_calls([v.upper() for v in VERBS], ".", "("), ".Handle(", ".HandleFunc("]
     return [
-        _in(JS, _each("NestJS", t, D.NEST_METHOD, lambda m: (m["g1"], join_route(nest, m["g2"])))),
-        _in(JS, _each("Express", t, D.JS_ROUTE, lambda m: (m["g1"], route(m["g2"])), keep=lambda m: m["g1"] != "use")),
-        _in(JS, F.array(_row("Next.js (Pages Router)", "GET", route(F.concat(F.lit("/api/"), pages)))), is_pages),
-        _in(JS, _each("Next.js (App Router)", t, D.NEXT_EXPORT, lambda m: (m["g1"], route(F.concat(F.lit("/api/"), routed))), 1), ~is_pages & path.rlike(r"/app/api/.+/route\.(t|j)sx?$")),
-        _in("Python", _each("FastAPI", t, D.FASTAPI_METHOD, lambda m: (m["g1"], join_route(prefix, m["g2"])))),
-        _in("Python", F.flatten(F.transform(found(t, D.FLASK_ROUTE, 2), flask))),
-        _in("Python", _each("Django", t, D.DJANGO_URL, lambda m: ("ANY", route(m["g1"])), 1), F.endswith(path, F.lit("urls.py"))),
-        _in("Ruby", _each("Rails", t, D.RAILS_ROUTE, lambda m: (_any_if(m["g1"], "resource", "resources"), route(F.when(m["g1"].isin("resource", "resources"), F.concat(F.lit("/"), F.regexp_replace(m["g2"], "^:+|:+$", ""))).otherwise(m["g2"]))))),
-        _in(JVM, _each("Spring Boot", t, D.SPRING_MAPPING, lambda m: (_any_if(m["g1"], "Request"), join_route(spring, m["g2"])))),
-        _in("PHP", _each("Laravel", t, D.LARAVEL_ROUTE, lambda m: (_any_if(m["g1"], "resource", "apiResource"), route(m["g2"])))),
-        _in("Go", _each("Go net/http", t, D.GO_HANDLE, lambda m: ("ANY", route(m["g1"])), 1)),
-        _in("Go", _each("Go router", t, D.GO_ROUTER, lambda m: (go_method(m), route(m["g2"])))),
+        _in(JS, _each("NestJS", t, D.NEST_METHOD, plain, prefix=nest), gate=_calls([*VERBS, "All"], "@", "(")),
+        _in(JS, _each("Express", t, D.JS_ROUTE, plain, keep=lambda m: m["g1"] != "use"), gate=_calls(["app", "router", "server", "api", "route", "fastify", "hono", "koa"], after=".")),
+        _in(JS, F.array(_row("Next.js (Pages Router)", "GET", F.concat(api, pages))), is_pages),
+        _in(JS, _each("Next.js (App Router)", t, D.NEXT_EXPORT, lambda m: (m["g1"], F.concat(api, routed)), 1), ~is_pages & path.rlike(r"/app/api/.+/route\.(t|j)sx?$"), ["function"]),
+        _in("Python", _each("FastAPI", t, D.FASTAPI_METHOD, plain, prefix=prefix), gate=["@app.", "@router.", "@api.", "_router."]),
+        _in("Python", F.flatten(F.transform(found(t, D.FLASK_ROUTE, 2), flask)), gate=[".route("]),
+        _in("Python", _each("Django", t, D.DJANGO_URL, lambda m: ("ANY", m["g1"]), 1), F.endswith(path, F.lit("urls.py"))),
+        _in("Ruby", _each("Rails", t, D.RAILS_ROUTE, rails), gate=["get", "post", "put", "patch", "delete", "match", "resource"]),
+        _in(JVM, _each("Spring Boot", t, D.SPRING_MAPPING, lambda m: (_any_if(m["g1"], "Request"), m["g2"]), prefix=spring), gate=["Mapping"]),
+        _in("PHP", _each("Laravel", t, D.LARAVEL_ROUTE, lambda m: (_any_if(m["g1"], "resource", "apiResource"), m["g2"])), gate=["Route::"]),
+        _in("Go", _each("Go net/http", t, D.GO_HANDLE, lambda m: ("ANY", m["g1"]), 1), gate=["http.HandleFunc"]),
+        _in("Go", _each("Go router", t, D.GO_ROUTER, lambda m: (go_method(m), m["g2"])), gate=go),
     ]
 
 
 def endpoints(files: DataFrame) -> DataFrame:
     """(service, module,) file, seq, framework, method, path of every HTTP endpoint declared."""
-    return _exploded(files, endpoint_rules())
+    return _exploded(files, endpoint_rules()).withColumn("path", join_route(F.col("prefix"), F.col("path"))).drop("prefix")
 
 
 def client_rules() -> list[Column]:
     t = F.substring("text", 1, 512 * 1024)
-    url = lambda u: F.when(F.startswith(u, F.lit("/")), route(u)).otherwise(u)
-    named = lambda *anys: lambda m: (_any_if(m["g1"], *anys), url(m["g2"]))
+    named = lambda *anys: lambda m: (_any_if(m["g1"], *anys), m["g2"])
+    fetch = lambda m: (F.when(m["g2"] == "", "GET").otherwise(m["g2"]), m["g1"])
+    objects = ["this.", "Client.", "Service.", "Api.", "Http.", "Caller.", "api.", "client.", "http."]
     return [
-        _in(JS, _each("axios", t, D.AXIOS, named("request"))),
-        _in(JS, _each("axios", t, D.AXIOS_OBJECT, lambda m: ("ANY", url(m["g1"])), 1)),
-        _in(JS, _each("fetch", t, D.FETCH, lambda m: (F.when(m["g2"] == "", "GET").otherwise(m["g2"]), url(m["g1"])))),
-        _in(JS, _each("ky/got", t, D.KY_GOT, named("-"))),
-        _in(JS, _each("jQuery", t, D.JQUERY, named("ajax"))),
-        _in(JS, _each("httpClient (custom)", t, D.CLIENT_OBJECT, named("request", "send"))),
-        _in(JS, _each("local API wrapper", t, D.BARE_VERB, lambda m: (F.when(m["g1"] == "del", "DELETE").otherwise(m["g1"]), url(m["g2"]))), t.rlike("(?mdU)" + D.BARE_IMPORT)),
-        _in("Python", _each("requests/httpx", t, D.PY_REQUESTS, named("request"))),
-        _in("Python", _each("urllib", t, D.PY_URLOPEN, lambda m: ("GET", url(m["g1"])), 1)),
-        _in("Python", _each("aiohttp", t, D.PY_AIOHTTP, named("-"))),
-        _in("Go", _each("net/http", t, D.GO_CLIENT, named("-"))),
-        _in("Ruby", _each("Net::HTTP/HTTParty/Faraday", t, D.RUBY_CLIENT, named("-"))),
+        _in(JS, _each("axios", t, D.AXIOS, named("request")), gate=["axios."]),
+        _in(JS, _each("axios", t, D.AXIOS_OBJECT, lambda m: ("ANY", m["g1"]), 1), gate=["axios"]),
+        _in(JS, _each("fetch", t, D.FETCH, fetch), gate=["fetch"]),
+        _in(JS, _each("ky/got", t, D.KY_GOT, named("-")), gate=["ky.", "got."]),
+        _in(JS, _each("jQuery", t, D.JQUERY, named("ajax")), gate=["$."]),
+        _in(JS, _each("httpClient (custom)", t, D.CLIENT_OBJECT, named("request", "send")), gate=objects),
+        _in(JS, _each("local API wrapper", t, D.BARE_VERB, lambda m: (F.when(m["g1"] == "del", "DELETE").otherwise(m["g1"]), m["g2"])), t.rlike("(?mdU)" + D.BARE_IMPORT), ["import"]),
+        _in("Python", _each("requests/httpx", t, D.PY_REQUESTS, named("request")), gate=["requests.", "httpx.", "client."]),
+        _in("Python", _each("urllib", t, D.PY_URLOPEN, lambda m: ("GET", m["g1"]), 1), gate=["urlopen"]),
+        _in("Python", _each("aiohttp", t, D.PY_AIOHTTP, named("-")), gate=["session.", "client."]),
+        _in("Go", _each("net/http", t, D.GO_CLIENT, named("-")), gate=["http.", "client."]),
+        _in("Ruby", _each("Net::HTTP/HTTParty/Faraday", t, D.RUBY_CLIENT, named("-")), gate=["Net::HTTP.", "HTTParty.", "Faraday."]),
         _in(JVM, _each("RestTemplate/WebClient", t, D.JAVA_CLIENT, named("-"))),
     ]
 
 
 def _as_clients(rows: DataFrame) -> DataFrame:
-    return rows.withColumnsRenamed({"framework": "client", "path": "url"}).withColumn("is_relative", F.startswith("url", F.lit("/")))
+    """Calls with their url: a path in its canonical form, any other address as it stands."""
+    relative = F.startswith("path", F.lit("/"))
+    url = F.when(relative, route(F.col("path"))).otherwise(F.col("path"))
+    return rows.withColumns({"is_relative": relative, "path": url}).withColumnsRenamed({"framework": "client", "path": "url"})
 
 
 def clients(files: DataFrame) -> DataFrame:
     """(service, module,) file, seq, client, method, url, is_relative of every HTTP call."""
-    return _as_clients(_exploded(files, client_rules()))
+    rows = _as_clients(_exploded(files, client_rules()).drop("prefix"))
+    return rows.select(*[c for c in rows.columns if c != "is_relative"], "is_relative")
 
 
 def http_facts(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Endpoints, client calls and global URL prefixes (service, framework, prefix) of placed files; texts are scanned once.
 
-    Endpoints have the prefix of their service and framework in front.
+    Endpoints have the prefix of their service and framework in front. What texts state is stored as it stands; routes are made
+    of it afterwards, so the scan's code holds the rules alone.
     """
 
     def tagged(role: str, rows: Column) -> Column:
-        return F.transform(rows, lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("seq"), x["framework"].alias("framework"), x["method"].alias("method"), x["path"].alias("path")))
+        return F.transform(rows, lambda x, i: F.struct(F.lit(role).alias("role"), i.alias("seq"), *[x[c].alias(c) for c in ("framework", "method", "prefix", "path")]))
 
     every = F.concat(tagged("endpoint", F.concat(*endpoint_rules())), tagged("client", F.concat(*client_rules())), tagged("prefix", prefix_rows()))
     # The place of a prefix is its bootstrap file's in the order of such files.
     found = stored(files.select("service", "module", F.col("path").alias("file"), bootstrap_place().alias("place"), F.explode(every).alias("x")).select("service", "module", "file", "place", "x.*"))
-    prefixes = found.filter("role = 'prefix' and place is not null").groupBy("service", "framework").agg(F.min_by(route(F.col("path")), "place").alias("prefix"))
-    of = prefixes.withColumnsRenamed({"service": "s", "framework": "f"})
-    served = found.filter("role = 'endpoint'").join(of, (F.col("service") == F.col("s")) & (F.col("framework") == F.col("f")), "left")
-    path = F.when(F.col("prefix").isNull(), F.col("path")).otherwise(join_route(F.col("prefix"), F.col("path")))
+    prefixes = found.filter("role = 'prefix' and place is not null").groupBy("service", "framework").agg(F.min_by("path", "place").alias("prefix")).withColumn("prefix", route(F.col("prefix")))
+    of = prefixes.withColumnsRenamed({"service": "s", "framework": "f", "prefix": "global"})
+    served = found.filter("role = 'endpoint'").withColumn("path", join_route(F.col("prefix"), F.col("path")))
+    served = served.join(of, (F.col("service") == F.col("s")) & (F.col("framework") == F.col("f")), "left")
     own = ["service", "module", "file", "seq", "framework", "method"]
-    return served.select(*own, path.alias("path")), _as_clients(found.filter("role = 'client'").select(*own, "path")), prefixes
+    served = served.select(*own, F.when(F.col("global").isNull(), F.col("path")).otherwise(join_route(F.col("global"), F.col("path"))).alias("path"))
+    return served, _as_clients(found.filter("role = 'client'").select(*own, "path")), prefixes
 
 
 def below(folder: str) -> Column:
@@ -144,8 +177,7 @@ def prefix_rows() -> Column:
     text = F.substring("text", 1, 64 * 1024)
     rules = [("NestJS", D.NEST_PREFIX), ("FastAPI", D.APP_PREFIX), ("Express", D.EXPRESS_PREFIX)]
     hits = F.array(*[_row(f, "", first(text, p)) for f, p in rules])
-    none = F.array().cast("array<struct<framework:string,method:string,path:string>>")
-    return F.when(bootstrap_place().isNotNull(), F.filter(hits, lambda x: x["path"] != "")).otherwise(none)
+    return F.when(bootstrap_place().isNotNull(), F.filter(hits, lambda x: x["path"] != "")).otherwise(F.array().cast(ROWS))
 
 
 def models(files: DataFrame) -> DataFrame:
@@ -158,7 +190,7 @@ def models(files: DataFrame) -> DataFrame:
         _in("Python", one("SQLAlchemy", D.SQLALCHEMY_CLASS)), _in("Python", one("SQLAlchemy", D.SQLALCHEMY_QUERY)),
         _in("Python", one("Django ORM", D.DJANGO_MODEL)), _in("Python", one("Django ORM", D.DJANGO_QUERY)),
         _in("Ruby", one("ActiveRecord", D.ACTIVERECORD)), _in(JVM, one("Spring Data JPA", D.JPA_ENTITY)),
-        F.when(F.col("path").rlike(r"(^|/)schema\.prisma$"), one("Prisma", D.PRISMA_SCHEMA)).otherwise(F.array().cast("array<struct<framework:string,method:string,path:string>>")),
+        F.when(F.col("path").rlike(r"(^|/)schema\.prisma$"), one("Prisma", D.PRISMA_SCHEMA)).otherwise(F.array().cast(ROWS)),
     ])
     own = ["service"] if "service" in files.columns else []
     return rows.select(*own, "framework", F.col("path").alias("model")).distinct().withColumn("store", lookup(D.ORM_STORE, F.col("framework")))
@@ -174,7 +206,8 @@ def _import_rows() -> Column:
     def js(m: Column) -> Column:
         spec = F.concat(m["g1"], m["g2"], m["g3"], m["g4"])
         relative = spec.rlike("^[./]")
-        target = F.when(relative, normalise_path(F.concat(here, F.lit("/"), spec))).otherwise(package_of(spec))
+        inside = F.when(~F.startswith(spec, F.lit("/")), normalise_path(F.concat(here, F.lit("/"), spec)))  # an absolute path is none of the tree
+        target = F.when(relative, inside).otherwise(package_of(spec))
         return F.struct(F.when(relative, "path").otherwise("package").alias("kind"), target.alias("target"))
 
     blocks = F.flatten(F.transform(F.regexp_extract_all(t, F.lit("(?mdU)" + D.GO_IMPORT_BLOCK), F.lit(1)), lambda b: F.regexp_extract_all(b, F.lit("(?U)" + D.GO_IMPORT_LINE), F.lit(1))))

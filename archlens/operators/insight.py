@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,9 +34,10 @@ def critical_paths(served: DataFrame, calls: DataFrame, edges: DataFrame, lineag
 
 
 def matrix_order(modules: DataFrame, cap: int = 55) -> DataFrame:
-    """idx, module, service, block of the matrix's rows: by service, domain, size and name; blocks are runs of a service.
+    """idx, module, service, block, divider of the matrix's rows: by service, domain, size and name; blocks are runs of a service.
 
-    The cap is the matrix's size. What is numbered is the capped list alone.
+    divider: whether the row begins another domain inside its block; a block of one domain has none. The cap is the matrix's size.
+    What is numbered is the capped list alone.
     """
     inside = F.when(F.col("service").isNotNull() & F.startswith("module", F.concat("service", F.lit("/"))), F.expr("substring(module, length(service) + 2)")).otherwise(F.col("module"))
     keyed = modules.withColumn("domain", F.regexp_extract(inside, r"^(.*)/[^/]*$", 1))
@@ -44,7 +45,10 @@ def matrix_order(modules: DataFrame, cap: int = 55) -> DataFrame:
     top = keyed.orderBy(*keys).limit(cap)
     line = W.orderBy(*keys)
     changed = ~F.col("service").eqNullSafe(F.lag("service").over(line)) | (F.col("idx") == 0)
-    return top.withColumn("idx", F.row_number().over(line) - 1).withColumn("new", changed.cast("int")).select("idx", "module", "service", (F.sum("new").over(line) - 1).alias("block"))
+    blocks = top.withColumn("idx", F.row_number().over(line) - 1).withColumn("new", changed.cast("int")).withColumn("block", F.sum("new").over(line) - 1)
+    within = W.partitionBy("block").orderBy("idx")
+    before = F.lag("domain").over(within)
+    return blocks.select("idx", "module", "service", "block", (before.isNotNull() & (before != F.col("domain"))).alias("divider"))
 
 
 def graph_observations(edges: DataFrame, modules: DataFrame) -> DataFrame:
@@ -132,23 +136,57 @@ def valid_flows(steps: DataFrame, files: DataFrame) -> DataFrame:
     return steps.select("flow").distinct().join(unresolved_citations(steps, files).select("flow").distinct(), "flow", "left_anti")
 
 
-def parsed_imports(hits: DataFrame, go_prefix: str | None = None) -> DataFrame:
+MATCH = "struct<file:string,ruleId:string,text:string,metaVariables:struct<single:struct<SRC:struct<text:string>,MOD:struct<text:string>>>>"
+#: What the rules of a parser's configuration find, by the rule's id.
+RULE_KINDS = {"py-import": "python", "py-from-import": "python", "go-import": "go", "elixir-ref": "elixir", "elixir-defmodule": "definition"} | {
+    f"{dialect}-{form}": "script" for dialect in ("typescript", "tsx", "javascript") for form in ("import", "export-from", "require", "dynamic-import")
+}
+
+
+def rule_table(spark: SparkSession) -> DataFrame:
+    """rule and kind of each rule that a parser is asked to apply."""
+    rows = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(kind).alias("kind")) for rule, kind in RULE_KINDS.items()])
+    return spark.range(1).select(F.inline(rows))
+
+
+def hits_of(outputs: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """file, rule, captured of a parser's outputs (text), each a JSON array of matches, by the rules that are known.
+
+    What a match captured is its source, else its module, else its whole text. An output that is no JSON array gives no hits, so its
+    files are read by patterns (`prefer_parsed`); matches without rule or file are passed over.
+    """
+    valid = F.col("text").rlike(r"^\s*\[") & F.try_parse_json("text").isNotNull()
+    each = outputs.filter(valid).select(F.explode(F.from_json("text", f"array<{MATCH}>")).alias("m")).select("m.*")
+    caught = F.coalesce(F.nullif("metaVariables.single.SRC.text", F.lit("")), F.nullif("metaVariables.single.MOD.text", F.lit("")), "text", F.lit(""))
+    rows = each.select(F.regexp_replace("file", r"^(\./)+", "").alias("file"), F.col("ruleId").alias("rule"), caught.alias("captured")).filter("file <> '' and rule <> ''")
+    rules = rule_table(outputs.sparkSession) if rules is None else rules
+    return rows.join(rules.select("rule").distinct(), "rule", "left_semi").select("file", "rule", "captured")
+
+
+def read_hits(spark: SparkSession, path: str) -> DataFrame:
+    """Hits in the output files of a parser below `path`."""
+    return hits_of(spark.read.text(path, wholetext=True).select(F.col("value").alias("text")))
+
+
+def parsed_imports(hits: DataFrame, go_prefix: str | None = None, rules: DataFrame | None = None) -> DataFrame:
     """file, kind and target of a parser's hits (file, rule, captured), as `imports` has them.
 
-    Rules end in what they find: py-import, py-from-import, go-import, elixir-ref, elixir-defmodule; all others are of
-    JavaScript and TypeScript. Of an Elixir alias of several modules the parent is no target.
+    rules: (rule, kind), what each rule finds, `rule_table` if not given; unknown rules are of JavaScript and TypeScript. Of an
+    Elixir alias of several modules the parent is no target.
     """
-    cap, rule = F.regexp_replace("captured", r"^\s+|\s+$", ""), F.col("rule")
+    rules = rule_table(hits.sparkSession) if rules is None else rules
+    hits = hits.join(rules.select("rule", F.col("kind").alias("finds")), "rule", "left")
+    cap, finds = F.regexp_replace("captured", r"^\s+|\s+$", ""), F.col("finds")
     none = F.array().cast("array<struct<kind:string,target:string>>")
     row = lambda kind, target: F.struct(F.lit(kind).alias("kind"), target.alias("target"))
     python = F.when((cap != "") & ~F.startswith(cap, F.lit(".")), F.array(row("name", F.regexp_extract(cap, r"^([^\s.]+)", 1)))).otherwise(none)
     spec = unquoted(cap)
-    path = normalise_path(F.concat(F.regexp_extract("file", "^(.*)/[^/]*$", 1), F.lit("/"), spec))
+    path = F.when(~F.startswith(spec, F.lit("/")), normalise_path(F.concat(F.regexp_extract("file", "^(.*)/[^/]*$", 1), F.lit("/"), spec)))
     script = F.when(spec == "", none).when(spec.rlike("^[./]"), F.array(row("path", path))).otherwise(F.array(row("package", package_of(spec))))
     go = F.array(row("inner", inner_path(F.coalesce(F.nullif(F.regexp_extract(cap, '"([^"]*)"?', 1), F.lit("")), cap), F.lit(go_prefix or "\0"))))
     parts = F.filter(F.transform(F.split(F.regexp_extract(cap, r"(?s)\{(.*)\}$", 1), ","), lambda x: F.trim(x)), lambda x: x != "")
     elixir = F.when(cap.rlike(r"(?s)\{.*\}$"), F.transform(parts, lambda x: row("ref", F.concat(F.regexp_extract(cap, r"(?s)^(.*?)\.\{", 1), F.lit("."), x)))).when(cap != "", F.array(row("ref", F.regexp_replace(cap, r"\.+$", "")))).otherwise(none)
-    rows = F.when(rule.isin("py-import", "py-from-import"), python).when(rule == "go-import", go).when(rule == "elixir-ref", elixir).when(rule == "elixir-defmodule", F.array(row("def", cap))).otherwise(script)
+    rows = F.when(finds == "python", python).when(finds == "go", go).when(finds == "elixir", elixir).when(finds == "definition", F.array(row("def", cap))).otherwise(script)
     return hits.select("file", F.explode(rows).alias("x")).select("file", "x.*").filter("target is not null and (target <> '' or kind = 'inner')")
 
 

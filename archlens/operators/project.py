@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archlens.functions import dims as D
 from archlens.functions.text import ancestors, first, found, lookup, route
 from archlens.operators.extract import bootstrap_place, prefix_rows
+from archlens.operators.rank import ranked
 
 FOLDER = r"^(.*)/[^/]*$"
 
@@ -93,30 +93,29 @@ def descriptions(files: DataFrame) -> DataFrame:
 def evidence_candidates(files: DataFrame, modules: DataFrame, cap: int = 400) -> DataFrame:
     """ord, path, text of the files that tell most about a tree, most valuable first, each once.
 
-    First the root's READMEs, manifests and architecture documents; then entry points; then READMEs and manifests of modules
-    (column module, in the order of their `loc`), those directly in a module before those below; then main files; then route and
-    schema files. The last three sources end when there are more than `cap` candidates.
+    First the root's READMEs, manifests and architecture documents; then READMEs and manifests of modules (column module, in the order of
+    their `loc`), those directly in a module before those below; then main files; then route and schema files. The last three
+    sources end when there are more than `cap` candidates. Which files are candidates is decided on paths; only those that are get their texts.
     """
     known = D.EVIDENCE_READMES + D.EVIDENCE_MANIFESTS
     name, path = F.substring_index("path", "/", -1), F.col("path")
+    folder = F.regexp_extract("path", FOLDER, 1)
     at_root = ~F.contains(path, F.lit("/"))
     doc = path.rlike("^docs/[^/]+$") & name.rlike(D.ARCHITECTURE_DOCS)
     named = _order(known, name)
-    ranked = modules.select("module", F.row_number().over(W.orderBy(F.desc("loc"), "module")).alias("rank"))
-    dirs = files.filter(name.isin(known)).select("path", F.explode(ancestors(F.regexp_extract("path", FOLDER, 1))).alias("module"))
-    of = dirs.join(ranked, "module").select("path", "rank", (F.regexp_extract("path", FOLDER, 1) != F.col("module")).alias("below"))
-    best = of.groupBy("path").agg(F.min(F.struct("rank", "below")).alias("m"))
-    entry = entry_points(files).select("path", F.lit(True).alias("entry"))
-    joined = files.join(best, "path", "left").join(entry, "path", "left")
-    key = lambda source, *rest: F.struct(F.lit(source).alias("source"), *[(rest[k] if k < len(rest) else F.lit(0)).cast("int").alias(f"k{k}") for k in range(3)], path.alias("p"))
-    place = (
-        F.when(at_root & name.isin(known), key(1, named)).when(doc, key(1, F.lit(100))).when(F.col("entry"), key(2))
-        .when(F.col("m").isNotNull() & ~F.col("m.below"), key(3, F.col("m.rank"), F.lit(0), named)).when(F.col("m").isNotNull(), key(3, F.col("m.rank"), F.lit(1)))
-        .when(name.rlike(D.MAIN_FILES), key(4)).when(name.rlike(D.ROUTE_FILES), key(5)))
-    rows = joined.select("path", "text", place.alias("place")).filter("place is not null")
-    # What has to be in the list whatever its length is sources 1 and 2 and modules' own files; the rest fills it up.
-    always = (F.col("place.source") <= 2) | ((F.col("place.source") == 3) & (F.col("place.k1") == 0))
-    least = rows.filter(always).unionByName(rows.filter(~always).orderBy("place").limit(cap + 1))
-    line = W.orderBy("place")
-    numbered = least.withColumns({"ord": F.row_number().over(line) - 1, "keep": always})
-    return numbered.filter((F.col("ord") <= cap) | F.col("keep")).select("ord", "path", "text")
+    own = F.when(at_root & name.isin(known), 1).when(doc, 1).when(name.isin(known), 3).when(name.rlike(D.MAIN_FILES), 4).when(name.rlike(D.ROUTE_FILES), 5)
+    paths = files.select("path", own.alias("own"), F.when(doc, 100).otherwise(named).alias("named")).filter("own is not null")
+    order = ranked(modules.select("module", "loc"), F.desc("loc"), F.asc("module")).select("module", F.col("rank").alias("place"))
+    dirs = paths.filter("own = 3").select("path", folder.alias("folder"), F.explode(ancestors(folder)).alias("module"))
+    of = dirs.join(order, "module").select("path", "place", (F.col("folder") != F.col("module")).alias("below"))
+    best = of.groupBy("path").agg(F.min(F.struct("place", "below")).alias("m"))
+    joined = paths.join(best, "path", "left").filter("own <> 3 or m is not null")
+    below = F.coalesce("m.below", F.lit(False))
+    keyed = joined.select("path", F.col("own").alias("source"), F.coalesce("m.place", F.lit(0)).alias("k0"), below.cast("int").alias("k1"), F.when(below | (F.col("own") > 3), 0).otherwise(F.col("named")).alias("k2"))
+    keys = ["source", "k0", "k1", "k2", "path"]
+    # What has to be in the list whatever its length is source 1 and modules' own files; the rest fills it up.
+    always = (F.col("source") == 1) | ((F.col("source") == 3) & (F.col("k1") == 0))
+    least = keyed.filter(always).union(keyed.filter(~always).orderBy(*keys).limit(cap + 1))
+    numbered = ranked(least.withColumn("keep", always), *keys, name="ord", start=0)
+    kept = numbered.filter((F.col("ord") <= cap) | F.col("keep")).select("ord", F.col("path").alias("of"))
+    return kept.join(files.select("path", "text"), F.col("of") == F.col("path")).select("ord", "path", "text")

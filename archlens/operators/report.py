@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archlens.functions import dims as D
+from archlens.operators.rank import ranked
 from archlens.operators.rollup import primary_language
 
 
@@ -22,11 +23,11 @@ def totals(files: DataFrame) -> DataFrame:
 
 
 def services(files: DataFrame) -> DataFrame:
-    """service, files, loc, primary_language, share: of the lines of all services that have any."""
+    """service, files, loc, primary_language, share: of the lines of all services; 0 if they have none."""
     own = files.filter("service is not null")
     sums = own.groupBy("service").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
     main = primary_language(own, "service").select("service", "primary_language")
-    return sums.join(main, "service", "left").withColumn("share", F.when(F.col("loc") > 0, F.col("loc") / sums.agg(F.sum("loc")).scalar()))
+    return sums.join(main, "service", "left").withColumn("share", F.when(F.col("loc") > 0, F.col("loc") / sums.agg(F.sum("loc")).scalar()).otherwise(0.0))
 
 
 def modules_at(modules: DataFrame, depth: str, use: str = "cards") -> DataFrame:
@@ -42,20 +43,32 @@ def cards(modules: DataFrame, vendored: DataFrame, described: DataFrame) -> Data
     """
     joined = modules.join(vendored.select("module", F.col("kind").alias("vendored")), "module", "left").join(described.select("module", F.col("description").alias("told")), "module", "left")
     text = F.coalesce(F.nullif("told", F.lit("")), F.when(F.col("vendored").isNull(), F.col("description")))
-    line = W.orderBy(F.col("vendored").isNotNull(), F.desc("loc"), "module")
-    return joined.select("module", "loc", "vendored", text.alias("description"), (F.row_number().over(line) - 1).alias("idx"))
+    shown = joined.select("module", "loc", "vendored", text.alias("description"))
+    return ranked(shown, F.col("vendored").isNotNull(), F.desc("loc"), F.asc("module"), name="idx", start=0)
 
 
 def tree(directories: DataFrame, depth: str) -> DataFrame:
     """dir, files, loc, level of the directories that a depth shows, with the totals of all below them; and their place
     among the directory's children, by lower-cased name."""
     levels = D.DEPTH_TIERS.get(depth, D.DEPTH_TIERS["medium"])["tree"]
-    shown = directories.withColumn("level", F.size(F.split("dir", "/")))
+    shown = directories.filter("dir <> ''").select("dir", "files", "loc", F.size(F.split("dir", "/")).alias("level"))
     shown = shown if levels is None else shown.filter(F.col("level") <= levels)
     place = W.partitionBy(F.regexp_extract("dir", "^(.*)/[^/]*$", 1)).orderBy(F.lower(F.substring_index("dir", "/", -1)), "dir")
     return shown.withColumn("place", F.row_number().over(place))
 
 
+def tree_children(files: DataFrame, directories: DataFrame, depth: str) -> DataFrame:
+    """parent ("" for the root), path, type (dir, file), language, loc, place of what a depth shows behind each directory: directories
+    before files, each by lower-cased name. A directory at the last level has its totals and nothing behind it."""
+    dirs = directories.filter("dir <> ''").select(F.col("dir").alias("path"), F.lit("dir").alias("type"), F.lit(None).cast("string").alias("language"), "loc")
+    every = dirs.union(files.select("path", F.lit("file"), "lang", F.coalesce("loc", F.lit(0))))
+    levels = D.DEPTH_TIERS.get(depth, D.DEPTH_TIERS["medium"])["tree"]
+    shown = every if levels is None else every.filter(F.size(F.split("path", "/")) <= levels)
+    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    place = W.partitionBy("parent").orderBy("type", F.lower(F.substring_index("path", "/", -1)), "path")
+    return shown.withColumn("parent", parent).select("parent", "path", "type", "language", "loc", F.row_number().over(place).alias("place"))
+
+
 def graph_within(edges: DataFrame, modules: DataFrame) -> DataFrame:
     """Edges both of whose ends are among the modules."""
     known = modules.select("module")
@@ -103,7 +116,7 @@ def methods(served: DataFrame) -> DataFrame:
     """method, n, place: how often each method is served; known methods in their usual order, others behind by name."""
     counted = served.groupBy(F.upper(F.coalesce(F.nullif("method", F.lit("")), F.lit("ANY"))).alias("method")).agg(F.count("*").alias("n"))
     usual = F.array_position(F.array(*map(F.lit, D.METHOD_ORDER)), F.col("method"))
-    return counted.withColumn("place", F.row_number().over(W.orderBy(usual == 0, usual, "method")))
+    return ranked(counted, usual == 0, usual, F.asc("method"), name="place")
 
 
 def endpoints_by_service(served: DataFrame, cap: int = 8) -> DataFrame:
@@ -125,13 +138,14 @@ def coverage(calls: DataFrame, served: DataFrame) -> DataFrame:
 def lineage_by_service(lineage: DataFrame) -> DataFrame:
     """service, models (their number) and sorted frameworks of services that write stores, with their rank by models."""
     sums = lineage.groupBy(F.col("source_service").alias("service")).agg(F.sum("weight").alias("models"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("frameworks")))).alias("frameworks"))
-    return sums.withColumn("rank", F.row_number().over(W.orderBy(F.desc("models"), "service")))
+    return ranked(sums, F.desc("models"), F.asc("service"))
 
 
 def store_order(stores: DataFrame, lineage: DataFrame) -> DataFrame:
     """id, models, rank of stores: those with models first, most models first; then the others by id."""
     sums = lineage.groupBy(F.col("target_store").alias("id")).agg(F.sum("weight").alias("models"))
-    return stores.select("id").distinct().join(sums, "id", "left").select("id", F.coalesce("models", F.lit(0)).alias("models")).withColumn("rank", F.row_number().over(W.orderBy(F.desc("models"), "id")))
+    every = stores.select("id").distinct().join(sums, "id", "left").select("id", F.coalesce("models", F.lit(0)).alias("models"))
+    return ranked(every, F.desc("models"), F.asc("id"))
 
 
 def store_writers(lineage: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from archlens.functions.text import ancestors
@@ -63,23 +64,54 @@ def _segment_prefixes(url: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
 
 
-def resolve_clients(calls: DataFrame, served: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
+def _under(url: Column, prefix: Column) -> Column:
+    return (url == prefix) | F.startswith(url, F.concat(prefix, F.lit("/")))
+
+
+def stated_prefixes(prefixes: list[str] | DataFrame, spark: SparkSession) -> DataFrame:
+    """Distinct prefixes with one leading slash and none at the end, of a list or a table (prefix); none for the bare root."""
+    if isinstance(prefixes, list):
+        prefixes = spark.range(1).select(F.explode(F.array(*map(F.lit, prefixes)).cast("array<string>")).alias("prefix"))
+    cleaned = F.concat(F.lit("/"), F.regexp_replace("prefix", "^/+|/+$", ""))
+    return prefixes.select(cleaned.alias("prefix")).filter("prefix <> '/'").distinct()
+
+
+def resolve_clients(calls: DataFrame, served: DataFrame, prefixes: list[str] | DataFrame | None = None) -> DataFrame:
     """Relative calls with the endpoint whose path equals the url or is its longest prefix by segments; null if none.
 
-    An equal path scores its length and 100 more. Prefixes (of a base URL that the client leaves out) are tried in
-    front of the url too. The call's method doesn't matter. An equi-join of the distinct urls on exploded prefixes, not a
-    comparison of all pairs.
+    An equal path scores its length and 100 more. Prefixes (of a base URL that the client leaves out; a list or a table with column
+    prefix) are tried in front of the urls that aren't below them; ties go to the url itself, then to the smaller prefix. The call's method doesn't matter.
+
+    Urls are never put together with prefixes. Endpoints are indexed by what is left of their paths behind each stated prefix
+    they begin with, and the distinct urls meet that index on their own segments. A url may lie below no more prefixes than
+    it has segments, so of the endpoints with one rest the best few (one more than that) hold the answer: an index entry never grows
+    with the number of prefixes.
     """
+    relative = calls.filter("is_relative")
     first = served.groupBy("path").agg(F.min_by(F.struct("service", "module", "method"), F.struct("file", "seq")).alias("e"))
-    cleaned = F.array(*[F.lit("/" + p.strip("/")) for p in prefixes or []]).cast("array<string>")
-    more = F.transform(F.filter(cleaned, lambda p: (F.col("url") != p) & ~F.startswith("url", F.concat(p, F.lit("/")))), lambda p: F.concat(p, "url"))
-    keyed = calls.filter("is_relative").select("url").distinct()
-    tried = keyed.select("url", F.posexplode(F.concat(F.array("url"), more)).alias("ord", "candidate"))
-    pieces = tried.select("url", "ord", "candidate", F.explode(_segment_prefixes(F.col("candidate"))).alias("path"))
-    score = F.length("path") + F.when(F.col("path") == F.col("candidate"), 100).otherwise(0)
-    best = pieces.join(first, "path").groupBy("url").agg(F.max_by(F.struct("path", "e"), F.struct(score, -F.col("ord"))).alias("best"))
-    joined = calls.filter("is_relative").join(best, "url", "left")
-    return joined.select(*calls.columns, F.col("best.path").alias("endpoint_path"), F.col("best.e.service").alias("endpoint_service"), F.col("best.e.method").alias("endpoint_method"))
+    urls = relative.select("url").distinct()
+    few = 1 + (urls.agg(F.max(F.size(F.split("url", "/")))).first()[0] or 0)
+    pieces = urls.select("url", F.explode(_segment_prefixes(F.col("url"))).alias("rest"))
+    known = stated_prefixes(prefixes or [], calls.sparkSession)
+    size = F.length("path").alias("size")
+    own = first.select(F.col("path").alias("rest"), F.lit("").alias("prefix"), "path", size)
+    deeper = first.select("path", F.explode(_segment_prefixes(F.col("path"))).alias("prefix")).join(known, "prefix").filter("path <> prefix")
+    rests = deeper.select(F.expr("substring(path, length(prefix) + 1)").alias("rest"), "prefix", "path", size)
+    place = F.row_number().over(W.partitionBy("rest").orderBy(F.desc("size"), "prefix"))
+    index = own.union(rests.withColumn("place", place).filter(F.col("place") <= few).drop("place"))
+    met = pieces.join(index, "rest").filter((F.col("prefix") == "") | ~_under(F.col("url"), F.col("prefix")))
+    met = met.filter((F.col("path") != "/") | (F.col("url") == "/"))
+    found = met.select("url", "prefix", "path", (F.col("size") + F.when(F.col("rest") == F.col("url"), 100).otherwise(0)).alias("score"))
+    # An endpoint that is a prefix, or lies above one, begins every url with that prefix in front.
+    above = known.select("prefix", F.explode(_segment_prefixes(F.col("prefix"))).alias("path")).join(first.select("path"), "path")
+    above = above.groupBy("prefix").agg(F.max_by("path", F.length("path")).alias("path")).orderBy(F.desc(F.length("path")), "prefix").limit(few)
+    listed = above.agg(F.array_sort(F.collect_list(F.struct((-F.length("path")).alias("off"), "prefix", "path"))).alias("all")).scalar()
+    open_ = F.filter("all", lambda x: ~_under(F.col("url"), x["prefix"]))
+    general = urls.withColumn("all", listed).select("url", F.get(open_, F.lit(0)).alias("x")).filter("x is not null")
+    found = found.union(general.select("url", "x.prefix", "x.path", -F.col("x.off")))
+    best = found.groupBy("url").agg(F.min_by("path", F.struct(-F.col("score"), "prefix")).alias("path")).join(first, "path")
+    joined = relative.join(best.select("url", "path", "e"), "url", "left")
+    return joined.select(*calls.columns, F.col("path").alias("endpoint_path"), F.col("e.service").alias("endpoint_service"), F.col("e.method").alias("endpoint_method"))
 
 
 @dataclass
@@ -96,22 +128,23 @@ class Http:
         return between.groupBy(F.col("service").alias("source_service"), F.col("endpoint_service").alias("target_service"), F.col("endpoint_method").alias("method"), F.col("endpoint_path").alias("path")).agg(F.count("*").alias("weight"))
 
 
-def http(files: DataFrame, prefixes: list[str] | None = None) -> Http:
+def http(files: DataFrame, prefixes: list[str] | DataFrame | None = None) -> Http:
     """HTTP facts of placed files, from one scan of their texts.
 
     Calls are tried with each prefix that some service states (or with `prefixes`); a call that only reaches such a bare
     prefix, /api or /api/v1 counts as unresolved.
     """
     served, calls, stated = http_facts(files)
-    if prefixes is None:  # base URLs that services state: few, whatever the tree's size
-        prefixes = [r.prefix for r in stated.filter("prefix <> '/'").select("prefix").distinct().orderBy("prefix").collect()]
-    got = resolve_clients(calls, served, prefixes)
-    bare = F.col("endpoint_path").isin(*prefixes, "/api", "/api/v1")
-    ends = ["endpoint_path", "endpoint_service", "endpoint_method"]
-    return Http(served, calls, got.withColumns({c: F.when(~bare, F.col(c)) for c in ends}))
+    known = stated if prefixes is None else stated_prefixes(prefixes, files.sparkSession)
+    known = stored(stated_prefixes(known, files.sparkSession))
+    got = resolve_clients(calls, served, known)
+    bare = known.select(F.col("prefix").alias("endpoint_path")).union(files.sparkSession.range(1).select(F.explode(F.array(F.lit("/api"), F.lit("/api/v1"))))).distinct().withColumn("bare", F.lit(True))
+    marked = got.join(bare, "endpoint_path", "left")
+    ends = {c: F.when(F.col("bare").isNull(), F.col(c)) for c in ("endpoint_path", "endpoint_service", "endpoint_method")}
+    return Http(served, calls, marked.withColumns(ends).select(*got.columns))
 
 
-def http_edges(files: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
+def http_edges(files: DataFrame, prefixes: list[str] | DataFrame | None = None) -> DataFrame:
     """source_service, target_service, method, path, weight: calls between different services."""
     return http(files, prefixes).edges()
 

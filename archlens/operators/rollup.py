@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from archlens.functions import dims
 from archlens.functions.text import ancestors
 from archlens.sources.shared import stored
 
@@ -18,10 +19,34 @@ def languages(files: DataFrame) -> DataFrame:
     return files.filter("lang is not null").groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
 
 
+#: A bit of its own for each language, so that sets of languages merge by bit_or.
+LANGUAGE_BITS = {name: 1 << k for k, name in enumerate(sorted({*dims.LANGUAGES, *dims.NAMED_FILES.values()}))}
+
+
+def language_bits(lang: Column) -> Column:
+    """The bit of a language; 0 for none."""
+    pairs = [F.lit(x) for name, bit in LANGUAGE_BITS.items() for x in (name, bit)]
+    return F.coalesce(F.create_map(*pairs)[lang].cast("long"), F.lit(0).cast("long"))
+
+
+def languages_of(bits: Column) -> Column:
+    """The names of a set of languages, sorted."""
+    names = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(bit).cast("long").alias("bit")) for name, bit in LANGUAGE_BITS.items()])
+    return F.transform(F.filter(names, lambda x: bits.bitwiseAND(x["bit"]) != 0), lambda x: x["name"])
+
+
 def directories(files: DataFrame) -> DataFrame:
-    """dir, files, loc of every directory with all below it, in one pass."""
+    """dir, files, loc, languages (sorted) of every directory with all below it, and of the root (dir "").
+
+    Files without text are binary: they count as files without lines or language. Files are summed by their own directory first;
+    only these sums go up to the directories above.
+    """
     here = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    return files.filter(F.contains("path", F.lit("/"))).select(F.explode(ancestors(here)).alias("dir"), "loc").groupBy("dir").agg(F.count("*").alias("files"), F.sum("loc").alias("loc"))
+    text = F.col("loc").isNotNull()
+    sums = [F.sum("files").alias("files"), F.sum("loc").alias("loc"), F.bit_or("bits").alias("bits")]
+    own = files.select(here.alias("dir"), F.lit(1).alias("files"), F.coalesce("loc", F.lit(0)).alias("loc"), F.when(text, language_bits(F.col("lang"))).otherwise(0).alias("bits")).groupBy("dir").agg(*sums)
+    up = F.array_union(F.array(F.lit("")), ancestors(F.col("dir")))
+    return own.select(F.explode(up).alias("dir"), "files", "loc", "bits").groupBy("dir").agg(*sums).select("dir", "files", "loc", languages_of(F.col("bits")).alias("languages"))
 
 
 def primary_language(files: DataFrame, by: str) -> DataFrame:
@@ -36,25 +61,6 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy("node").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
 
 
-def tiers(edges: DataFrame) -> DataFrame:
-    """node, tier: 0 without predecessors, else one more than the highest tier of the predecessors, over edges (source, target).
-
-    Each round is one grouped maximum over the edges and joins it back to the nodes, until nothing changes. In a graph of N
-    nodes tiers settle within N rounds; where a cycle keeps them from it, N + 1 rounds are made, all nodes at once. An edge
-    from a node to itself counts for nothing, also not for the node being there.
-    """
-    edges = stored(edges.select("source", "target").filter("source <> target").distinct())
-    now = stored(edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct().withColumn("tier", F.lit(0)))
-    for _ in range(now.count() + 1):
-        reached = edges.join(now.toDF("source", "t"), "source").groupBy(F.col("target").alias("node")).agg((F.max("t") + 1).alias("t"))
-        after = stored(now.join(reached, "node", "left").select("node", "tier", F.greatest("tier", F.coalesce("t", F.lit(0))).alias("after")))
-        settled = after.filter("after > tier").isEmpty()
-        now = after.select("node", F.col("after").alias("tier"))
-        if settled:
-            break
-    return now
-
-
 def is_chain(tiered: DataFrame, edges: DataFrame) -> DataFrame:
     """linear: one row that says whether the graph is a single chain, with one edge less than nodes and one node in each tier."""
     pairs = edges.select("source", "target").distinct().agg(F.count("*")).scalar()

@@ -154,7 +154,7 @@ def oracle_sql() -> dict[str, str]:
         "service_prefixes": "SELECT 'svc' || s_suppkey AS service, 'NestJS' AS framework, '/api/v' || s_suppkey AS prefix FROM supplier UNION ALL SELECT 'svc' || s_suppkey, 'Express', '/e' || s_suppkey FROM supplier",
         "descriptions": "SELECT 'm' || s_suppkey AS dir, 'This is module number ' || s_suppkey || ' of the tree,' AS description FROM supplier",
         "critical_paths": critical_paths_sql(),
-        "matrix_order": f"SELECT CAST(row_number() OVER (ORDER BY service, loc DESC, module) - 1 AS INTEGER) AS idx, module, service, dense_rank() OVER (ORDER BY service) - 1 AS block FROM ({_MODULES})",
+        "matrix_order": f"SELECT CAST(row_number() OVER (ORDER BY service, loc DESC, module) - 1 AS INTEGER) AS idx, module, service, dense_rank() OVER (ORDER BY service) - 1 AS block, false AS divider FROM ({_MODULES})",
         "graph_observations": f"WITH e AS ({base._SAME}) SELECT * FROM ({_TOP.format(rule='fan_out', by='source')}) UNION ALL SELECT * FROM ({_TOP.format(rule='fan_in', by='target')}) UNION ALL SELECT 'no_crossings', '', count(*) FROM e HAVING count(*) > 0",
         "topology_observations": f"""WITH p AS (SELECT source_service AS s, target_service AS t, sum(weight) AS n FROM ({base._HTTP}) GROUP BY 1, 2), d AS (SELECT s AS subject FROM p UNION ALL SELECT t FROM p),
             u AS (SELECT count(*) AS n FROM customer, (SELECT count(*) AS k FROM supplier) WHERE c_custkey % (k + 3) >= k)

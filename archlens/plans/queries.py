@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.functions.text import path_prefix, route
-from archlens.operators import manifests, report, rollup
+from archlens.operators import graph, manifests, report, rollup
 from archlens.operators.discover import place
 from archlens.operators.extract import clients, endpoints, models
 from archlens.operators.resolve import Http, http, import_edges, lineage_edges
@@ -109,10 +109,6 @@ def _http(spark: SparkSession, folder: str) -> Http:
     return http(place(corpus.http_corpus(spark, folder)))
 
 
-def _dirs(spark: SparkSession, folder: str) -> DataFrame:
-    return rollup.directories(corpus.document_corpus(spark, folder))
-
-
 def _routes(spark: SparkSession, folder: str) -> DataFrame:
     params = F.get(F.array(F.lit("{id}"), F.lit(":pid"), F.lit("<int:pk>"), F.lit("[slug]"), F.concat(F.lit("$"), F.lit("{x}"))), (F.col("page_id") % 5).cast("int"))
     return corpus.table(spark, folder, "pages").select("page_id", route(F.concat(F.lit("h//"), params, F.lit("/"), F.col("page_id") % 7, F.lit("/"))).alias("path"))
@@ -141,7 +137,7 @@ def _evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from archlens.plans import facts, reports
+    from archlens.plans import facts, reports, trees
 
     cases, _ = _cases()
     return {
@@ -152,7 +148,6 @@ def queries() -> dict[str, Query]:
         "fan_in_out": _fan,
         "intra_cross": _intra_cross,
         "lang_rollup": lambda s, d: rollup.languages(corpus.document_corpus(s, d)),
-        "dir_rollup": _dirs,
         "primary_language": lambda s, d: rollup.primary_language(corpus.document_corpus(s, d).withColumn("dir", F.substring_index("path", "/", 1)), "dir"),
         "http_edges": lambda s, d: _http(s, d).edges(),
         "service_pairs": lambda s, d: report.pairs(_http(s, d).edges()).select("source_service", "target_service", "calls", F.size("routes").cast("long").alias("routes"), F.col("routes")[0]["path"].alias("first_route")),
@@ -160,13 +155,13 @@ def queries() -> dict[str, Query]:
         "entry_modules": lambda s, d: report.entry_modules(_http(s, d).served),
         "route_normalize": _routes,
         "route_prefix_topk": lambda s, d: _routes(s, d).groupBy(path_prefix(F.col("path"), 2).alias("prefix")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "prefix").limit(10),
-        "topology_tiers": lambda s, d: rollup.tiers(_tree_edges(s, d)),
+        "topology_tiers": lambda s, d: graph.tiers(_tree_edges(s, d)),
         "lineage_edges": _lineage,
         "hot_models": _hot_models,
         "store_dominance": lambda s, d: _lineage(s, d).groupBy("target_store").agg(F.sum("weight").alias("weight")).withColumn("share", F.round(F.col("weight") / F.expr("sum(weight) over ()"), 6)),
         "deps_by_ecosystem": lambda s, d: manifests.by_ecosystem(manifests.packages(corpus.package_corpus(s, d))),
         "evidence_pack": _evidence,
-    } | cases | facts.queries() | reports.queries()
+    } | cases | facts.queries() | reports.queries() | trees.queries()
 
 
 _EDGES = """
@@ -195,8 +190,13 @@ _PACKAGES = """SELECT name, arg_min(version, (version = '*', file, j)) AS versio
   CASE WHEN p_size % 3 = 0 THEN '*' ELSE '^' || p_size END AS version, 'svc' || (p_partkey // 200) % 5 || '/p' || p_partkey // 200 || '/package.json' AS file, p_partkey % 200 AS j FROM part) GROUP BY name"""
 
 
+def tiers_sql() -> str:
+    return """WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT p_partkey // 8 AS s, p_partkey AS t FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey // 64, p_partkey FROM part WHERE p_partkey > 0)),
+        w(node, tier) AS (SELECT DISTINCT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, w.tier + 1 FROM w JOIN e ON e.s = w.node) SELECT CAST(node AS VARCHAR) AS node, max(tier) AS tier FROM w GROUP BY node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    from archlens.plans import facts, reports
+    from archlens.plans import facts, reports, trees
 
     _, cases = _cases()
     return {
@@ -207,7 +207,6 @@ def oracle_sql() -> dict[str, str]:
         "fan_in_out": f"WITH e AS ({_SAME}) SELECT node, CAST(sum(o) AS BIGINT) AS fan_out, CAST(sum(i) AS BIGINT) AS fan_in FROM (SELECT source AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT target, 0, 1 FROM e) GROUP BY node",
         "intra_cross": f"WITH e AS ({_SAME}) SELECT count(*) AS intra, CAST(0 AS BIGINT) AS crossing FROM e",
         "lang_rollup": f"SELECT {_LANG} AS name, count(*) AS files, CAST(sum({_LOC}) AS BIGINT) AS loc FROM documents GROUP BY 1",
-        "dir_rollup": f"SELECT d AS dir, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM (SELECT source AS d, {_LOC} AS loc FROM documents UNION ALL SELECT source || '/' || lang, {_LOC} FROM documents) GROUP BY 1",
         "primary_language": f"SELECT dir, name AS primary_language, loc FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY loc DESC, name) AS r FROM (SELECT source AS dir, {_LANG} AS name, CAST(sum({_LOC}) AS BIGINT) AS loc FROM documents GROUP BY 1, 2)) WHERE r = 1",
         "http_edges": _HTTP,
         "service_pairs": f"SELECT source_service, target_service, CAST(sum(weight) AS BIGINT) AS calls, count(*) AS routes, arg_min(path, (-weight, path)) AS first_route FROM ({_HTTP}) GROUP BY 1, 2",
@@ -215,8 +214,7 @@ def oracle_sql() -> dict[str, str]:
         "entry_modules": "SELECT 'svc' || n_regionkey AS service, 'svc' || n_regionkey || '/src/m' || n_nationkey AS module, count(*) AS endpoint_count FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
         "route_normalize": _ROUTE,
         "route_prefix_topk": "SELECT '/h/:id' AS prefix, count(*) AS n FROM pages",
-        "topology_tiers": """WITH RECURSIVE e AS (SELECT DISTINCT s, t FROM (SELECT p_partkey // 8 AS s, p_partkey AS t FROM part WHERE p_partkey > 0 UNION ALL SELECT p_partkey // 64, p_partkey FROM part WHERE p_partkey > 0)),
-            w(node, tier) AS (SELECT DISTINCT s, 0 FROM e WHERE s NOT IN (SELECT t FROM e) UNION SELECT e.t, w.tier + 1 FROM w JOIN e ON e.s = w.node) SELECT CAST(node AS VARCHAR) AS node, max(tier) AS tier FROM w GROUP BY node""",
+        "topology_tiers": tiers_sql(),
         "lineage_edges": _LINEAGE,
         "hot_models": f"SELECT model, count(*) AS rows, count(DISTINCT service) AS services, count(DISTINCT framework) AS frameworks FROM ({_MODELS}) GROUP BY model ORDER BY rows DESC, model LIMIT 8",
         "store_dominance": f"SELECT target_store, CAST(sum(weight) AS BIGINT) AS weight, round(sum(weight) / sum(sum(weight)) OVER (), 6) AS share FROM ({_LINEAGE}) GROUP BY target_store",
@@ -224,4 +222,4 @@ def oracle_sql() -> dict[str, str]:
         "evidence_pack": """WITH RECURSIVE c AS (SELECT doc_id, strlen(substr(text, 1, 6000)) AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL),
             f AS (SELECT r, doc_id, size, size AS used, true AS taken FROM c WHERE r = 1 UNION ALL SELECT c.r, c.doc_id, c.size, CASE WHEN f.used + c.size <= 200000 THEN f.used + c.size ELSE f.used END, f.used + c.size <= 200000 FROM f JOIN c ON c.r = f.r + 1)
             SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS path, size AS bytes FROM f WHERE taken""",
-    } | cases | facts.oracle_sql() | reports.oracle_sql()
+    } | cases | facts.oracle_sql() | reports.oracle_sql() | trees.oracle_sql()

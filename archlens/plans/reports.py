@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.operators import enrich, insight, project, report, rollup
+from archlens.operators import enrich, graph, insight, project, report, rollup
 from archlens.operators.discover import place
 from archlens.operators.extract import clients, endpoints, imports, models
 from archlens.operators.resolve import http, import_edges, module_table
@@ -50,7 +50,7 @@ def _sections(spark: SparkSession, folder: str) -> DataFrame:
     found = http(place(corpus.http_corpus(spark, folder)))
     calls, known = stored(found.edges()), corpus.table(spark, folder, "region").select(F.concat(F.lit("svc"), "r_regionkey").alias("service"))
     lineage = facts._lineage(spark, folder)
-    return report.sections(calls, known, report.entry_modules(found.served), facts._stores(spark, folder).limit(0), lineage.limit(0))
+    return report.sections(calls, known, report.entry_modules(found.served), facts._stores(spark, folder), lineage)
 
 
 def _prefixed(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,7 +162,7 @@ def queries() -> dict:
         "first_observations": _first_rules,
         "report_sections": _sections,
         "tree_levels": lambda s, d: report.tree(rollup.directories(corpus.import_corpus(s, d)), "shallow"),
-        "linear_chain": lambda s, d: rollup.is_chain(rollup.tiers(base._tree_edges(s, d)), base._tree_edges(s, d)),
+        "linear_chain": lambda s, d: rollup.is_chain(graph.tiers(base._tree_edges(s, d)), base._tree_edges(s, d)),
         "prefixed_http_edges": _prefixed,
         "single_service": _single,
         "workspace_edges": _workspace,
@@ -205,10 +205,11 @@ def oracle_sql() -> dict[str, str]:
     pairs = f"SELECT source_service AS s, target_service AS t, CAST(sum(weight) AS BIGINT) AS n FROM ({base._HTTP}) GROUP BY 1, 2"
     both = "SELECT s AS service, 'out' AS direction, t AS other, n AS calls FROM p UNION ALL SELECT t, 'in', s, n FROM p"
     doc = "FROM supplier WHERE s_suppkey % 5 <> 0"
+    known = facts.oracle_sql()
     return {
         "project_totals": f"SELECT count(*) AS files, CAST(sum({base._LOC}) AS BIGINT) AS loc, (SELECT arg_min(name, (-loc, name)) FROM (SELECT {base._LANG} AS name, sum({base._LOC}) AS loc FROM documents GROUP BY 1)) AS primary_language FROM documents",
         "service_shares": f"SELECT service, files, loc, 'Python' AS primary_language, round(loc / sum(loc) OVER (), 6) AS share FROM ({_SERVICES})",
-        "module_cards": f"SELECT module, CAST(loc AS BIGINT) AS loc FROM ({facts._MODULES}) ORDER BY loc DESC, module LIMIT 10".replace("(SELECT", "(SELECT", 1),
+        "module_cards": f"SELECT module, CAST(loc AS BIGINT) AS loc FROM ({facts._MODULES}) ORDER BY loc DESC, module LIMIT 10",
         "matrix_clamp": f"WITH m AS (SELECT module FROM ({facts._MODULES}) ORDER BY loc DESC, module LIMIT 10) SELECT * FROM ({base._SAME}) WHERE source IN (FROM m) AND target IN (FROM m)",
         "hottest_edges": f"SELECT * FROM ({base._SAME}) ORDER BY weight DESC, source, target LIMIT 10",
         "service_neighbours": f"WITH p AS ({pairs}) SELECT service, direction, other, calls, CAST({numbered.format(by='service, direction', order='calls DESC, other')} AS INTEGER) AS rank FROM ({both})",
@@ -228,14 +229,14 @@ def oracle_sql() -> dict[str, str]:
             SELECT * FROM (SELECT 'most_exposed' AS rule, module AS subject, endpoint_count AS value FROM p WHERE endpoint_count >= 8 ORDER BY endpoint_count DESC, service, module LIMIT 1)
             UNION ALL SELECT 'no_callers', '', orphans FROM s WHERE orphans > 0 UNION ALL SELECT 'one_store', store, n FROM s WHERE stores = 1 AND n >= 5
             UNION ALL SELECT 'coverage', '', CAST(floor(1000 * c / e) AS BIGINT) FROM s, h WHERE c > 0 AND c < 0.4 * e""",
-        "first_observations": f"""WITH o AS ({facts.oracle_sql()["graph_observations"]} UNION ALL {facts.oracle_sql()["lineage_observations"]}) SELECT rule, subject, value FROM o WHERE rule IN ('unlinked_store', 'shared_store', 'fan_in', 'fan_out')
-            ORDER BY list_position(['unlinked_store', 'shared_store', 'fan_in', 'fan_out'], rule), value DESC, subject LIMIT 3""".replace("WITH o AS (WITH e AS", "WITH o AS (SELECT * FROM (WITH e AS").replace(" UNION ALL WITH l AS", ") UNION ALL SELECT * FROM (WITH l AS").replace(") SELECT rule, subject, value FROM o", ")) SELECT rule, subject, value FROM o"),
-        "report_sections": f"WITH p AS ({pairs}) SELECT 'topology' AS section, count(*) > 0 AS shown FROM p UNION ALL SELECT 'critical_paths', count(*) > 0 FROM supplier UNION ALL SELECT 'lineage', false",
+        "first_observations": f"""WITH o AS (SELECT * FROM ({known["graph_observations"]}) UNION ALL SELECT * FROM ({known["lineage_observations"]})) SELECT rule, subject, value FROM o WHERE rule IN ('unlinked_store', 'shared_store', 'fan_in', 'fan_out')
+            ORDER BY list_position(['unlinked_store', 'shared_store', 'fan_in', 'fan_out'], rule), value DESC, subject LIMIT 3""",
+        "report_sections": f"WITH p AS ({pairs}) SELECT 'topology' AS section, count(*) > 0 AS shown FROM p UNION ALL SELECT 'critical_paths', count(*) > 0 FROM supplier UNION ALL SELECT 'lineage', (SELECT count(*) FROM supplier) + (SELECT count(*) FROM ({base._LINEAGE})) > 0",
         "tree_levels": f"""WITH d AS (SELECT service AS dir, files, loc, 1 AS level, '' AS up FROM ({_SERVICES}) UNION ALL SELECT service || '/src', files, loc, 2, service FROM ({_SERVICES}))
             SELECT dir, files, loc, level, CAST(row_number() OVER (PARTITION BY up ORDER BY dir) AS INTEGER) AS place FROM d""",
-        "linear_chain": "SELECT false AS linear",
+        "linear_chain": f"SELECT count(*) = count(DISTINCT tier) AND (SELECT count(*) FROM (SELECT DISTINCT unnest([p_partkey // 8, p_partkey // 64]) AS s, p_partkey AS t FROM part WHERE p_partkey > 0)) = count(*) - 1 AS linear FROM ({base.tiers_sql()})",
         "prefixed_http_edges": f"SELECT 'web' || {k} AS source_service, 'api' || {k} AS target_service, 'GET' AS method, '/api/v2/c' || {k} AS path, CAST(2 AS BIGINT) AS weight FROM supplier",
-        "single_service": f"SELECT 'tree' AS service, NULL AS module, 2 * count(*) AS files FROM supplier UNION ALL SELECT 'tree', 'src/m' || {k}, 1 FROM supplier",
+        "single_service": f"SELECT NULL AS service, NULL AS module, 2 * count(*) AS files FROM supplier UNION ALL SELECT NULL, 'src/m' || {k}, 1 FROM supplier",
         "workspace_edges": f"SELECT 'svc/packages/q' || {k} AS source, 'svc/packages/p' || {k} AS target, CAST(2 AS BIGINT) AS weight FROM supplier",
         "go_module_edges": f"SELECT 'svc/src/a' || {k} AS source, 'svc/src/b' || {k} AS target, CAST(2 AS BIGINT) AS weight FROM supplier",
         "evidence_candidates": f"""WITH c AS (SELECT 'README.md' AS path, 1 AS a, 0 AS b, 0 AS c, 0 AS d UNION ALL SELECT 'm' || {k} || '/README', 3, s_suppkey, 0, 0 FROM supplier UNION ALL SELECT 'm' || {k} || '/x/package.json', 3, s_suppkey, 1, 0 FROM supplier

@@ -24,14 +24,30 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def new_folder(spark: SparkSession, kind: str = "facts") -> str:
+    """The name of a folder that goes when the JVM ends."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def stored(df: DataFrame, *used: DataFrame) -> DataFrame:
     """`df` written once and read by whatever follows, so that texts are scanned once however many results use their facts.
 
-    It goes when the JVM ends.
+    It goes when the JVM ends. `used`: stored tables that nothing needs any more; they go at once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in used:
+        where, files = _file_system(spark, old.__dict__["_stored_path"])
+        files.delete(where, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_path"] = path
+    return out

@@ -42,8 +42,9 @@ def test_package(spark, raw, want):
     assert one(spark, package_of(F.lit(raw))) == want
 
 
-def test_normalise_path(spark):
-    assert one(spark, normalise_path(F.lit("a/./b/../c//d"))) == "a/c/d"
+@pytest.mark.parametrize(("raw", "want"), [("a/./b/../c//d", "a/c/d"), ("a/..", ""), ("a/../..", None), ("a/../../a", None), ("../a", None)])
+def test_normalise_path(spark, raw, want):
+    assert one(spark, normalise_path(F.lit(raw))) == want
 
 
 def test_tree_source_reads_hidden_and_empty_files(spark, tmp_path):
