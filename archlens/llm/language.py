@@ -6,7 +6,7 @@ to CENTROIDS centroids, the means of spherical k-means clusters. A text takes th
 cosine, which is its score. A centroid's reach is the cosine that all but OUTSIDE of its own cluster attain; a text whose
 nearest centroid is further away than its reach is rejected.
 
-Fitting: SAMPLE_ROWS documents of each language, drawn by a hash of doc_id, give the n-grams (each language's most common PER_LANGUAGE)
+Fitting: SAMPLE_ROWS documents of each of at most LANGUAGES languages, those with the smallest hashes of doc_id, give the n-grams (each language's most common PER_LANGUAGE)
 and the clusters; each language is clustered in one task. Document frequencies count all training documents.
 
 Defined results: a text that is null or has no letter of any script gets `und` and score 0, and is rejected; one with letters but
@@ -17,6 +17,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,6 +36,8 @@ from archlens.llm.words import U
 LENGTHS = (1, 2, 3, 4)
 #: Sampled rows and n-grams of a language (Spark limits such groups before it shuffles them up to 1000), and n-grams in all.
 SAMPLE_ROWS, PER_LANGUAGE, FEATURES = 1000, 1000, 8192
+#: Languages that are learned, those of most documents.
+LANGUAGES = 500
 CENTROIDS, ROUNDS, OUTSIDE = 8, 12, 0.01
 UNKNOWN = "und"
 #: Bytes of a text that are counted at once.
@@ -44,12 +47,6 @@ SPACE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 FOLD = np.array([b if b > 127 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 
 
-def folded(text: bytes) -> np.ndarray:
-    """Bytes with one space at both ends and between letters."""
-    out = FOLD[np.frombuffer(b" " + text + b" ", np.uint8)]
-    return out[np.concatenate(([True], (out[1:] != 32) | (out[:-1] != 32)))]
-
-
 def keys(letters: np.ndarray, n: int) -> np.ndarray:
     """The n-gram from each place as a number: its bytes, and n above them; a space alone is none."""
     m = max(len(letters) - n + 1, 0)
@@ -59,6 +56,17 @@ def keys(letters: np.ndarray, n: int) -> np.ndarray:
     return out if n > 1 else out[letters != 32]
 
 
+def gram_keys(text: bytes) -> Iterator[np.ndarray]:
+    """The n-grams of a text in parts, piece by piece; its letters have one space between words and at both ends."""
+    tail, most = np.array([32], np.uint8), max(LENGTHS) - 1
+    for piece in itertools.chain(pieces(text, SPACE, PIECE_BYTES), [b" "]):
+        letters = np.concatenate((tail, FOLD[np.frombuffer(piece, np.uint8)]))
+        letters = letters[np.concatenate(([True], (letters[1:] != 32) | (letters[:-1] != 32)))]
+        for n in LENGTHS:  # those that end in this piece
+            yield keys(letters[max(len(tail) - n + 1, 0) :], n)
+        tail = letters[-most:]
+
+
 @dataclass
 class Grams:
     """n-grams as features: `of` finds the features in a text by a table without collisions among them."""
@@ -88,13 +96,11 @@ class Grams:
         return at[same]
 
     def counts(self, texts: list[bytes]) -> np.ndarray:
-        """How often each text (a row) holds each feature; a long text in pieces that end between words."""
+        """How often each text (a row) holds each feature."""
         out = np.zeros((len(texts), len(self.key)))
         for row, text in enumerate(texts):
-            for piece in pieces(text, SPACE, PIECE_BYTES):
-                letters = folded(piece)
-                for n in LENGTHS:
-                    out[row] += np.bincount(self.of(keys(letters, n)), minlength=len(self.key))
+            for part in gram_keys(text):
+                out[row] += np.bincount(self.of(part), minlength=len(self.key))
         return out
 
 
@@ -145,9 +151,8 @@ def _common_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         held: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
             own = np.zeros(0, U)
-            for piece in pieces(text, SPACE, PIECE_BYTES):
-                letters = folded(piece)
-                own = np.unique(np.concatenate([own, *(keys(letters, n) for n in LENGTHS)]))
+            for part in gram_keys(text):
+                own = np.unique(np.concatenate((own, part)))
             held.setdefault(lang, []).append(own)
         for lang, each in held.items():
             gram, n = np.unique(np.concatenate(each), return_counts=True)
@@ -158,15 +163,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the rows of `docs` that have a language."""
     spark = docs.sparkSession
     train = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"), named(lang_col).cast("string").alias("lang")).dropna()
-    sizes = train.groupBy("lang").count()
-    most = sizes.orderBy(F.desc("count"), "lang").first()
-    if most is None:
+    largest = train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not largest:
         return Model(Grams(np.zeros(0, U)), np.zeros(0), [], np.zeros(0), np.zeros((0, 0)), None)
-    total = sizes.agg(F.sum("count")).first()[0]
-    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = train.select("doc_id", "lang").distinct().select("doc_id", "lang", place.alias("r")).filter(f"r <= {SAMPLE_ROWS}").drop("r")
-    # A sample is SAMPLE_ROWS rows of each language; repeated rows of a document count once.
-    sample = cut(train.join(ids, ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
+    train = train.filter(F.col("lang").isin([r.lang for r in largest]))
+    total = sum(r["count"] for r in largest)
+    # The smallest hashes of a language are among those below a bound that some times as many rows fall under; so no task
+    # sees many more rows than it keeps, however large a language is.
+    bound = F.element_at(F.create_map(*[F.lit(x) for r in largest for x in (r.lang, 4.0 * SAMPLE_ROWS / r["count"])]), F.col("lang"))
+    hashed = train.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62)).alias("h")).filter(F.col("h") < bound * float(1 << 62)).distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
+    ids = hashed.select("doc_id", "lang", place.alias("r")).filter(f"r <= {SAMPLE_ROWS}").drop("r")
+    # At most SAMPLE_ROWS rows of each of LANGUAGES languages, two columns; repeated rows of a document count once.
+    sample = cut(train.join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text")))
     often = map_batches(sample.select("lang", "text"), _common_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = often.select("gram", rank.alias("r")).filter(f"r <= {PER_LANGUAGE}").groupBy("gram").agg(F.min("r").alias("r")).orderBy("r", "gram").limit(FEATURES)
@@ -212,7 +221,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     found = vectors_of.groupBy("lang").applyInPandas(clustered, "lang string, reach double, center array<double>").collect()  # CENTROIDS rows of a language
     found.sort(key=lambda r: (r.lang, r.reach, r.center))
     centers = np.array([r.center for r in found]).reshape(len(found), len(idf))
-    return Model(grams, idf, [r.lang for r in found], np.array([r.reach for r in found]), centers, most.lang)
+    return Model(grams, idf, [r.lang for r in found], np.array([r.reach for r in found]), centers, largest[0].lang)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,16 +61,18 @@ def inverse(rows: np.ndarray, prime: int, generator: int) -> np.ndarray:
     return rows * U(pow(n, -1, prime)) % U(prime)
 
 
-def _mismatches(values: np.ndarray, starts: np.ndarray, size: int, prime: int, generator: int, squares: np.ndarray) -> np.ndarray:
-    """Sums of squared differences modulo `prime`: a row for each block, a column for each distance 0..size."""
+def _mismatches(window: np.ndarray, size: int, prime: int, generator: int) -> np.ndarray:
+    """Sums of squared differences modulo `prime`: a row for each block (its first `size` integers), a column for each distance
+    0..size at which its own row goes on."""
     n = 2 * size
-    window = values[starts[:, None] + np.arange(n)]
+    window = window % U(prime)
     block = np.zeros_like(window)
     block[:, -np.arange(size) % n] = window[:, :size]  # reversed: the product of transforms is then a correlation
     product = transform(window, prime, generator) * transform(block, prime, generator) % U(prime)
     both = inverse(product, prime, generator)[:, : size + 1]
-    at = starts[:, None] + np.arange(size + 1)
-    own = (squares[at + size] - squares[at]) % U(prime)
+    squares = np.zeros((len(window), n + 1), U)
+    np.cumsum(window * window % U(prime), axis=1, out=squares[:, 1:])
+    own = (squares[:, size:] - squares[:, : size + 1]) % U(prime)
     return (own[:, :1] + own + U(2) * (U(prime) - both)) % U(prime)
 
 
@@ -87,13 +89,12 @@ def first_copies(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarra
             primes.append(p)
     if product <= bound or 2 * size > 1 << 25:
         raise ValueError("a text of more than 2^25 distinct words or a block of more than 2^24")
-    values = values.astype(U)
-    squares = {p: np.concatenate((np.zeros(1, U), np.cumsum(values % U(p) * (values % U(p)) % U(p)))) for p, _ in primes}
     step = max(1, ROUND // (2 * size))
     for a in range(0, len(starts), step):
         here = starts[a : a + step]
         equal = np.ones((len(here), size), bool)
+        window = values[here[:, None] + np.arange(2 * size)].astype(U)
         for p, g in primes:
-            equal &= _mismatches(values, here, size, p, g, squares[p])[:, 1:] == 0
+            equal &= _mismatches(window, size, p, g)[:, 1:] == 0
         out[a : a + step] = np.where(equal.any(axis=1), equal.argmax(axis=1) + 1, 0)
     return out

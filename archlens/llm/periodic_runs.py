@@ -73,10 +73,12 @@ def _equal_left(x: np.ndarray, at: int, d: int) -> int:
 
 def _inside(runs: list[tuple[int, int, int]], starts: np.ndarray, block: int, size: int) -> np.ndarray:
     """Blocks that lie in a known run with their copy one period further: their nearest copy belongs to a smaller scale."""
-    depth = np.zeros(size + 1, np.int32)
     table = np.array(runs, np.int64).reshape(-1, 3)
     last = table[:, 0] + table[:, 1] - table[:, 2] - block
     low, last = table[last >= table[:, 0], 0], last[last >= table[:, 0]]
+    if not len(low):
+        return np.zeros(len(starts), bool)
+    depth = np.zeros(size + 1, np.int32)
     np.add.at(depth, low, 1)
     np.add.at(depth, last + 1, -1)
     return np.cumsum(depth)[starts] > 0
@@ -91,7 +93,7 @@ def runs_of(ids: list[np.ndarray]) -> list[np.ndarray]:
     symbols = np.full(size, 0, np.int32)
     places = np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
     symbols[places] = np.concatenate(ids)
-    values = np.concatenate((symbols, np.zeros(max(2 * longest, 2), np.int32)))  # separators differ from any word
+    values = np.concatenate((symbols, np.zeros(max(longest, 2), np.int32)))  # separators differ from any word
     gaps = np.flatnonzero(symbols == 0)
     symbols[gaps] = -1 - np.arange(len(gaps))  # and, in extensions, from each other
     further = _next_distance(ids, places, size)
