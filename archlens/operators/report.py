@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from archlens.functions import dims as D
 from archlens.operators.rank import ranked
+from archlens.operators.resolve import module_table
 from archlens.operators.rollup import primary_language
 
 
@@ -35,6 +36,12 @@ def modules_at(modules: DataFrame, depth: str, use: str = "cards") -> DataFrame:
     return _top(modules, D.DEPTH_TIERS.get(depth, D.DEPTH_TIERS["medium"])[use], F.desc("loc"), F.asc("module"))
 
 
+def shown_files(files: DataFrame, depth: str) -> DataFrame:
+    """Placed files, of which those of modules that a depth leaves out of the graph are of no module: nothing resolves to them."""
+    shown = modules_at(module_table(files), depth, "graph").select(F.col("module").alias("shown"))
+    return files.join(shown, F.col("module") == F.col("shown"), "left").withColumn("module", F.col("shown")).select(*files.columns)
+
+
 def cards(modules: DataFrame, vendored: DataFrame, described: DataFrame) -> DataFrame:
     """modules (module, loc, description) with vendored and the better description, in the order `idx` of a report.
 

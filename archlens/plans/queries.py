@@ -137,7 +137,7 @@ def _evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from archlens.plans import facts, reports, trees
+    from archlens.plans import facts, reports, rules, trees
 
     cases, _ = _cases()
     return {
@@ -161,7 +161,7 @@ def queries() -> dict[str, Query]:
         "store_dominance": lambda s, d: _lineage(s, d).groupBy("target_store").agg(F.sum("weight").alias("weight")).withColumn("share", F.round(F.col("weight") / F.expr("sum(weight) over ()"), 6)),
         "deps_by_ecosystem": lambda s, d: manifests.by_ecosystem(manifests.packages(corpus.package_corpus(s, d))),
         "evidence_pack": _evidence,
-    } | cases | facts.queries() | reports.queries() | trees.queries()
+    } | cases | facts.queries() | reports.queries() | trees.queries() | rules.queries()
 
 
 _EDGES = """
@@ -196,7 +196,7 @@ def tiers_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from archlens.plans import facts, reports, trees
+    from archlens.plans import facts, reports, rules, trees
 
     _, cases = _cases()
     return {
@@ -222,4 +222,4 @@ def oracle_sql() -> dict[str, str]:
         "evidence_pack": """WITH RECURSIVE c AS (SELECT doc_id, strlen(substr(text, 1, 6000)) AS size, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL),
             f AS (SELECT r, doc_id, size, size AS used, true AS taken FROM c WHERE r = 1 UNION ALL SELECT c.r, c.doc_id, c.size, CASE WHEN f.used + c.size <= 200000 THEN f.used + c.size ELSE f.used END, f.used + c.size <= 200000 FROM f JOIN c ON c.r = f.r + 1)
             SELECT doc_id AS ord, CAST(doc_id AS VARCHAR) AS path, size AS bytes FROM f WHERE taken""",
-    } | cases | facts.oracle_sql() | reports.oracle_sql() | trees.oracle_sql()
+    } | cases | facts.oracle_sql() | reports.oracle_sql() | trees.oracle_sql() | rules.oracle_sql()
