@@ -14,7 +14,6 @@ bytes for each of its words beside the text.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import compress
 
@@ -25,11 +24,10 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import chunks, id_and_text, map_batches, texts_of
 from archlens.llm.ntt import first_copies
-from archlens.llm.pieces import pieces
+from archlens.llm.pieces import SPACE, pieces
 
 #: A run's least length in words and in periods; the proof above takes 4 periods or more.
 MIN_WORDS, MIN_POWER = 6, 4
-SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def word_ids(text: bytes) -> np.ndarray:

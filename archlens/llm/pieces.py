@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+#: A byte of ASCII white space.
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 #: Bytes of a piece, but for a single word that is longer.
 PIECE_BYTES = 1 << 20
 

@@ -26,26 +26,51 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import chunks, cut, id_and_text, map_batches, texts_of
 from archlens.llm.components import components
+from archlens.llm.pieces import PIECE_BYTES, SPACE, pieces
 from archlens.llm.words import U, Words
 
 BITS = 64
 #: Fingerprints of one block key that are compared pair by pair; and the share of all rows, one in HOT, from which a
 #: fingerprint's rows don't travel.
 PAIRWISE, HOT = 64, 2000
+#: Hashes of a long text whose bits are counted at once.
+PART = 1 << 14
+
+
+def _hashes(text: bytes, n: int, shingle: int, seed: int) -> list[int]:
+    """Hashes of the shingles of n words joined by one space; of fewer words than a shingle takes, that of all."""
+    hash_of = xxhash.xxh64_intdigest
+    if n <= shingle:
+        return [hash_of(text, seed)] * (n > 0)
+    gap = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+    start = [0, *(gap + 1).tolist()]
+    end = [*gap[shingle - 1 :].tolist(), len(text)]
+    return [hash_of(text[a:b], seed) for a, b in zip(start, end, strict=False)]
+
+
+def _long_fingerprint(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """The fingerprint of one text, piece by piece; the last words of a piece go before the next."""
+    counts, total, held = np.zeros(BITS, np.int64), 0, []
+    for piece in pieces(text, SPACE):
+        held += piece.lower().split()  # of bytes: A-Z only
+        if len(held) >= shingle:
+            found = np.array(_hashes(b" ".join(held), len(held), shingle, seed), U)
+            for part in np.array_split(found, len(found) // PART + 1):
+                counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            total += len(found)
+            held = held[len(held) - shingle + 1 :]
+    if not total and held:
+        counts, total = np.unpackbits(np.array(_hashes(b" ".join(held), len(held), shingle, seed), U).view(np.uint8), bitorder="little").astype(np.int64), 1
+    return np.packbits(2 * counts > total, bitorder="little").view(U)
 
 
 def _fingerprints_of(texts: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    if len(texts) == 1 and len(texts[0]) > PIECE_BYTES:
+        return _long_fingerprint(texts[0], shingle, seed)
     words = Words(texts, lower=True)
-    hash_of = xxhash.xxh64_intdigest
     hashes, sizes = [], []
     for text, n in zip(words.joined(), words.count.tolist(), strict=True):
-        if n <= shingle:
-            hashes += [hash_of(text, seed)] * (n > 0)
-        else:
-            gap = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-            start = [0, *(gap + 1).tolist()]
-            end = [*gap[shingle - 1 :].tolist(), len(text)]
-            hashes += [hash_of(text[a:b], seed) for a, b in zip(start, end, strict=False)]
+        hashes += _hashes(text, n, shingle, seed)
         sizes.append(max(n - shingle + 1, int(n > 0)))
     size = np.array(sizes)
     out = np.zeros(len(texts), U)

@@ -29,13 +29,23 @@ LENGTHS, KEY_BITS = (4, 5, 6), 40
 #: Distinct n-grams of a text at which a feature counts as one; and n-grams that a task gathers before it sends counts.
 SCALE, FLUSH_GRAMS = 1000, 1 << 21
 MIN_TEXTS, FEATURES, SAMPLE_ROWS = 5, 4096, 4000
+#: Bytes of a text whose n-grams are made at once.
+PIECE_BYTES = 1 << 18
 #: Labelled rows up to which the labels go to every executor (12 bytes a row); beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
 
 def ngrams(text: bytes) -> np.ndarray:
-    """The distinct n-grams of a text as sorted keys of KEY_BITS bits."""
-    value = BYTE[LOWER[np.frombuffer(b" " + text + b" ", np.uint8)]]
+    """The distinct n-grams of a text as sorted keys of KEY_BITS bits; a long text in pieces that overlap by an n-gram."""
+    data = b" " + text + b" "
+    out = _ngrams_of(data[: PIECE_BYTES + max(LENGTHS) - 1])
+    for a in range(PIECE_BYTES, len(data), PIECE_BYTES):
+        out = np.union1d(out, _ngrams_of(data[a : a + PIECE_BYTES + max(LENGTHS) - 1]))
+    return out
+
+
+def _ngrams_of(data: bytes) -> np.ndarray:
+    value = BYTE[LOWER[np.frombuffer(data, np.uint8)]]
     found = [np.zeros(0, np.int64)]
     for n in LENGTHS:
         m = len(value) - n + 1
