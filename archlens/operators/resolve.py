@@ -19,8 +19,21 @@ def module_table(files: DataFrame) -> DataFrame:
     return own.withColumn("name", F.substring_index("module", "/", -1))
 
 
+@dataclass
+class Graph:
+    """edges (source, target, weight) between different modules, and modules (as `module_table` has them)."""
+
+    edges: DataFrame
+    modules: DataFrame
+
+
 def import_edges(files: DataFrame, packages: DataFrame | None = None, go_prefix: str | None = None) -> DataFrame:
-    """source, target, weight: import statements between different modules.
+    """source, target, weight: import statements between different modules."""
+    return import_graph(files, packages, go_prefix).edges
+
+
+def import_graph(files: DataFrame, packages: DataFrame | None = None, go_prefix: str | None = None) -> Graph:
+    """Modules and the import statements between them, from one scan of texts.
 
     packages: (name, module) of workspace packages, for bare specifiers; else what the modules' package.json files say.
     go_prefix: the Go module prefix of all services; else that of the service's go.mod, or the root's.
@@ -28,7 +41,7 @@ def import_edges(files: DataFrame, packages: DataFrame | None = None, go_prefix:
     """
     facts = stored(import_facts(files))
     own = facts.filter("module is not null")
-    modules = own.filter("kind = 'file'").groupBy("module").agg(F.first("service").alias("service"), F.sum("loc").alias("loc")).withColumn("name", F.substring_index("module", "/", -1))
+    modules = own.filter("kind = 'file'").groupBy("module").agg(F.first("service").alias("service"), F.sum("n").alias("files"), F.sum("loc").alias("loc")).withColumn("name", F.substring_index("module", "/", -1))
     scope = F.coalesce(F.concat(F.lit("="), "service"), F.lit(""))
     order = F.struct(-F.coalesce("loc", F.lit(0)), "module")
     entry = lambda df, kind, scope, key, to: df.select(F.lit(kind).alias("kind"), scope.alias("scope"), key.alias("key"), to.alias("to"))
@@ -56,7 +69,8 @@ def import_edges(files: DataFrame, packages: DataFrame | None = None, go_prefix:
     each = F.explode(F.when(F.col("way") == "path", paths).otherwise(single)).alias("k")
     keyed = found.select("module", "service", "n", "kind", "target", "way", each).select("module", "service", "n", F.col("kind").alias("of"), "target", F.col("way").alias("kind"), "k.*")
     best = keyed.join(known, ["kind", "scope", "key"]).groupBy("service", "module", "of", "target").agg(F.max_by("to", "depth").alias("to"), F.first("n").alias("n"))
-    return best.filter("to is not null and module <> to").groupBy(F.col("module").alias("source"), F.col("to").alias("target")).agg(F.sum("n").alias("weight"))
+    edges = best.filter("to is not null and module <> to").groupBy(F.col("module").alias("source"), F.col("to").alias("target")).agg(F.sum("n").alias("weight"))
+    return Graph(edges, modules)
 
 
 def _segment_prefixes(url: Column) -> Column:

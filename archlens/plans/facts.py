@@ -67,7 +67,8 @@ def _matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, folder: str) -> DataFrame:
-    return insight.graph_observations(stored(base._python_edges(spark, folder)), module_table(place(corpus.import_corpus(spark, folder))))
+    found = base.python_graph(spark, folder)
+    return insight.graph_observations(stored(found.edges), found.modules)
 
 
 def _topology(spark: SparkSession, folder: str) -> DataFrame:

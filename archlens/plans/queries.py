@@ -11,7 +11,7 @@ from archlens.functions.text import path_prefix, route
 from archlens.operators import graph, manifests, report, rollup
 from archlens.operators.discover import place
 from archlens.operators.extract import clients, endpoints, models
-from archlens.operators.resolve import Http, http, import_edges, lineage_edges
+from archlens.operators.resolve import Graph, Http, http, import_edges, import_graph, lineage_edges
 from archlens.plans import corpus
 
 #: key: (path, text, framework, method, route); {k} stands for the row's key.
@@ -84,8 +84,12 @@ def _cases() -> tuple[dict[str, Query], dict[str, str]]:
     return queries, sql
 
 
+def python_graph(spark: SparkSession, folder: str) -> Graph:
+    return import_graph(place(corpus.import_corpus(spark, folder)))
+
+
 def _python_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return import_edges(place(corpus.import_corpus(spark, folder)))
+    return python_graph(spark, folder).edges
 
 
 def _elixir_edges(spark: SparkSession, folder: str) -> DataFrame:

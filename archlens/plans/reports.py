@@ -29,7 +29,8 @@ def _join(spark: SparkSession, folder: str, *cases: tuple[str, str]) -> DataFram
 
 
 def _clamped(spark: SparkSession, folder: str) -> DataFrame:
-    return report.graph_within(base._python_edges(spark, folder), report.modules_at(_modules(spark, folder), "shallow"))
+    found = base.python_graph(spark, folder)
+    return report.graph_within(found.edges, report.modules_at(found.modules, "shallow"))
 
 
 def _traced(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from archlens.operators import insight, project, report
 from archlens.operators.discover import place
 from archlens.operators.extract import models
-from archlens.operators.resolve import import_edges, lineage_edges
+from archlens.operators.resolve import http, import_edges, lineage_edges
 from archlens.plans import corpus, facts
 from archlens.plans.trees import _files, _pair, _text
 from archlens.sources.shared import stored
@@ -86,6 +86,20 @@ def _descriptions(spark: SparkSession, folder: str) -> DataFrame:
     ))
 
 
+def _prefixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Prefixes of classes, routers and applications: a route in the file that states its application's prefix gets it twice."""
+    supplier = _supplier(spark, folder)
+    files = _files(
+        _pair(supplier, _text("svc", K, "/main.py"), _text('app.include_router(r, prefix="/api', K, '")\n@app.get("/y")\ndef y(): ...\n')),
+        _pair(supplier, _text("svc", K, "/src/m/r.py"), _text('router = APIRouter(tags=[], prefix="/r")\n@router.post("/x/{id}/")\n')),
+        _pair(supplier, _text("svc", K, "/src/m/S.java"), _text('@RestController\n@RequestMapping("/v', K, '/")\nclass S {\n  @GetMapping("x")\n  void a() {}\n  @RequestMapping(value = "/z")\n  void b() {}\n}\n')),
+        _pair(supplier, _text("svc", K, "/src/m/n.ts"), _text("@Controller(`n", K, "`)\nclass N {\n  @Post()\n  a() {}\n  @All('*')\n  b() {}\n}\n")),
+        _pair(supplier, _text("svc", K, "/src/m/w.php"), _text("Route::apiResource('posts', P::class);\nRoute::get ( \"/w", K, "/{id?}\", f);\n")),
+        _pair(supplier, _text("svc", K, "/src/m/h.go"), _text('e.GET("/h/:id", f)\nmux.HandleFunc(`/k', K, "`, g)\nx.Use(\"/no\")\n")),
+    )
+    return http(place(typed(files))).served.select("service", "framework", "method", "path")
+
+
 def queries() -> dict:
     return {
         "graph_rules": _graph,
@@ -96,6 +110,7 @@ def queries() -> dict:
         "edges_medium": lambda s, d: import_edges(report.shown_files(place(_sixty_modules(s, d)), "medium")),
         "entry_points_all": _entries,
         "descriptions_all": _descriptions,
+        "prefixed_endpoints": _prefixed,
     }
 
 
@@ -120,6 +135,9 @@ def oracle_sql() -> dict[str, str]:
         "edges_medium": shown.format(limit="LIMIT 80"),
         "entry_points_all": f"""SELECT * FROM (VALUES ('main.py', 'Python main'), ('src/index.tsx', 'TypeScript React entry'), ('cmd/server.js', 'JavaScript server'), ('Dockerfile', 'Container build')) t(path, kind) WHERE (SELECT count(*) FROM supplier) > 0
             UNION ALL SELECT 'bin/run' || {k}, 'CLI script' FROM supplier UNION ALL SELECT 'cmd/s' || {k} || '/main.go', 'Go service: s' || {k} FROM supplier""",
+        "prefixed_endpoints": f"""SELECT 'svc' || {k} AS service, unnest(['FastAPI', 'FastAPI', 'Spring Boot', 'Spring Boot', 'Spring Boot', 'NestJS', 'NestJS', 'Laravel', 'Laravel', 'Go router', 'Go router']) AS framework,
+            unnest(['GET', 'POST', 'ANY', 'GET', 'ANY', 'POST', 'ALL', 'ANY', 'GET', 'GET', 'ANY']) AS method,
+            unnest(['/api' || {k} || '/api' || {k} || '/y', '/api' || {k} || '/r/x/:id', '/v' || {k} || '/v' || {k}, '/v' || {k} || '/x', '/v' || {k} || '/z', '/n' || {k}, '/n' || {k} || '/*', '/posts', '/w' || {k} || '/:id', '/h/:id', '/k' || {k}]) AS path FROM supplier""",
         "descriptions_all": f"""SELECT * FROM (SELECT 'm' || {k} AS dir, CASE WHEN s_suppkey % 2 = 0 THEN 'From the manifest ' || {k} WHEN s_suppkey % 3 = 0 THEN 'The words of a README, number ' || {k} || '.'
             WHEN s_suppkey % 5 > 0 THEN 'The docstring of a package, ' || {k} || '.' END AS description FROM supplier) WHERE description IS NOT NULL""",
     }
