@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.operators import insight, project, report
+from archlens.operators import insight, manifests, project, report
 from archlens.operators.discover import place
 from archlens.operators.extract import models
 from archlens.operators.resolve import http, import_edges, lineage_edges
@@ -100,6 +100,24 @@ def _prefixed(spark: SparkSession, folder: str) -> DataFrame:
     return http(place(typed(files))).served.select("service", "framework", "method", "path")
 
 
+#: Second forms and what looks like a package but isn't: (path, text); the rows are in the SQL.
+MANIFESTS = [
+    ("a{k}/requirements.in", "flask[async]>=2\n-e git+x\n# c\nDjango ~= 4.2 # x\n\n"),
+    ("b{k}/package.json", '{"dependencies": {"x{k}": "1"}, broken'),
+    ("b{k}/x/package.json", '{"name": "n", "dependencies": ["x"], "peerDependencies": {"p{k}": "2"}}'),
+    ("c{k}/Cargo.toml", '[dependencies]\n# x = "1"\nserde = { features = ["a"] }\n[package]\nversion = "1"\n'),
+    ("d{k}/Gemfile", "  gem 'rails{k}', \"7.0\", require: false\ngemspec\n"),
+    ("e{k}/composer.json", '{"require-dev": {"a": "1"}}'),
+    ("f{k}/go.mod", "module x\n// require y v1\nexclude z v1\n"),
+    ("g{k}/setup.cfg", "[options]\ninstall_requires = a\n"),
+]
+
+
+def _manifests(spark: SparkSession, folder: str) -> DataFrame:
+    files = _files(*[corpus.case_corpus(spark, folder, "supplier", "s_suppkey", path, text) for path, text in MANIFESTS])
+    return manifests.packages(files).select("file", "ecosystem", "name", "version")
+
+
 def queries() -> dict:
     return {
         "graph_rules": _graph,
@@ -111,6 +129,7 @@ def queries() -> dict:
         "entry_points_all": _entries,
         "descriptions_all": _descriptions,
         "prefixed_endpoints": _prefixed,
+        "mixed_manifests": _manifests,
     }
 
 
@@ -135,6 +154,8 @@ def oracle_sql() -> dict[str, str]:
         "edges_medium": shown.format(limit="LIMIT 80"),
         "entry_points_all": f"""SELECT * FROM (VALUES ('main.py', 'Python main'), ('src/index.tsx', 'TypeScript React entry'), ('cmd/server.js', 'JavaScript server'), ('Dockerfile', 'Container build')) t(path, kind) WHERE (SELECT count(*) FROM supplier) > 0
             UNION ALL SELECT 'bin/run' || {k}, 'CLI script' FROM supplier UNION ALL SELECT 'cmd/s' || {k} || '/main.go', 'Go service: s' || {k} FROM supplier""",
+        "mixed_manifests": f"""SELECT 'a' || {k} || '/requirements.in' AS file, 'pip' AS ecosystem, unnest(['flask', 'Django']) AS name, unnest(['*', '~= 4.2']) AS version FROM supplier UNION ALL SELECT 'b' || {k} || '/x/package.json', 'npm', 'p' || {k}, '2' FROM supplier
+            UNION ALL SELECT 'c' || {k} || '/Cargo.toml', 'cargo', 'serde', 'a' FROM supplier UNION ALL SELECT 'd' || {k} || '/Gemfile', 'bundler', 'rails' || {k}, '7.0' FROM supplier""",
         "prefixed_endpoints": f"""SELECT 'svc' || {k} AS service, unnest(['FastAPI', 'FastAPI', 'Spring Boot', 'Spring Boot', 'Spring Boot', 'NestJS', 'NestJS', 'Laravel', 'Laravel', 'Go router', 'Go router']) AS framework,
             unnest(['GET', 'POST', 'ANY', 'GET', 'ANY', 'POST', 'ALL', 'ANY', 'GET', 'GET', 'ANY']) AS method,
             unnest(['/api' || {k} || '/api' || {k} || '/y', '/api' || {k} || '/r/x/:id', '/v' || {k} || '/v' || {k}, '/v' || {k} || '/x', '/v' || {k} || '/z', '/n' || {k}, '/n' || {k} || '/*', '/posts', '/w' || {k} || '/:id', '/h/:id', '/k' || {k}]) AS path FROM supplier""",
