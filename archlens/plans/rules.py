@@ -15,19 +15,17 @@ from archlens.plans.trees import _files, _pair, _text
 from archlens.sources.shared import stored
 from archlens.sources.tree import typed
 
-K = F.col("s_suppkey")
-
-
 def _supplier(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.table(spark, folder, "supplier")
 
 
 def _graph(spark: SparkSession, folder: str) -> DataFrame:
     """Modules of three services, each depends on six others; every fifth needs a module of utilities."""
+    k = F.col("s_suppkey")
     supplier = _supplier(spark, folder)
     name = lambda k: _text("svc", k % 3, "/src/m", k)
-    tree = supplier.select(name(F.floor(K / 6)).alias("source"), name(K).alias("target"))
-    shared = supplier.filter(K % 5 == 0).select(name(K).alias("source"), F.lit("svc0/src/utils").alias("target"))
+    tree = supplier.select(name(F.floor(k / 6)).alias("source"), name(k).alias("target"))
+    shared = supplier.filter(k % 5 == 0).select(name(k).alias("source"), F.lit("svc0/src/utils").alias("target"))
     edges = tree.union(shared).withColumn("weight", F.lit(1))
     ends = edges.select(F.col("source").alias("module")).union(edges.select("target")).distinct()
     return insight.graph_observations(stored(edges), ends.withColumn("service", F.substring_index("module", "/", 1)))
@@ -35,10 +33,11 @@ def _graph(spark: SparkSession, folder: str) -> DataFrame:
 
 def _topology(spark: SparkSession, folder: str) -> DataFrame:
     """Two pairs of services, one with four fifths of the calls; nothing else that a rule speaks of."""
+    k = F.col("s_suppkey")
     supplier = _supplier(spark, folder)
-    heavy = K % 10 < 8
-    calls = supplier.select(F.when(heavy, "a").otherwise("c").alias("source_service"), F.when(heavy, "b").otherwise("d").alias("target_service"), F.lit("GET").alias("method"), _text("/", K).alias("path"), F.lit(1).cast("long").alias("weight"))
-    unresolved = supplier.agg(F.count_if(K < 2).alias("unresolved"))
+    heavy = k % 10 < 8
+    calls = supplier.select(F.when(heavy, "a").otherwise("c").alias("source_service"), F.when(heavy, "b").otherwise("d").alias("target_service"), F.lit("GET").alias("method"), _text("/", k).alias("path"), F.lit(1).cast("long").alias("weight"))
+    unresolved = supplier.agg(F.count_if(k < 2).alias("unresolved"))
     kinds = supplier.select(F.lit("a").alias("service"), F.lit("frontend").alias("kind")).distinct()
     return insight.topology_observations(stored(calls), unresolved, supplier.select(F.lit("Express").alias("framework")), kinds)
 
@@ -51,12 +50,13 @@ def _lineage(spark: SparkSession, folder: str) -> DataFrame:
 
 def _paths(spark: SparkSession, folder: str) -> DataFrame:
     """A module for each supplier, with up to nine endpoints; every second depends on utilities; one store; few calls."""
+    k = F.col("s_suppkey")
     supplier = _supplier(spark, folder)
-    module = _text("svc/src/m", K)
-    each = F.explode(F.sequence(F.lit(0), (K % 9).cast("int"))).alias("seq")
-    served = supplier.select(F.lit("svc").alias("service"), module.alias("module"), _text("f", K).alias("file"), each, K.alias("k")).select("service", "module", "file", "seq", F.lit("GET").alias("method"), _text("/", F.col("k"), "/", F.col("seq")).alias("path"))
-    calls = supplier.filter(K % 50 == 1).select(F.lit("web").alias("source_service"), F.lit("svc").alias("target_service"), F.lit("GET").alias("method"), _text("/", K, "/0").alias("path"), F.lit(1).alias("weight"))
-    edges = supplier.filter(K % 2 == 0).select(module.alias("source"), F.lit("svc/src/Utils").alias("target"), F.lit(1).alias("weight"))
+    module = _text("svc/src/m", k)
+    each = F.explode(F.sequence(F.lit(0), (k % 9).cast("int"))).alias("seq")
+    served = supplier.select(F.lit("svc").alias("service"), module.alias("module"), _text("f", k).alias("file"), each, k.alias("k")).select("service", "module", "file", "seq", F.lit("GET").alias("method"), _text("/", F.col("k"), "/", F.col("seq")).alias("path"))
+    calls = supplier.filter(k % 50 == 1).select(F.lit("web").alias("source_service"), F.lit("svc").alias("target_service"), F.lit("GET").alias("method"), _text("/", k, "/0").alias("path"), F.lit(1).alias("weight"))
+    edges = supplier.filter(k % 2 == 0).select(module.alias("source"), F.lit("svc/src/Utils").alias("target"), F.lit(1).alias("weight"))
     lineage = supplier.groupBy(F.lit("svc").alias("source_service"), F.lit("postgres").alias("target_store")).agg(F.count("*").alias("weight"))
     found = stored(insight.critical_paths(served, calls, edges, lineage))
     return insight.path_observations(found, calls.count())
@@ -70,32 +70,35 @@ def _sixty_modules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    k = F.col("s_suppkey")
     supplier = _supplier(spark, folder)
-    paths = [("main.py",), ("src/index.tsx",), ("cmd/server.js",), ("bin/run", K), ("bin/deep/run", K), ("cmd/s", K, "/main.go"), ("x", K, "/main.py"), ("src/app", K, ".py"), ("Dockerfile",)]
+    paths = [("main.py",), ("src/index.tsx",), ("cmd/server.js",), ("bin/run", k), ("bin/deep/run", k), ("cmd/s", k, "/main.go"), ("x", k, "/main.py"), ("src/app", k, ".py"), ("Dockerfile",)]
     files = _files(*[_pair(supplier, _text(*parts), F.lit("x\n")) for parts in paths]).distinct()
     return project.entry_points(files)
 
 
 def _descriptions(spark: SparkSession, folder: str) -> DataFrame:
     """Directories with a manifest, a README and a docstring, in all choices of them."""
+    k = F.col("s_suppkey")
     supplier = _supplier(spark, folder)
     return project.descriptions(_files(
-        _pair(supplier.filter(K % 2 == 0), _text("m", K, "/package.json"), _text('{"description": " From the manifest ', K, ' "}')),
-        _pair(supplier.filter(K % 3 == 0), _text("m", K, "/README"), _text("Heading\n\nThe words of a README, number ", K, ".\n")),
-        _pair(supplier, _text("m", K, "/__init__.py"), F.when(K % 5 == 0, "import a\n").otherwise(_text('"""The docstring of a package, ', K, '.\n\nMore.\n"""\n'))),
+        _pair(supplier.filter(k % 2 == 0), _text("m", k, "/package.json"), _text('{"description": " From the manifest ', k, ' "}')),
+        _pair(supplier.filter(k % 3 == 0), _text("m", k, "/README"), _text("Heading\n\nThe words of a README, number ", k, ".\n")),
+        _pair(supplier, _text("m", k, "/__init__.py"), F.when(k % 5 == 0, "import a\n").otherwise(_text('"""The docstring of a package, ', k, '.\n\nMore.\n"""\n'))),
     ))
 
 
 def _prefixed(spark: SparkSession, folder: str) -> DataFrame:
     """Prefixes of classes, routers and applications: a route in the file that states its application's prefix gets it twice."""
+    k = F.col("s_suppkey")
     supplier = _supplier(spark, folder)
     files = _files(
-        _pair(supplier, _text("svc", K, "/main.py"), _text('app.include_router(r, prefix="/api', K, '")\n@app.get("/y")\ndef y(): ...\n')),
-        _pair(supplier, _text("svc", K, "/src/m/r.py"), _text('router = APIRouter(tags=[], prefix="/r")\n@router.post("/x/{id}/")\n')),
-        _pair(supplier, _text("svc", K, "/src/m/S.java"), _text('@RestController\n@RequestMapping("/v', K, '/")\nclass S {\n  @GetMapping("x")\n  void a() {}\n  @RequestMapping(value = "/z")\n  void b() {}\n}\n')),
-        _pair(supplier, _text("svc", K, "/src/m/n.ts"), _text("@Controller(`n", K, "`)\nclass N {\n  @Post()\n  a() {}\n  @All('*')\n  b() {}\n}\n")),
-        _pair(supplier, _text("svc", K, "/src/m/w.php"), _text("Route::apiResource('posts', P::class);\nRoute::get ( \"/w", K, "/{id?}\", f);\n")),
-        _pair(supplier, _text("svc", K, "/src/m/h.go"), _text('e.GET("/h/:id", f)\nmux.HandleFunc(`/k', K, "`, g)\nx.Use(\"/no\")\n")),
+        _pair(supplier, _text("svc", k, "/main.py"), _text('app.include_router(r, prefix="/api', k, '")\n@app.get("/y")\ndef y(): ...\n')),
+        _pair(supplier, _text("svc", k, "/src/m/r.py"), _text('router = APIRouter(tags=[], prefix="/r")\n@router.post("/x/{id}/")\n')),
+        _pair(supplier, _text("svc", k, "/src/m/S.java"), _text('@RestController\n@RequestMapping("/v', k, '/")\nclass S {\n  @GetMapping("x")\n  void a() {}\n  @RequestMapping(value = "/z")\n  void b() {}\n}\n')),
+        _pair(supplier, _text("svc", k, "/src/m/n.ts"), _text("@Controller(`n", k, "`)\nclass N {\n  @Post()\n  a() {}\n  @All('*')\n  b() {}\n}\n")),
+        _pair(supplier, _text("svc", k, "/src/m/w.php"), _text("Route::apiResource('posts', P::class);\nRoute::get ( \"/w", k, "/{id?}\", f);\n")),
+        _pair(supplier, _text("svc", k, "/src/m/h.go"), _text('e.GET("/h/:id", f)\nmux.HandleFunc(`/k', k, "`, g)\nx.Use(\"/no\")\n")),
     )
     return http(place(typed(files))).served.select("service", "framework", "method", "path")
 
