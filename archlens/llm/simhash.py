@@ -21,18 +21,22 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.llm.common import chunks, cut, id_and_text, map_batches, texts_of
 from archlens.llm.components import components
 from archlens.llm.pieces import PIECE_BYTES, SPACE, pieces
+from archlens.llm.sketches import BANDS, PARTS, sketches
+from archlens.llm.sketches import BITS as SKETCH_BITS
 from archlens.llm.words import U, Words
 
 BITS = 64
 #: Fingerprints of one block key that are compared pair by pair; and the share of all rows, one in HOT, from which a
 #: fingerprint's rows don't travel.
 PAIRWISE, HOT = 64, 2000
+#: Texts of one band that are compared pair by pair.
+TILE = 256
 #: Hashes of a long text whose bits are counted at once.
 PART = 1 << 14
 
@@ -94,10 +98,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long")
 
 
-def _bucket_links(fps: np.ndarray, nodes: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For the fingerprints of a block key: each node with the lowest node it is linked to inside the key."""
+def _bucket_links(near: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the nodes of a block key and which of them are near: each node with the lowest node it is linked to inside the key."""
     labels = nodes.copy()
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
     while True:
         least = np.where(near, labels[None, :], np.iinfo(np.int64).max).min(axis=1)
         if (least == labels).all():
@@ -132,7 +135,8 @@ def links(reps: DataFrame, max_bits: int = 2) -> DataFrame:
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for fps, nodes in zip(batch.column("fps").to_pylist(), batch.column("nodes").to_pylist(), strict=True):
-                x, y = _bucket_links(np.array(fps, np.int64).view(U), np.array(nodes, np.int64), max_bits)
+                own = np.array(fps, np.int64).view(U)  # bits of signed numbers are counted without their sign
+                x, y = _bucket_links(np.bitwise_count(own[:, None] ^ own[None, :]) <= max_bits, np.array(nodes, np.int64))
                 a.append(x)
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
@@ -151,11 +155,8 @@ def _large_links(keyed: DataFrame, masks: list[int], max_bits: int) -> DataFrame
     return cleared.join(least, ["k", "mask", "rest"]).filter("node > b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links of at most `max_bits` differing bits)."""
-    found = cut(fingerprints(docs, id_col, text_col, shingle))
-    reps = cut(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
-    grouped = components(links(reps.select("fp", "node"), max_bits))
+def _with_components(found: DataFrame, reps: DataFrame, grouped: DataFrame) -> DataFrame:
+    """(doc_id, fp) of all rows, (fp, node, rows) of each fp and (node, component) of linked nodes -> doc_id, fp, component_id."""
     of_fp = reps.join(grouped, "node", "left").select("fp", "rows", F.coalesce("component", "node").alias("component_id"))
     of_fp = cut(of_fp)
     # A fingerprint may be that of a third of all documents. Those with more than 1 / HOT of all rows are fewer than HOT:
@@ -165,3 +166,86 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = marked.filter("hot_id is null").select("doc_id", "fp").join(of_fp.select("fp", "component_id"), "fp", "left")
     every = marked.filter("hot_id is not null").select("doc_id", "fp", F.col("hot_id").alias("component_id")).union(rest.select("doc_id", "fp", "component_id"))
     return every.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """doc_id, fp and component_id (the smallest doc_id reachable over links of at most `max_bits` differing bits)."""
+    found = cut(fingerprints(docs, id_col, text_col, shingle))
+    reps = cut(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")))
+    grouped = components(links(reps.select("fp", "node"), max_bits))
+    return _with_components(found.select("doc_id", "fp"), reps, grouped)
+
+
+def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id, fp (a 128-bit name of the text's words), bits (the fingerprint) and bands (none without words) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, ids = texts_of(batch.column("text")), batch.column("doc_id")
+            for a, b in chunks(texts, 1 << 19):
+                for fp, bits, full, bands in sketches(texts[a:b], shingle):
+                    lists = [
+                        pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(values.ravel().view(np.int64)))
+                        for size, values in ((np.full(len(fp), PARTS), bits), (full * BANDS, bands))
+                    ]
+                    yield pa.RecordBatch.from_arrays([ids[a:b], pa.array(fp, pa.binary()), *lists], ["doc_id", "fp", "bits", "bands"])
+
+    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp binary, bits array<long>, bands array<long>")
+
+
+def _distance(a: str, b: str) -> Column:
+    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, PARTS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
+
+
+def similar_links(reps: DataFrame, max_bits: int) -> DataFrame:
+    """(node, bits, bands) of different texts -> (a, b) node pairs that share a band and differ in at most `max_bits` bits.
+
+    The nodes of a band are compared in tiles of about TILE. Bands of more are cut into tiles by hashes, another cut in
+    each, and all their nodes are compared with their hub too, the one whose bands hold most nodes: what the group's
+    texts were made from, if they are copies of one. A chain inside so large a band that leads past its hub is found only where
+    its links fall into a tile of any of their common bands.
+    """
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(keyed.join(met, "key"))
+    reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
+    drawn = cut(shared.join(reps.select("node", "bits").join(reach, "node"), "node"))
+    hubs = drawn.filter(F.col("n") > TILE).groupBy("key").agg(F.max_by(F.struct("node", "bits"), F.struct("reach", -F.col("node"))).alias("hub"))
+    by_hub = drawn.filter(F.col("n") > TILE).join(hubs.select("key", F.col("hub.node").alias("b"), F.col("hub.bits").alias("hub_bits")), "key")
+    by_hub = by_hub.filter((F.col("node") != F.col("b")) & (_distance("bits", "hub_bits") <= max_bits)).select(F.col("node").alias("a"), "b")
+    tile = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / TILE)).alias("tile")
+    tiles = drawn.select("key", tile, "node", "bits").groupBy("key", "tile").agg(F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("bits")).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for nodes, bits in zip(batch.column("nodes"), batch.column("bits"), strict=True):
+                own = bits.values.to_numpy().view(U).reshape(-1, PARTS)
+                far = np.zeros((len(own), len(own)), np.uint16)
+                for part in own.T:
+                    far += np.bitwise_count(part[:, None] ^ part[None, :])
+                x, y = _bucket_links(far <= max_bits, nodes.values.to_numpy())
+                a.append(x)
+                b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return map_batches(tiles.select("nodes", "bits"), run, "a long, b long").union(by_hub)
+
+
+def distance_at(similarity: float) -> int:
+    """The Hamming distance of fingerprints that 95 % of pairs with that share of common shingles, and more of closer ones, keep."""
+    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(SKETCH_BITS * apart + 1.64 * (SKETCH_BITS * apart * (1 - apart)) ** 0.5)
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fp (a 128-bit name of the text's words, A-Z lower-cased) and component_id (the smallest doc_id reachable).
+
+    Links are texts of equal words and those of which about `similarity` of the distinct shingles are common (see distance_at).
+    """
+    found = cut(_sketched(docs, id_col, text_col, shingle))
+    # Equal names have equal sketches, so any of a group's will do.
+    own = [F.first(c).alias(c) for c in ("bits", "bands")]
+    reps = cut(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"), *own))
+    grouped = components(similar_links(reps.select("node", "bits", "bands"), distance_at(similarity)))
+    return _with_components(found.select("doc_id", "fp"), reps.select("fp", "node", "rows"), grouped)
