@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archlens.llm.common import chunks, cut, id_and_text, map_batches, texts_of
@@ -193,28 +193,26 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp binary, bits array<long>, bands array<long>")
 
 
-def _distance(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(1, PARTS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
-
-
 def similar_links(reps: DataFrame, max_bits: int) -> DataFrame:
     """(node, bits, bands) of different texts -> (a, b) node pairs that share a band and differ in at most `max_bits` bits.
 
     The nodes of a band are compared in tiles of about TILE. Bands of more are cut into tiles by hashes, another cut in
-    each, and all their nodes are compared with their hub too, the one whose bands hold most nodes: what the group's
-    texts were made from, if they are copies of one. A chain inside so large a band that leads past its hub is found only where
+    each, and their hub is in all of their tiles: the node whose bands hold most nodes, which is what the group's texts
+    were made from, if they are copies of one. A chain inside so large a band that leads past its hub is found only where
     its links fall into a tile of any of their common bands.
     """
     keyed = reps.select("node", F.explode("bands").alias("key"))
     met = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = cut(keyed.join(met, "key"))
+    n_tiles = F.ceil(F.col("n") / TILE)
     reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
-    drawn = cut(shared.join(reps.select("node", "bits").join(reach, "node"), "node"))
-    hubs = drawn.filter(F.col("n") > TILE).groupBy("key").agg(F.max_by(F.struct("node", "bits"), F.struct("reach", -F.col("node"))).alias("hub"))
-    by_hub = drawn.filter(F.col("n") > TILE).join(hubs.select("key", F.col("hub.node").alias("b"), F.col("hub.bits").alias("hub_bits")), "key")
-    by_hub = by_hub.filter((F.col("node") != F.col("b")) & (_distance("bits", "hub_bits") <= max_bits)).select(F.col("node").alias("a"), "b")
-    tile = F.pmod(F.xxhash64("key", "node"), F.ceil(F.col("n") / TILE)).alias("tile")
-    tiles = drawn.select("key", tile, "node", "bits").groupBy("key", "tile").agg(F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("bits")).alias("bits"))
+    large = shared.filter(F.col("n") > TILE).join(reach, "node")
+    hubs = large.groupBy("key", "n").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("node"))
+    # The hub joins each tile of its band. Fingerprints come last, so that they travel once for each band that holds others.
+    in_all = hubs.select("key", F.explode(F.sequence(F.lit(0).cast("long"), n_tiles - 1)).alias("tile"), "node")
+    placed = shared.select("key", F.pmod(F.xxhash64("key", "node"), n_tiles).alias("tile"), "node").union(in_all)
+    drawn = placed.join(reps.select("node", "bits"), "node")
+    tiles = drawn.groupBy("key", "tile").agg(F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("bits")).alias("bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,7 +227,7 @@ def similar_links(reps: DataFrame, max_bits: int) -> DataFrame:
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return map_batches(tiles.select("nodes", "bits"), run, "a long, b long").union(by_hub)
+    return cut(map_batches(tiles.select("nodes", "bits"), run, "a long, b long"), shared)
 
 
 def distance_at(similarity: float) -> int:
