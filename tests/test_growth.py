@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
+from archlens.operators import graph
 from archlens.operators.discover import place
 from archlens.operators.extract import import_facts
+from archlens.sources.shared import stored
 from archlens.sources.tree import typed
 
 
@@ -30,3 +32,9 @@ def test_definitions_come_with_their_files(spark):
     rows = [("s/src/m/b.ex", "defmodule A do\n"), ("s/src/m/a.ex", "defmodule A do\n"), ("s/src/n/c.ex", "alias A\n")]
     got = {(r.kind, r.target, r.path) for r in import_facts(place(typed(spark.createDataFrame(rows, "path string, text string")))).collect()}
     assert got == {("def", "A", "s/src/m/a.ex"), ("def", "A", "s/src/m/b.ex"), ("ref", "A", None), ("file", "", None)}
+
+
+def test_rounds_over_a_graph_send_nothing_through_the_driver(spark):
+    edges = stored(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string"))
+    for df in (graph._trimmed(edges), graph._chained(edges), graph.strong_components(edges), graph.tiers(edges)):
+        assert "Broadcast" not in planned(df)
