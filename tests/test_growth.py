@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from archlens.operators import graph
 from archlens.operators.discover import place
 from archlens.operators.extract import import_facts
+from archlens.plans import corpus
 from archlens.sources.shared import stored
 from archlens.sources.tree import typed
 
@@ -38,3 +39,7 @@ def test_rounds_over_a_graph_send_nothing_through_the_driver(spark):
     edges = stored(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string"))
     for df in (graph._trimmed(edges), graph._chained(edges), graph.strong_components(edges), graph.tiers(edges)):
         assert "Broadcast" not in planned(df)
+
+
+def test_texts_made_of_small_tables_are_spread_over_tasks(spark):
+    assert corpus.http_corpus(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
