@@ -35,8 +35,8 @@ BITS = 64
 #: Fingerprints of one block key that are compared pair by pair; and the share of all rows, one in HOT, from which a
 #: fingerprint's rows don't travel.
 PAIRWISE, HOT = 64, 2000
-#: Texts of one band that are compared pair by pair.
-TILE = 256
+#: Texts of one band that are compared pair by pair at once, and those of a part of a larger band's components.
+TILE, BLOCK = 256, 512
 #: Hashes of a long text whose bits are counted at once.
 PART = 1 << 14
 
@@ -193,26 +193,8 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
     return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp binary, bits array<long>, bands array<long>")
 
 
-def similar_links(reps: DataFrame, max_bits: int) -> DataFrame:
-    """(node, bits, bands) of different texts -> (a, b) node pairs that share a band and differ in at most `max_bits` bits.
-
-    The nodes of a band are compared in tiles of about TILE. Bands of more are cut into tiles by hashes, another cut in
-    each, and their hub is in all of their tiles: the node whose bands hold most nodes, which is what the group's texts
-    were made from, if they are copies of one. A chain inside so large a band that leads past its hub is found only where
-    its links fall into a tile of any of their common bands.
-    """
-    keyed = reps.select("node", F.explode("bands").alias("key"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = cut(keyed.join(met, "key"))
-    n_tiles = F.ceil(F.col("n") / TILE)
-    reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
-    large = shared.filter(F.col("n") > TILE).join(reach, "node")
-    hubs = large.groupBy("key", "n").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("node"))
-    # The hub joins each tile of its band. Fingerprints come last, so that they travel once for each band that holds others.
-    in_all = hubs.select("key", F.explode(F.sequence(F.lit(0).cast("long"), n_tiles - 1)).alias("tile"), "node")
-    placed = shared.select("key", F.pmod(F.xxhash64("key", "node"), n_tiles).alias("tile"), "node").union(in_all)
-    drawn = placed.join(reps.select("node", "bits"), "node")
-    tiles = drawn.groupBy("key", "tile").agg(F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("bits")).alias("bits"))
+def _near_links(tiles: DataFrame, max_bits: int) -> DataFrame:
+    """(nodes, bits) lists of one tile's nodes and their fingerprints -> (a, b) node pairs that connect all pairs within `max_bits` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +209,64 @@ def similar_links(reps: DataFrame, max_bits: int) -> DataFrame:
                 b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return cut(map_batches(tiles.select("nodes", "bits"), run, "a long, b long"), shared)
+    return map_batches(tiles.select("nodes", "bits"), run, "a long, b long")
+
+
+def _listed(placed: DataFrame, reps: DataFrame, *tile: str) -> DataFrame:
+    """(node, tile columns) -> nodes and bits of each tile. Fingerprints come last, so that they travel once for each place of a node."""
+    drawn = placed.join(reps.select("node", "bits"), "node")
+    return drawn.groupBy(*tile).agg(F.collect_list("node").alias("nodes"), F.flatten(F.collect_list("bits")).alias("bits"))
+
+
+def _first_links(shared: DataFrame, reps: DataFrame, max_bits: int) -> DataFrame:
+    """Links in tiles of about TILE nodes of a band, which are all links of a band of TILE at most, and those to the hub of larger ones."""
+    n_tiles = F.ceil(F.col("n") / TILE)
+    reach = shared.groupBy("node").agg(F.sum("n").alias("reach"))
+    large = shared.filter(F.col("n") > TILE).join(reach, "node")
+    hubs = large.groupBy("key", "n").agg(F.max_by("node", F.struct("reach", -F.col("node"))).alias("node"))
+    in_all = hubs.select("key", F.explode(F.sequence(F.lit(0).cast("long"), n_tiles - 1)).alias("tile"), "node")
+    placed = shared.select("key", F.pmod(F.xxhash64("key", "node"), n_tiles).alias("tile"), "node").union(in_all)
+    return _near_links(_listed(placed, reps, "key", "tile"), max_bits)
+
+
+def _links_across(shared: DataFrame, grouped: DataFrame, reps: DataFrame, max_bits: int) -> DataFrame:
+    """Links inside bands of more than TILE nodes between nodes that are in different components so far.
+
+    A band's nodes are cut into parts of about BLOCK, nodes of one component together: a component of more has parts of its own.
+    Each part is compared with each other one, but for two of the same component, so every pair of nodes of different components meets.
+    """
+    of_node = shared.filter(F.col("n") > TILE).join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    sizes = of_node.groupBy("key", "component").agg(F.count("*").alias("own"))
+    big = F.col("own") > BLOCK
+    several = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum(F.when(~big, F.col("own"))).alias("rest")).filter("groups > 1")
+    sized = of_node.join(sizes, ["key", "component"]).join(several, "key")
+    n_parts = F.ceil(F.when(big, F.col("own")).otherwise(F.col("rest")) / BLOCK)
+    part = F.pmod(F.when(big, F.xxhash64("node")).otherwise(F.xxhash64("component")), n_parts)
+    parted = cut(sized.select("key", "node", F.struct(big.alias("big"), F.when(big, F.col("component")).otherwise(0).alias("of"), part.alias("part")).alias("side")))
+    parts = parted.select("key", F.col("side").alias("x")).distinct()
+    pairs = parts.join(parts.withColumnRenamed("x", "y"), "key").filter("x < y and not (x.big and y.big and x.of = y.of) or x = y and not x.big")
+    goes = pairs.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("side"))
+    placed = parted.join(goes, ["key", "side"]).select("key", "x", "y", "node")
+    return cut(_near_links(_listed(placed, reps, "key", "x", "y"), max_bits).distinct(), parted, shared)
+
+
+def similar_components(reps: DataFrame, max_bits: int) -> DataFrame:
+    """(node, bits, bands) of different texts -> (node, component): nodes that share a band and differ in at most `max_bits` bits are linked.
+
+    The nodes of a band are compared in tiles of about TILE. Bands of more are cut into tiles by hashes, another cut in
+    each, and their hub is in all of their tiles: the node whose bands hold most nodes, which is what the group's texts
+    were made from, if they are copies of one. That leaves few components of a band of copies; the pairs of different components
+    are then compared too, so every link is found, whatever the band's size.
+    """
+    keyed = reps.select("node", F.explode("bands").alias("key"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = cut(keyed.join(met, "key"))
+    grouped = components(_first_links(shared, reps, max_bits))
+    if shared.filter(F.col("n") > TILE).isEmpty():
+        return cut(grouped, shared)
+    grouped = cut(grouped)
+    across = _links_across(shared, grouped, reps, max_bits)
+    return grouped if across.isEmpty() else components(across.union(grouped))
 
 
 def distance_at(similarity: float) -> int:
@@ -245,5 +284,5 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     # Equal names have equal sketches, so any of a group's will do.
     own = [F.first(c).alias(c) for c in ("bits", "bands")]
     reps = cut(found.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"), *own))
-    grouped = components(similar_links(reps.select("node", "bits", "bands"), distance_at(similarity)))
+    grouped = similar_components(reps.select("node", "bits", "bands"), distance_at(similarity))
     return _with_components(found.select("doc_id", "fp"), reps.select("fp", "node", "rows"), grouped)

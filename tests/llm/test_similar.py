@@ -57,6 +57,33 @@ def test_a_large_group_around_one_text(spark, monkeypatch, tmp_path, tile):
     assert np.mean([got[i] == 0 for i in [*range(200), 500]]) > 0.95 and all(got[600 + k] == 600 + k for k in range(50))
 
 
+def test_all_links_of_a_large_band_count(spark, monkeypatch):
+    """Bands of any size and mixture: components are those of all pairs that share a band and are within the distance."""
+    monkeypatch.setattr(simhash, "TILE", 8)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    flipped = lambda bits, k: bits ^ np.isin(np.arange(512), rng.choice(512, k, replace=False))
+    hub = rng.random(512) < 0.5
+    texts = [hub, *[flipped(hub, 30) for _ in range(60)]]  # a component larger than a part
+    for _ in range(60):  # pairs and chains of three far from all else
+        start = rng.random(512) < 0.5
+        texts += [start, flipped(start, 40), *[flipped(start, 85)] * int(rng.integers(2))]
+    end = texts[5]
+    for _ in range(5):  # a chain that leads away from the hub
+        end = flipped(end, 80)
+        texts.append(end)
+    nodes = rng.permutation(len(texts)).tolist()
+    bands = [[1, 2] if k % 3 else [1, 3] if k % 2 else [2, 3] for k in range(len(texts))]
+    bits = [np.packbits(t, bitorder="little").view(np.int64).tolist() for t in texts]
+    got = {n: n for n in nodes} | {r.node: r.component for r in simhash.similar_components(spark.createDataFrame(list(zip(nodes, bits, bands, strict=True)), "node long, bits array<long>, bands array<long>"), 90).collect()}
+    want = dict(zip(nodes, nodes, strict=True))
+    near = [(nodes[i], nodes[j]) for i in range(len(texts)) for j in range(i) if (texts[i] ^ texts[j]).sum() <= 90 and set(bands[i]) & set(bands[j])]
+    for _ in texts:
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    assert got == want and len(set(want.values())) < 80
+
+
 def test_defined_results(spark):
     rows = [(None, "a b"), (3, None), (4, ""), (5, " \n"), (7, "A b"), (8, "a\tB"), (8, "a\tB"), (9, "a b c"), (11, "É x"), (12, "é x")]
     got = sorted(((r.doc_id, r.component_id) for r in simhash.similar(frame(spark, rows)).collect()), key=repr)
