@@ -43,3 +43,9 @@ def test_rounds_over_a_graph_send_nothing_through_the_driver(spark):
 
 def test_texts_made_of_small_tables_are_spread_over_tasks(spark):
     assert corpus.http_corpus(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_made_of_orders_take_more_tasks_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_ROWS", 500)
+    rows = corpus.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert corpus.import_corpus(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500) > 4
