@@ -66,7 +66,9 @@ def _sixty_modules(spark: SparkSession, folder: str) -> DataFrame:
     """A file for each part, of as many lines as its size, in one of sixty modules; it imports another one of its service."""
     p = F.col("p_partkey")
     text = F.concat(_text("import m", p * 6 % 60, "\n"), F.repeat(F.lit("\n"), F.col("p_size") - 1))
-    return typed(corpus.table(spark, folder, "part").select(_text("svc", p % 5, "/src/m", p % 60, "/f", p, ".py").alias("path"), text.alias("text")))
+    part = corpus.table(spark, folder, "part")
+    part = part.repartition(corpus.tasks_for(part), "p_partkey")  # its file is small, and its texts would be made by one task
+    return typed(part.select(_text("svc", p % 5, "/src/m", p % 60, "/f", p, ".py").alias("path"), text.alias("text")))
 
 
 def _entries(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from archlens.operators import graph
 from archlens.operators.discover import place
 from archlens.operators.extract import import_facts
-from archlens.plans import corpus
+from archlens.plans import corpus, rules
 from archlens.sources.shared import stored
 from archlens.sources.tree import typed
 
@@ -49,3 +49,7 @@ def test_texts_made_of_orders_take_more_tasks_of_a_larger_table(spark, monkeypat
     monkeypatch.setattr(corpus, "TASK_ROWS", 500)
     rows = corpus.table(spark, "/root/testdata/sf0.001", "lineitem").count()
     assert corpus.import_corpus(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500) > 4
+
+
+def test_texts_made_of_parts_are_spread_over_tasks(spark):
+    assert rules._sixty_modules(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
