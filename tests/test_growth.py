@@ -53,3 +53,9 @@ def test_texts_made_of_orders_take_more_tasks_of_a_larger_table(spark, monkeypat
 
 def test_texts_made_of_parts_are_spread_over_tasks(spark):
     assert rules._sixty_modules(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_texts_with_definitions_take_more_tasks_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_ROWS", 500)
+    files = corpus.import_corpus(spark, "/root/testdata/sf0.001", ".ex", "  alias N{n}.Main", "defmodule N{n}.F{o} do\n")
+    assert files.rdd.getNumPartitions() > 4
