@@ -51,6 +51,24 @@ def test_texts_made_of_orders_take_more_tasks_of_a_larger_table(spark, monkeypat
     assert corpus.import_corpus(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 500) > 4
 
 
+def test_orders_and_lines_meet_large_tables_in_as_many_tasks(spark, monkeypatch):
+    """No shuffle of the session's few tasks is left where customers and suppliers are too many to go to every task."""
+    threshold, folder = "spark.sql.autoBroadcastJoinThreshold", "/root/testdata/sf0.001"
+    plain = sorted(map(repr, corpus.import_corpus(spark, folder).collect()))
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        assert planned(corpus.import_corpus(spark, folder)).count("BroadcastHashJoin") == 4
+        monkeypatch.setattr(corpus, "TASK_ROWS", 25)
+        monkeypatch.setattr(corpus, "tasks_for", lambda rows: 7)
+        files = corpus.import_corpus(spark, folder)
+        shuffles = [x for x in files._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+        assert len(shuffles) > 2 and all(", 7)" in x and "nationkey" not in x for x in shuffles), shuffles
+        assert sorted(map(repr, files.collect())) == plain
+    finally:
+        spark.conf.set(threshold, before)
+
+
 def test_texts_made_of_parts_are_spread_over_tasks(spark):
     assert rules._sixty_modules(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
 
