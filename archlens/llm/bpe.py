@@ -16,11 +16,12 @@ gives an empty result; repeated rows are encoded each; other columns are ignored
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ TABLE_WORDS, WORD_BYTES = 250_000, 64
 #: Steps of a doubling of the words' counts by which the most frequent are chosen.
 STEPS = 8
 
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 @lru_cache(maxsize=1)
 def _tokenizer(path: str):
@@ -69,12 +72,11 @@ def word_table(texts: DataFrame, tokenizer: str) -> DataFrame:
     return map_batches(chosen.select("word"), run, "word string, ids binary")
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and `ids`, the array of token ids of each whole text under the vocabulary file `tokenizer`."""
-    texts = id_and_text(docs, id_col, text_col)
+def _encoder(texts: DataFrame, tokenizer: str) -> Step:
+    """Makes batches of doc_id and ids from batches of `texts` (doc_id, text)."""
     made = word_table(texts, tokenizer).toArrow().combine_chunks()
     columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (made.column("word").cast(pa.binary()), made.column("ids").cast(pa.binary()))]
-    table = docs.sparkSession.sparkContext.broadcast(tuple(columns))
+    table = texts.sparkSession.sparkContext.broadcast(tuple(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, ids = table.value
@@ -89,7 +91,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(p) // 4 for p in placed)]), pa.int32()), pa.array(np.frombuffer(b"".join(placed), np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists], ["doc_id", "ids"])
 
-    return map_batches(texts, run, "doc_id long, ids array<int>")
+    return run
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and `ids`, the array of token ids of each whole text under the vocabulary file `tokenizer`."""
+    texts = id_and_text(docs, id_col, text_col)
+    return map_batches(texts, _encoder(texts, tokenizer), "doc_id long, ids array<int>")
 
 
 def pieces(tokenizer: str) -> list[str]:
@@ -101,9 +109,8 @@ def pieces(tokenizer: str) -> list[str]:
     return out
 
 
-def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
-    """Adds `ids_text` (decimal ids, joined by one space) and `decoded` (their pieces, joined by one space)."""
-    names = [f.name for f in encoded.schema.fields]
+def _decoder(tokenizer: str, ids_col: str) -> Step:
+    """Adds `ids_text` and `decoded` to batches that hold ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_id = pieces(tokenizer)
@@ -115,12 +122,31 @@ def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFram
             flat = lists.flatten()
             offsets = pa.array(np.concatenate(([0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)))), pa.int32())
             joined = [pa.compute.binary_join(pa.ListArray.from_arrays(offsets, t.take(flat)), " ") for t in tables]
-            yield pa.RecordBatch.from_arrays([*batch.columns, joined[1], joined[0]], [*names, "ids_text", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined[1], joined[0]], [*batch.schema.names, "ids_text", "decoded"])
+
+    return run
+
+
+def decode(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
+    """Adds `ids_text` (decimal ids, joined by one space) and `decoded` (their pieces, joined by one space)."""
+    names = encoded.columns
+    step = _decoder(tokenizer, ids_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return step(batch.rename_columns(names) for batch in batches)
 
     return map_batches(encoded, run, with_columns(encoded.schema, ids_text="string", decoded="string"))
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sizes and hashes of the encoding and of what it decodes to, by document."""
-    both = decode(encode(docs, tokenizer, id_col, text_col), tokenizer)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    texts = id_and_text(docs, id_col, text_col)
+    encoded, decoded = _encoder(texts, tokenizer), _decoder(tokenizer, "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # in one worker: two for each task would hold vocabularies and texts twice
+        for batch in decoded(encoded(batches)):
+            n = pa.compute.list_value_length(batch.column("ids")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, batch.column("ids_text"), batch.column("decoded")], ["doc_id", "n_tokens", "ids_text", "decoded"])
+
+    both = map_batches(texts, run, "doc_id long, n_tokens long, ids_text string, decoded string")
+    return both.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

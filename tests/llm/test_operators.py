@@ -102,6 +102,15 @@ def test_bpe_against_the_library(spark, monkeypatch, most):
         assert (list(got[k].ids), got[k].ids_text, got[k].decoded) == (ids, " ".join(map(str, ids)), tokenizer.decode(ids, skip_special_tokens=False))
 
 
+def test_bpe_digests_take_one_python_worker_a_task(spark):
+    texts = frame(spark, [(1, "Hello  WORLD's x1234 <|endoftext|>a"), (2, None), (3, ""), (None, "É café 漢字　😀"), (1, "a b")])
+    made = bpe.digests(texts, BPE)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    both = bpe.decode(bpe.encode(texts, BPE), BPE)
+    plain = both.select("doc_id", F.size("ids").cast("long"), F.sha2("ids_text", 256), F.sha2("decoded", 256))
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+
+
 def test_token_counts_against_greedy_search():
     rng = np.random.default_rng(3)
     for _ in range(50):
