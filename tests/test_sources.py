@@ -4,8 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from archlens.operators import insight, rollup
-from archlens.operators.extract import clients, endpoints, import_facts
+from archlens.operators.discover import place
+from archlens.operators.extract import clients, endpoints, import_facts, imports
+from archlens.operators.resolve import import_edges
 from archlens.sources import relations
+from archlens.sources.shared import stored
 from archlens.sources.tree import list_tree, read_files, read_tree, typed
 
 
@@ -80,3 +83,21 @@ def test_hits_of_parser_files(spark, tmp_path):
     (tmp_path / "d.json").write_text("")
     got = insight.read_hits(spark, str(tmp_path))
     assert {tuple(r) for r in got.collect()} == {("x.py", "py-import", "a.b"), ("y.go", "go-import", "whole"), ("z.ts", "tsx-require", "'q'"), ("w.go", "go-import", '"f"')}
+
+
+def test_import_edges_read_whole_texts(spark):
+    """What stands behind 256 KiB of a text, or behind 4 KiB of a go.mod, counts as what stands before."""
+    far = lambda before, line: before * (300 * 1024 // len(before)) + line
+    rows = {
+        "p/src/a/i.py": far("# x\n", "import b\n"), "p/src/b/j.py": "",
+        "e/src/a/i.ex": far("# x\n", "  alias E.B\n"), "e/src/b/j.ex": far("# x\n", "defmodule E.B do\n"), "go.mod": "// x\n" * 1000 + "module x.org/r\n", "g/src/a/i.go": far("// x\n", 'import "x.org/r/g/src/b"\n'), "g/src/b/j.go": "",
+    }
+    files = place(typed(spark.createDataFrame(list(rows.items()), "path string, text string")))
+    assert {tuple(r) for r in import_edges(files).collect()} == {(f"{s}/src/a", f"{s}/src/b", 1) for s in "peg"}
+
+
+def test_blank_lines_are_walked_once(spark):
+    """Two million of them before a statement; walked again from each, they would take hours."""
+    rows = spark.range(3).select(F.concat(F.lit("s/src/a/i."), F.get(F.array(*map(F.lit, ["py", "go", "ex"])), F.col("id").cast("int"))).alias("path"), F.concat(F.repeat(F.lit("\n"), F.lit(2_000_000)), F.lit('\r  import b\n\nimport "x/c"\n\t import D\n')).alias("text"))
+    files = stored(typed(rows)).withColumns({"service": F.lit("s"), "module": F.lit("s/src/a")})
+    assert {(r.lang, r.target) for r in imports(files, "x").collect()} == {("Python", "b"), ("Python", "D"), ("Go", "c"), ("Elixir", "D")}
