@@ -101,3 +101,11 @@ def test_blank_lines_are_walked_once(spark):
     rows = spark.range(3).select(F.concat(F.lit("s/src/a/i."), F.get(F.array(*map(F.lit, ["py", "go", "ex"])), F.col("id").cast("int"))).alias("path"), F.concat(F.repeat(F.lit("\n"), F.lit(2_000_000)), F.lit('\r  import b\n\nimport "x/c"\n\t import D\n')).alias("text"))
     files = stored(typed(rows)).withColumns({"service": F.lit("s"), "module": F.lit("s/src/a")})
     assert {(r.lang, r.target) for r in imports(files, "x").collect()} == {("Python", "b"), ("Python", "D"), ("Go", "c"), ("Elixir", "D")}
+
+
+def test_js_import_edges_read_whole_texts(spark):
+    """Each form of a statement counts behind 256 KiB of a text too."""
+    lines = 'import q from "../b/y"\nexport * from "../b/z"\nconst r = require("../b")\nconst s = import("../b/i")\n'
+    rows = [(f"s{k}/src/a/i.{ext}", "// x\n" * (60_000 * k) + lines) for ext in ("ts", "jsx") for k in range(2)] + [(f"s{k}/src/b/y.ts", "") for k in range(2)]
+    got = import_edges(place(typed(spark.createDataFrame(rows, "path string, text string"))))
+    assert {tuple(r) for r in got.collect()} == {("s0/src/a", "s0/src/b", 8), ("s1/src/a", "s1/src/b", 8)}
