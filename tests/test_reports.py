@@ -80,3 +80,9 @@ def test_binary_files_are_left_out(spark, tmp_path):
     (tmp_path / "a.py").write_text("x\n")
     (tmp_path / "c.py").write_bytes(b"\0")
     assert [r.path for r in typed(read_tree(spark, str(tmp_path))).collect()] == ["a.py"]
+
+
+def test_modules_of_a_tree_that_is_one_service_are_of_that_service(spark):
+    got = reports.queries()["single_service"](spark, FOLDER).collect()
+    n = corpus.table(spark, FOLDER, "supplier").count()
+    assert {r.service for r in got} == {"tree"} and sorted(r.files for r in got) == [1] * n + [2 * n]
