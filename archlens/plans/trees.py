@@ -59,12 +59,13 @@ def _ring_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def _many_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     """A service for each order that states its own prefix; its client leaves the prefix out, names it, or asks for what isn't there."""
-    orders, k = corpus.table(spark, folder, "orders"), F.col("o_orderkey")
-    files = corpus.spread(typed(_files(
+    orders, k = corpus.table(spark, folder, "orders").select("o_orderkey"), F.col("o_orderkey")
+    orders = orders.repartition(corpus.tasks_for(orders), "o_orderkey")  # keys are dealt to tasks, not the texts made of them
+    files = typed(_files(
         _pair(orders, _text("api", k, "/src/main.ts"), _text('app.setGlobalPrefix("p', k, '/v1");\n')),
         _pair(orders, _text("api", k, "/src/m/c.ts"), _text('@Controller("c', k, '")\nclass C {\n  @Get("all") all() {}\n}\n')),
         _pair(orders, _text("web", k, "/src/m/a.ts"), _text("axios.get('/c", k, "/all/7')\naxios.get('/p", k, "/v1/c", k, "/all')\naxios.get('/p", k, "/v1')\naxios.get('/c", k, "')\n")),
-    )))
+    ))
     return http(place(files)).edges()
 
 

@@ -4,6 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from archlens.functions import dims
+from archlens.functions.text import route
 from archlens.operators import enrich, report
 from archlens.operators.discover import place
 from archlens.operators.rank import ranked
@@ -86,3 +88,33 @@ def test_places_in_a_global_order(spark):
 def test_shares_are_zero_without_lines(spark):
     files = spark.createDataFrame([("a", "Python", 0), ("b", "Python", 0)], "service string, lang string, loc long")
     assert [r.share for r in report.services(files).collect()] == [0.0, 0.0]
+
+
+def test_routes_are_made_once_and_calls_of_no_endpoint_are_no_key_of_a_join(spark):
+    rows = [("a/src/main.ts", "app.setGlobalPrefix('p/v1')\n"), ("a/src/m/x.ts", "@Controller('c')\nclass C {\n @Get(':id') b() {}\n @Get() c() {}\n}\n"), ("c/src/m/x.ts", "app.get('/api', h)\napp.get('/p/v1', h)\n"),
+            ("b/src/m/y.ts", "axios.get('/c/3')\naxios.get('/c')\naxios.get('/p/v1/c/4')\naxios.get('/api/5')\naxios.get('/p/v1')\naxios.get('/none')\n")]
+    found = http(place(typed(spark.createDataFrame(rows, "path string, text string"))))
+    plan = found.edges()._jdf.queryExecution().sparkPlan().toString()
+    assert "(?U)" not in plan and not [x for x in plan.splitlines() if "Join" in x and "endpoint_path" in x]
+    # /c/3 begins with an endpoint as it stands behind the prefix; an endpoint that is a bare prefix or /api is none.
+    want = {"/c/3": "/p/v1/c", "/c": "/p/v1/c", "/p/v1/c/4": "/p/v1/c", "/api/5": None, "/p/v1": None, "/none": None}
+    assert {r.url: r.endpoint_path for r in found.resolved.collect()} == want
+    assert {tuple(r) for r in found.edges().collect()} == {("b", "a", "GET", "/p/v1/c", 3)}
+
+
+def test_plain_routes_are_what_all_steps_leave(spark):
+    """A path before the canonical form, put together of pieces; those that count as plain are left as they are."""
+    rng = random.Random(5)
+    pieces = ["/", "//", "a", "B9", ":id", "{x}", "<int:a>", "[s]", "(x:y)", "${q}", "$:w", " ", "\n", "é", "-", ".", "%20", "@", "="]
+    paths = sorted({"".join(rng.choice(pieces) for _ in range(rng.randint(0, 7))) for _ in range(4000)} | {"/a/b", "/a\n", "/a/", ""} | {"".join("/" + "".join(rng.choices("aZ9_.~%+,;=@-", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 4))) for _ in range(100)})
+
+    def plain_route(p):
+        p = p.strip(" ")
+        p = re.sub("/+(?=\n?\\Z)", "", p if p.startswith("/") else "/" + p)
+        for pattern in dims.ROUTE_PARAMETERS:
+            p = re.sub(pattern, ":id", p)
+        return re.sub("/+", "/", p) or "/"
+
+    got = {r.p: (r.r, r.plain) for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", route(F.col("p")).alias("r"), F.col("p").rlike(dims.PLAIN_ROUTE).alias("plain")).collect()}
+    assert {p: r for p, (r, _) in got.items()} == {p: plain_route(p) for p in paths}
+    assert all(p == plain_route(p) for p, (_, plain) in got.items() if plain) and 30 < sum(plain for _, plain in got.values()) < len(paths)
